@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .quality_rules import op10_quality_rules
+from .simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_simhash": op8_simhash,
         "op10_quality_rules": op10_quality_rules,
     }
 
