@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textcore import ALNUM, LOWER, Block, Words, attach, documents, free_name
+from .textcore import ALNUM, LOWER, Block, Words, attach, codes_in, documents, free_name
 
 WINDOW = 10
 #: Benchmark words broadcast at once.
@@ -180,28 +180,11 @@ def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phr
     return Phrases(vocabulary, windows, length, texts, [np.array(sorted(found[x]), np.int64) for x in texts], list(ids), np.unique(np.concatenate(bigrams)))
 
 
-def _codes(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """1 + the index in the vocabulary, or 0."""
-    if not len(vocabulary) or not len(hashes):
-        return np.zeros(len(hashes), np.int64)
-    # a table of the hashes' top bits tells most other words apart without a search
-    shift = np.uint64(64 - 20)
-    seen = np.zeros(1 << 20, bool)
-    seen[vocabulary >> shift] = True
-    out = np.zeros(len(hashes), np.int64)
-    maybe = np.flatnonzero(seen[hashes >> shift])
-    at = np.searchsorted(vocabulary, hashes[maybe])
-    at[at == len(vocabulary)] = 0
-    same = vocabulary[at] == hashes[maybe]
-    out[maybe[same]] = at[same] + 1
-    return out
-
-
 def shard_hits(block: Block, p: Phrases) -> tuple[Words, np.ndarray, list[tuple[int, int]]]:
     """Over one shard: its words, a flag for each word that is hit, and pairs (document, item index)."""
     low = block.lower()
     words = low.words(ALNUM)
-    codes = _codes(words.hashes(), p.vocabulary)
+    codes = codes_in(words.hashes(), p.vocabulary)
     hit = np.zeros(len(words), bool)
     if not len(p.texts) or not codes.any():
         return words, hit, []

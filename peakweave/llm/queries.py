@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fmindex import op6_decontamination
+from .licenses import op2_license_scan
 from .quality_rules import op10_quality_rules
 from .simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op6_decontamination": op6_decontamination,
         "op8_simhash": op8_simhash,
         "op10_quality_rules": op10_quality_rules,

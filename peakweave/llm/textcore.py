@@ -261,3 +261,20 @@ def per_doc_sum(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flags) + 1, np.int64)
     np.cumsum(flags, out=total[1:])
     return np.diff(total[first])
+
+
+def codes_in(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """1 + the index in the vocabulary, or 0."""
+    if not len(vocabulary) or not len(hashes):
+        return np.zeros(len(hashes), np.int64)
+    # a table of the hashes' top bits tells most other words apart without a search
+    shift = np.uint64(64 - 20)
+    seen = np.zeros(1 << 20, bool)
+    seen[vocabulary >> shift] = True
+    out = np.zeros(len(hashes), np.int64)
+    maybe = np.flatnonzero(seen[hashes >> shift])
+    at = np.searchsorted(vocabulary, hashes[maybe])
+    at[at == len(vocabulary)] = 0
+    same = vocabulary[at] == hashes[maybe]
+    out[maybe[same]] = at[same] + 1
+    return out
