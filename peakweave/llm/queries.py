@@ -10,10 +10,12 @@ from .fmindex import op6_decontamination
 from .licenses import op2_license_scan
 from .quality_rules import op10_quality_rules
 from .simhash import op8_simhash
+from .substrings import op1_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_license_scan": op2_license_scan,
         "op6_decontamination": op6_decontamination,
         "op8_simhash": op8_simhash,
