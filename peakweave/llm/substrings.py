@@ -120,7 +120,7 @@ def _map_anchors(hot: np.ndarray):
                     # each string of a frequent anchor under its own hash
                     n = np.maximum(0, hi - lo - LENGTH + 1) * often
                     start = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    string = mix64((total[start + LENGTH] - total[start]) * POWERS.down[start] + _RIGHT)
+                    string = mix64((total[start + LENGTH] - total[start]) * POWERS.upto(len(total))[1][start] + _RIGHT)
                     rest = ~often
                     doc, lo, hi = (np.concatenate([x[rest], y]) for x, y in ((doc, np.repeat(doc, n)), (lo, start), (hi, start + LENGTH)))
                     h, c = np.concatenate([h[rest], string]), np.concatenate([c[rest], np.zeros(len(string), U64)])
