@@ -93,15 +93,17 @@ def anchors(block: Block) -> dict[str, np.ndarray]:
     return {"doc": doc, "lo": lo, "hi": hi, "h": hashes[at], "c": c, "total": total}
 
 
-def _first_seen(h: np.ndarray, c: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Which entries are the first, in ``order``, with their (h, c)."""
+def _first_seen(h: np.ndarray, c: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are the first, in ``order``, with their (h, c); and which are not a repetition of an entry at the same place."""
     both = mix64(h * _LEFT + c)
     rank = np.lexsort((order, both))
-    first = np.zeros(len(h), bool)
+    first, own = np.zeros(len(h), bool), np.zeros(len(h), bool)
     if len(h):
-        ranked = both[rank]
-        first[rank[np.r_[True, ranked[1:] != ranked[:-1]]]] = True
-    return first
+        ranked, placed = both[rank], order[rank]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        first[rank[new]] = True
+        own[rank[new | np.r_[True, placed[1:] != placed[:-1]]]] = True
+    return first, own
 
 
 def _map_anchors(hot: np.ndarray):
@@ -128,7 +130,9 @@ def _map_anchors(hot: np.ndarray):
                 rank = np.empty(len(block), np.int64)
                 rank[np.lexsort((t, d))] = np.arange(len(block))
                 base = block.bounds[doc]
-                first = _first_seen(h, c, rank[doc] * (1 << 40) + lo - base)
+                first, own = _first_seen(h, c, rank[doc] * (1 << 40) + lo - base)
+                if not own.all():  # a string within reach of several frequent anchors
+                    doc, lo, hi, base, h, c, first = (x[own] for x in (doc, lo, hi, base, h, c, first))
                 # later copies within the block need no company: they are dealt out anyhow
                 key = np.where(first, h, mix64(h + lo.astype(U64)))
                 yield pa.RecordBatch.from_arrays(
@@ -158,7 +162,7 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (h, c, d, t, lo): later copies (need false), and firsts whose anchor has other contexts (need true)."""
     names = ["d", "t", "lo", "n", "h", "need"]
     held: list[np.ndarray] | None = None  # the last first, not yet known whether another context follows
-    before_h = before_c = None
+    before: list[np.ndarray] | None = None
     multi_before = False
 
     def batch_of(cols: list[np.ndarray], need: np.ndarray) -> pa.RecordBatch:
@@ -176,12 +180,16 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = cols[0], cols[1]
         if not len(h):
             continue
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-        first[0] = before_h is None or h[0] != before_h or c[0] != before_c
-        if not first.all():
-            yield batch_of([x[~first] for x in cols], np.zeros(int((~first).sum()), bool))
-        before_h, before_c = h[-1], c[-1]
+        # a row like the one before it in all columns is the same document, read twice
+        last = cols if before is None else [np.concatenate([x, y]) for x, y in zip(before, cols, strict=True)]
+        new_key, new_place = ([x[1:] != x[:-1] for x in last[:k]] for k in (2, 5))
+        first, again = np.logical_or.reduce(new_key), ~np.logical_or.reduce(new_place)
+        if before is None:
+            first, again = np.r_[True, first], np.r_[False, again]
+        later = ~first & ~again
+        if later.any():
+            yield batch_of([x[later] for x in cols], np.zeros(int(later.sum()), bool))
+        before = [x[-1:] for x in cols]
         own = [x[first] for x in cols]
         if held is not None:
             own = [np.concatenate([x, y]) for x, y in zip(held, own, strict=True)]
@@ -380,7 +388,7 @@ def find_spans(rows: DataFrame) -> DataFrame:
     gathered = sifted.repartition("d", "t").sortWithinPartitions("d", "t")
     gathered = cut(gathered.mapInArrow(_by_document(_Gather(), ["d", "t", "spans", "needs", "keys"]), "d bigint, t bigint, spans array<int>, needs array<int>, keys array<bigint>"))
     asked = gathered.where(F.size("keys") > 0).select("d", "t", "needs", "keys")
-    contexts = rows.join(asked, ["d", "t"]).select("d", "t", "text", "needs", "keys").dropDuplicates(["d", "t"])
+    contexts = rows.join(asked, ["d", "t"]).select("d", "t", "text", "needs", "keys")
     contexts = contexts.mapInArrow(_contexts, "h bigint, d bigint, t bigint, lo int, bytes binary")
     more = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "d bigint, t bigint, lo int, hi int")
     pairs = F.expr("explode(transform(sequence(0, int(size(spans) / 2) - 1), i -> struct(spans[2 * i] AS lo, spans[2 * i + 1] AS hi))) AS s")
