@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fmindex import op6_decontamination
+from .language import op7_language_id
 from .licenses import op2_license_scan
 from .quality_rules import op10_quality_rules
 from .simhash import op8_simhash
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_license_scan": op2_license_scan,
         "op6_decontamination": op6_decontamination,
+        "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
         "op10_quality_rules": op10_quality_rules,
     }
