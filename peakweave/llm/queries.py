@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fmindex import op6_decontamination
+from .kneser_ney import op9_quality_classifier
 from .language import op7_language_id
 from .licenses import op2_license_scan
 from .quality_rules import op10_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_quality_rules": op10_quality_rules,
     }
 
