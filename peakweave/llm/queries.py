@@ -13,12 +13,14 @@ from .licenses import op2_license_scan
 from .quality_rules import op10_quality_rules
 from .simhash import op8_simhash
 from .substrings import op1_suffix_dedup
+from .wrappers import op4_html_extraction
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_license_scan": op2_license_scan,
+        "op4_html_extraction": op4_html_extraction,
         "op6_decontamination": op6_decontamination,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
