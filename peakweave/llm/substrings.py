@@ -41,7 +41,7 @@ REACH = LENGTH - ANCHOR  # an anchor's string starts at most so many bytes befor
 BLOCK = 2 << 20
 #: Contexts that one suffix array holds; a group of one anchor is never divided.
 SHARD = 12_000
-#: An anchor is routed as frequent if it is seen so often in one of SAMPLE_OF documents; at most MOST_HOT anchors are.
+#: An anchor is routed as frequent if one of SAMPLE_OF documents show it with so many contexts; at most MOST_HOT anchors are.
 SAMPLE_OF, HOT, MOST_HOT = 16, 64, 100_000
 _CODES = byte_codes(23)
 _LEFT, _RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
@@ -143,17 +143,18 @@ def _map_anchors(hot: np.ndarray):
     return run
 
 
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column(2), BLOCK):
-            h, n = np.unique(anchors(block)["h"], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+            a = anchors(block)
+            both = np.unique(np.stack([a["h"].view(np.int64), a["c"].view(np.int64)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["h", "c"])
 
 
 def frequent_anchors(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent anchors in a sample of documents; for routing only."""
+    """Sorted hashes of the anchors with the most different contexts in a sample of documents; for routing only."""
     some = rows.where(F.pmod(F.xxhash64("d", "t"), F.lit(SAMPLE_OF)) == 0)
-    counts = some.mapInArrow(_count_anchors, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = some.mapInArrow(_list_anchors, "h bigint, c bigint").distinct().groupBy("h").agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT)
     return np.sort(np.array([r.h for r in hot.select("h").collect()], np.int64).view(U64))
 
