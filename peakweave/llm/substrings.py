@@ -398,11 +398,16 @@ def find_spans(rows: DataFrame) -> DataFrame:
     return every.mapInArrow(_by_document(_Merge(), ["d", "t", "spans"]), "d bigint, t bigint, spans array<int>")
 
 
-def keyed(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Add ``d`` and ``t``, which tell documents apart: the id, and a hash of the text where ids repeat."""
+def keyed(df: DataFrame, id_column: str, text: str, whole: bool = False) -> DataFrame:
+    """Add ``d`` and ``t``, which tell documents apart: the id, and a hash of the text where ids repeat.
+
+    With them come the text, or the whole row as the struct ``row``.
+    """
     ids = df.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
     tie = F.xxhash64(F.col(f"`{text}`")) if ids else F.lit(0).cast("bigint")
-    return df.select(F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(-(1 << 63))).alias("d"), tie.alias("t"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    d = F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(-(1 << 63)))
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row") if whole else F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
+    return df.select(d.alias("d"), tie.alias("t"), rest)
 
 
 FIELDS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -432,11 +437,8 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text")
     """Every row with an array column of the byte spans that repeat earlier bytes (null if none)."""
     spans = find_spans(keyed(df, id_column, text)).withColumnRenamed("spans", "_spans")
     name = free_name(df, "repeat_spans")
-    ids = df.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    tie = F.xxhash64(F.col(f"`{text}`")) if ids else F.lit(0).cast("bigint")
-    left = df.withColumns({"_d": F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(-(1 << 63))), "_t": tie})
-    out = left.join(spans, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_spans").alias(name)), name
+    out = keyed(df, id_column, text, whole=True).join(spans, ["d", "t"], "left")
+    return out.select("row.*", F.col("_spans").alias(name)), name
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
