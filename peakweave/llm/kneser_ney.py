@@ -186,15 +186,16 @@ def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
     """(id, lang, n_bytes, perplexity, threshold, kept) of every row."""
     rows = df.select(F.col(f"`{id_column}`").alias("_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     trusted = trusted_ids(labels)
-    model = train(rows.join(trusted, "_id", "left_semi").select("text"))
+    # The trusted ids grow with the corpus: they are joined by a shuffle at every size, never broadcast.
+    model = train(rows.join(trusted.hint("merge"), "_id", "left_semi").select("text"))
     found, name = score(rows, model)
     x = F.col(name)
     scored = cut(found.select("_id", "lang", x["n_bytes"].alias("n_bytes"), x["bits"].alias("bits")))
     flagged = scored.join(trusted.withColumn("trusted", F.lit(True)), "_id", "left")
-    limit = thresholds(flagged.withColumn("trusted", F.coalesce("trusted", F.lit(False))))
-    other = limit.agg(F.max("most").alias("other"))
-    judged = scored.join(limit, scored["lang"].eqNullSafe(limit["lang"]), "left").drop(limit["lang"]).join(F.broadcast(other))  # one row
-    most = F.coalesce("most", "other")
+    limit = cut(thresholds(flagged.withColumn("trusted", F.coalesce("trusted", F.lit(False)))))
+    other = F.lit(limit.agg(F.max("most")).first()[0]).cast("double")
+    judged = scored.join(limit, scored["lang"].eqNullSafe(limit["lang"]), "left").drop(limit["lang"])
+    most = F.coalesce("most", other)
     return judged.select(
         F.col("_id").alias("id"), "lang", "n_bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), most).alias("threshold"),
         (F.col("bits").isNotNull() & F.coalesce(F.col("bits") <= most, F.lit(True))).alias("kept"),
