@@ -11,6 +11,7 @@ from .kneser_ney import op9_quality_classifier
 from .language import op7_language_id
 from .licenses import op2_license_scan
 from .line_dedup import op3_line_dedup
+from .pieces import op5_sentencepiece
 from .quality_rules import op10_quality_rules
 from .simhash import op8_simhash
 from .substrings import op1_suffix_dedup
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_line_dedup": op3_line_dedup,
         "op4_html_extraction": op4_html_extraction,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_decontamination": op6_decontamination,
         "op7_language_id": op7_language_id,
         "op8_simhash": op8_simhash,
