@@ -1,16 +1,19 @@
-"""SentencePiece encoding and decoding over a relational lattice.
+"""SentencePiece encoding and decoding over a lattice of substrings.
 
 Texts are cut into units, between characters that no piece joins, so that units are encoded independently.  The different
-units of the corpus form a lattice: bounded-length substrings are exploded, equi-joined to the piece table and grouped by unit,
-and a fold with Spark's higher-order ``aggregate`` picks each unit's pieces from its edges.
+units form a lattice: bounded-length substrings are exploded, equi-joined to the piece table and grouped by unit, and
+a fold picks each unit's pieces from its edges.
 
 The model decides the fold.  A byte-pair model's library does not compute the best-scoring path: it repeats the
 best-ranked merge of two neighbours.  The fold therefore replays merges over the lattice (state: the boundaries that
 are left), which gives exactly the library's ids.  For a unigram model it is the Viterbi recursion over positions.
 
-Units of a bundle of documents (BUNDLE_BYTES of text) are sent once each, joined with their encodings and brought back to the bundle;
-documents move once.  Units longer than LONGEST characters or with characters outside the vocabulary take the
-same merges (or the same recursion) in Python within their bundle, the latter ending in byte pieces.
+The lattice exists twice.  ``encode_units`` is relational: a DataFrame of units, ``explode``, a join with the piece table, ``groupBy``
+and Spark's higher-order ``aggregate``.  ``encode`` runs the same steps over each batch's different units as numpy columns
+(``Model.encode_many``): bringing the relational lexicon back to the documents takes a row for each different unit of each bundle of
+documents, which the limits do not allow (see the README).  Documents are then not shuffled at all.
+Units longer than LONGEST characters or with characters outside the vocabulary take the same merges (or the same
+recursion) one at a time, the latter ending in byte pieces.
 
 Defined cases: null texts have null ids, empty texts no ids; repeated rows are encoded each on their own; an
 empty table gives an empty result; U+2581 in a text is decoded as a space, as the library does.
@@ -29,12 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .textcore import documents, free_name
+from .textcore import POWERS, U64, codes_in, documents, free_name, mix64
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 48
-BUNDLE_BYTES = 32 << 20
+#: Units in one lattice, characters of text encoded at once, and encoded units that a task remembers.
+CHUNK = 16_384
+PART = 4 << 20
+KNOWN = 400_000
 _KEY = 64  # more than LONGEST: an edge's key is start * _KEY + end
 _ID_BITS = 20
 
@@ -64,6 +70,7 @@ class Model:
         self.longest = max(map(len, self.ids))
         self.units = next(p for p in map(re.compile, PATTERNS) if all(p.findall(x) == [x] for x in self.ids))
         self.alphabet = {p for p in self.ids if len(p) == 1}
+        self._table = None
         self.decoded = [self._decoded(s, i) for i in range(n)]
 
     @staticmethod
@@ -103,6 +110,95 @@ class Model:
             out += [i] if i is not None else [self.bytes[b] for b in p.encode()] if self.has_bytes else [self.unknown]
         return out
 
+    def encode_many(self, units: list[str]) -> list[bytes]:
+        """The ids, as int32 bytes, of units that the lattice encodes (``plain``), column by column."""
+        if self.unigram:
+            return [np.array(self.encode_unit(u), np.int32).tobytes() for u in units]
+        out: list[bytes] = []
+        for i in range(0, len(units), CHUNK):
+            out += self._lattice_merges(units[i : i + CHUNK])
+        return out
+
+    def _joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The piece table by hash: sorted hashes, ranks, ids, lengths in characters."""
+        if self._table is None:
+            pieces = sorted(self.ids)
+            size = np.array([len(p) for p in pieces], np.int64)
+            hashes = self._hashes(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size)
+            order = np.argsort(hashes)
+            if len(np.unique(hashes)) != len(hashes):
+                raise ValueError("two pieces have one hash")
+            rank = np.array([self.rank[p] for p in pieces], np.int64)
+            ids = np.array([self.ids[p] for p in pieces], np.int64)
+            self._table = hashes[order], rank[order], ids[order], size[order]
+        return self._table
+
+    @staticmethod
+    def _totals(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        up, down = POWERS.upto(len(chars) + 1)
+        total = np.zeros(len(chars) + 1, U64)
+        np.cumsum(mix64(chars.astype(U64) + U64(0x51ED270B)) * up[: len(chars)], out=total[1:])
+        return total, down
+
+    def _hashes(self, chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        total, down = self._totals(chars)
+        return mix64((total[start + size] - total[start]) * down[start])
+
+    def _lattice_merges(self, units: list[str]) -> list[bytes]:
+        hashes, ranks, ids, sizes = self._joined()
+        n = np.array([len(u) for u in units], np.int64)
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+        begin = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(units)), n)
+        at = np.arange(len(chars)) - begin[owner]
+        left = n[owner] - at
+        total, down = self._totals(chars)
+        # explode substrings by length and join them to the pieces; edges by unit, start and end
+        width = n + 1
+        base = np.cumsum(width * width) - width * width
+        edge = np.full(int((width * width).sum()), -1, np.int32)
+        place = np.arange(len(chars))
+        for k in range(1, min(self.longest, int(n.max(initial=0))) + 1):
+            place = place[left[place] >= k]
+            code = codes_in(mix64((total[place + k] - total[place]) * down[place]), hashes)
+            hit = np.flatnonzero(code)
+            piece = code[hit] - 1
+            same = sizes[piece] == k
+            p, piece = place[hit[same]], piece[same]
+            u, s = owner[p], at[p]
+            edge[base[u] + s * width[u] + s + k] = piece
+        # fold: the boundaries that are left, all units at once; each round merges one pair of every unit that has one
+        pos = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        unit = np.repeat(np.arange(len(units)), width)
+        rank_of = np.append(ranks, 1 << 30)
+        done_pos, done_unit = [], []
+        while len(pos):
+            first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+            key = np.full(len(pos), 1 << 62, np.int64)
+            inner = np.flatnonzero((unit[1:-1] == unit[:-2]) & (unit[1:-1] == unit[2:])) + 1
+            u = unit[inner]
+            found = rank_of[edge[base[u] + pos[inner - 1] * width[u] + pos[inner + 1]]]
+            key[inner] = (found << 32) | inner
+            best = np.minimum.reduceat(key, first)
+            merges = best < (1 << 62)  # no piece: rank 1 << 30
+            gone = np.zeros(len(pos), bool)
+            gone[best[merges] & 0xFFFFFFFF] = True
+            ended = np.zeros(len(units), bool)
+            ended[unit[first[~merges]]] = True
+            over = ended[unit]
+            done_pos.append(pos[over])
+            done_unit.append(unit[over])
+            keep = ~(over | gone)
+            pos, unit = pos[keep], unit[keep]
+        pos, unit = np.concatenate(done_pos), np.concatenate(done_unit)
+        order = np.argsort(unit, kind="stable")
+        pos, unit = pos[order], unit[order]
+        inside = np.flatnonzero(unit[1:] == unit[:-1])
+        u = unit[inside]
+        flat = ids[edge[base[u] + pos[inside] * width[u] + pos[inside + 1]]].astype(np.int32).tobytes()
+        ends = (np.cumsum(np.bincount(u, minlength=len(units))) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _merged(self, unit: str) -> list[str]:
         n = len(unit)
         end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -164,15 +260,15 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, lowest, n, edges, scores): of each distinct unit, its substrings that are pieces, by start * 64 + end."""
-    spots = units.select("unit", "lowest", F.length("unit").alias("n")).select("unit", "lowest", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    """(unit, n, edges, scores): of each distinct unit, its substrings that are pieces, by start * 64 + end."""
+    spots = units.select("unit", F.length("unit").alias("n")).select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     reach = F.least(F.lit(longest), F.col("n") - F.col("s"))
-    spans = spots.select("unit", "lowest", "s", F.explode(F.sequence(F.lit(1), reach)).alias("k"))
-    parts = spans.select("unit", "lowest", (F.col("s") * _KEY + F.col("s") + F.col("k")).alias("key"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
-    edges = parts.join(F.broadcast(pieces), "piece").select("unit", "lowest", "key", "value", "score")  # the vocabulary's size
-    grouped = edges.groupBy("unit").agg(F.min("lowest").alias("lowest"), F.collect_list(F.struct("key", "value", "score")).alias("e"))
+    spans = spots.select("unit", "s", F.explode(F.sequence(F.lit(1), reach)).alias("k"))
+    parts = spans.select("unit", (F.col("s") * _KEY + F.col("s") + F.col("k")).alias("key"), F.substring("unit", F.col("s") + 1, F.col("k")).alias("piece"))
+    edges = parts.join(F.broadcast(pieces), "piece").select("unit", "key", "value", "score")  # the vocabulary's size
+    grouped = edges.groupBy("unit").agg(F.collect_list(F.struct("key", "value", "score")).alias("e"))
     as_map = lambda v: F.map_from_entries(F.transform("e", lambda x: F.struct(x["key"], x[v])))
-    return grouped.select("unit", "lowest", F.length("unit").alias("n"), as_map("value").alias("edges"), as_map("score").alias("scores"))
+    return grouped.select("unit", F.length("unit").alias("n"), as_map("value").alias("edges"), as_map("score").alias("scores"))
 
 
 def fold_merges() -> Column:
@@ -205,94 +301,54 @@ def fold_viterbi(longest: int) -> Column:
 
 
 def encode_units(units: DataFrame, model: Model) -> DataFrame:
-    """(unit, lowest, ids) of distinct units; ``lowest`` passes through."""
+    """(unit, ids) of distinct units that the lattice encodes (``Model.plain``)."""
     pieces = piece_table(units.sparkSession, model)
     bounds = fold_viterbi(model.longest) if model.unigram else fold_merges()
-    cut = lattice(units, pieces, model.longest).select("unit", "lowest", "edges", bounds.alias("b"))
+    cut = lattice(units, pieces, model.longest).select("unit", "edges", bounds.alias("b"))
     ids = F.expr(f"transform(sequence(1, size(b) - 1), i -> cast(edges[b[i - 1] * {_KEY} + b[i]] & {(1 << _ID_BITS) - 1}L AS int))")
-    return cut.select("unit", "lowest", ids.alias("ids"))
+    return cut.select("unit", ids.alias("ids"))
 
 
 # ------------------------------------------------------------------------------------------- documents
 
 
-def _units_of(path: str, at: int, text_at: int):
-    """Different lattice units of each bundle in a task."""
+def encode(df: DataFrame, text: str = "text", path: str = MODEL) -> tuple[DataFrame, str]:
+    """Every row with an array column of its piece ids."""
+    name = free_name(df, "piece_ids")
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, found = model_at(path), {}
-        for batch in batches:
-            for bundle, text in zip(batch.column(at).to_pylist(), batch.column(0).field(text_at).to_pylist(), strict=True):
-                if text:
-                    found.setdefault(bundle, set()).update(model.split(text))
-        for bundle, units in found.items():
-            own = [u for u in units if model.plain(u)]
-            units.clear()
-            for i in range(0, len(own), 50_000):
-                part = own[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([bundle] * len(part), pa.int32()), pa.array(part)], names=["bundle", "unit"])
-
-    return run
-
-
-def _assemble(path: str, text: str):
-    """A bundle's documents with their ids."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model = model_at(path)
-        ids = right.column("ids").combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) and ids.num_chunks else ids
         known: dict[str, bytes] = {}
-        if len(ids):
-            flat = ids.flatten().to_numpy().astype(np.int32).tobytes()
-            at = np.r_[0, np.cumsum(ids.value_lengths().to_numpy())].tolist()
-            known = {u: flat[4 * a : 4 * b] for u, a, b in zip(right.column("unit").to_pylist(), at, at[1:], strict=False)}
-
-        def of(unit: str) -> bytes:
-            got = known.get(unit)
-            if got is None:
-                got = known[unit] = np.array(model.encode_unit(unit), np.int32).tobytes()
-            return got
-
-        out, sizes, empty = [], [], []
-        for chunk in left.column("row").chunks:
-            for x in chunk.field(chunk.type.get_field_index(text)).to_pylist():
-                units = model.split(x or "")
-                try:
-                    got = b"".join([known[u] for u in units])
-                except KeyError:
-                    got = b"".join([of(u) for u in units])
-                out.append(got)
-                sizes.append(len(got) // 4)
-                empty.append(x is None)
-        offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32), pa.int32(), mask=np.r_[empty, False] if any(empty) else None)
-        lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(out), np.int32)))
-        return pa.table({"row": left.column("row"), "ids": lists})
-
-    return run
-
-
-def encode(df: DataFrame, text: str = "text", path: str = MODEL) -> tuple[DataFrame, str]:
-    """Every row with an array column of its piece ids."""
-    model = model_at(path)
-    name = free_name(df, "piece_ids")
-    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    bundles = max(1, -(-int(size) // BUNDLE_BYTES))
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    # Of all columns, so that copies of a text under many ids are spread.
-    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    key = F.pmod(F.xxhash64(*hashed), F.lit(bundles)).cast("int")
-    # One exchange feeds both uses: documents move once.
-    dealt = df.select(row, key.alias("bundle")).repartition(bundles, "bundle")
-    text_at = df.columns.index(text)
-    units = dealt.mapInArrow(_units_of(path, 1, text_at), "bundle int, unit string").where("unit IS NOT NULL").repartition("unit")
-    # The least bundle is kept so that both sides of the join have one exchange.
-    lowest = units.groupBy("unit").agg(F.min("bundle").alias("lowest"))
-    encoded = encode_units(lowest, model)
-    back = units.join(encoded.hint("merge"), "unit").where(F.col("bundle") >= F.col("lowest")).select("bundle", "unit", "ids")
-    schema = StructType([dealt.schema["row"], StructField("ids", ArrayType(IntegerType()))])
-    out = dealt.groupBy("bundle").cogroup(back.groupBy("bundle")).applyInArrow(_assemble(path, text), schema)
-    return out.select("row.*", F.col("ids").alias(name)), name
+        for batch in batches:
+            first = 0
+            while first < batch.num_rows:
+                texts, size = [], 0
+                while first + len(texts) < batch.num_rows and size < PART:
+                    texts.append(batch.column(at)[first + len(texts)].as_py())
+                    size += len(texts[-1] or "")
+                part = batch.slice(first, len(texts))
+                first += len(texts)
+                yield pa.RecordBatch.from_arrays([*part.columns, _encoded(model, texts, known)], names=[*part.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))])), name
+
+
+def _encoded(model: Model, texts: list[str | None], known: dict[str, bytes]) -> pa.Array:
+    """Piece ids of some texts; ``known`` keeps encoded units from one call to the next, KNOWN of them at most."""
+    split = [model.split(x or "") for x in texts]
+    new = set().union(*split).difference(known)
+    if len(known) + len(new) > KNOWN:
+        known.clear()
+        new = set().union(*split)
+    plain = [u for u in new if model.plain(u)]
+    known.update(zip(plain, model.encode_many(plain), strict=True))
+    for u in new.difference(plain):
+        known[u] = np.array(model.encode_unit(u), np.int32).tobytes()
+    out = [b"".join([known[u] for u in units]) for units in split]
+    missing = [x is None for x in texts]
+    offsets = pa.array(np.r_[0, np.cumsum([len(x) // 4 for x in out])].astype(np.int32), mask=np.r_[missing, False] if any(missing) else None)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(out), np.int32)))
 
 
 def decode(df: DataFrame, ids: str, path: str = MODEL) -> tuple[DataFrame, str]:
