@@ -21,9 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .textcore import ALNUM, LOWER, Block, Words, attach, codes_in, documents, free_name
 
@@ -329,20 +330,30 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", lengt
     Words before and after a cut stay apart: what stood between them and the span is kept.
     """
     found, name = find(df, benchmark, text)
-    spans = F.col(name)["spans"]
-    raw = F.encode(F.col(f"`{text}`"), "UTF-8")
-    n = F.size(spans)
-    # pieces between spans: from each end (or 0) to the next start (or the text's end)
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.filter(spans, lambda _, i: i % 2 == 1))
-    ends = F.concat(F.filter(spans, lambda _, i: i % 2 == 0), F.array(F.octet_length(F.col(f"`{text}`")).cast("bigint")))
-    pieces = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
-    cleaned = F.when(n > 0, F.array_join(pieces, "")).otherwise(F.col(f"`{text}`"))
-    out = [F.col(f"`{c}`") for c in df.columns]
-    out[df.columns.index(text)] = cleaned.alias(text)
-    if length and length in df.columns:
-        k = df.columns.index(length)
-        out[k] = F.when(n > 0, F.length(cleaned)).otherwise(F.col(f"`{length}`")).cast(df.schema[length].dataType).alias(length)
-    return found.select(*out)
+    kept = df.columns
+    at, spans_at = kept.index(text), len(kept)
+
+    def run(batches):
+        for batch in batches:
+            columns, spans = list(batch.columns), batch.column(spans_at).field(1)
+            if pc.max(pc.list_value_length(spans)).as_py():
+                texts = [x if not s else without(x, s) for x, s in zip(columns[at].to_pylist(), spans.to_pylist(), strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+            n = pc.coalesce(pc.list_value_length(spans), 0)
+            yield pa.RecordBatch.from_arrays([*columns[:spans_at], n.cast(pa.int32())], names=[*kept, name])
+
+    out = found.mapInArrow(run, StructType([*df.schema.fields, StructField(name, IntegerType())]))
+    columns = [F.col(f"`{c}`") for c in kept]
+    if length and length in kept:
+        k = kept.index(length)
+        columns[k] = F.when(F.col(name) > 0, F.length(F.col(f"`{text}`"))).otherwise(columns[k]).cast(df.schema[length].dataType).alias(length)
+    return out.select(*columns)
+
+
+def without(text: str, spans: list[int]) -> str:
+    """The text without some byte spans, given as starts and ends in turn."""
+    raw = text.encode()
+    return b"".join(raw[a:b] for a, b in zip([0, *spans[1::2]], [*spans[0::2], len(raw)], strict=True)).decode()
 
 
 def items_digest(items: list[str]) -> str:
