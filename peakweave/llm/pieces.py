@@ -38,9 +38,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 48
 #: Units in one lattice, characters of text encoded at once, and encoded units that a task remembers.
-CHUNK = 16_384
-PART = 4 << 20
-KNOWN = 400_000
+CHUNK = 8_192
+PART = 1 << 20
+KNOWN = 150_000
+#: Ids decoded at once.
+DECODED = 1 << 20
 _KEY = 64  # more than LONGEST: an edge's key is start * _KEY + end
 _ID_BITS = 20
 
@@ -358,18 +360,32 @@ def decode(df: DataFrame, ids: str, path: str = MODEL) -> tuple[DataFrame, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = model_at(path).decoded
+        size = np.array([len(p) for p in pieces], np.int64)
+        start, blob = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
         for batch in batches:
-            lists = batch.column(at)
-            flat, n = lists.flatten().to_numpy().tolist(), lists.value_lengths().to_pylist()
-            out, k = [], 0
-            for size in n:
-                if size is None:
-                    out.append(None)
-                    continue
-                raw = b"".join([pieces[i] for i in flat[k : k + size]])
-                out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-                k += size
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, name])
+            first = 0
+            ends = np.cumsum(np.nan_to_num(np.array(batch.column(at).value_lengths().to_numpy(zero_copy_only=False), float)))
+            while first < batch.num_rows:
+                # rows of about DECODED ids at once, or one longer row
+                upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DECODED, "right")))
+                part = batch.slice(first, upto - first)
+                first = upto
+                lists = part.column(at)
+                flat = lists.flatten().to_numpy()
+                n = size[flat]
+                done = np.cumsum(n)
+                raw = blob[np.repeat(start[flat] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)].tobytes()
+                out, k, p = [], 0, 0
+                for ids in lists.value_lengths().to_pylist():
+                    if ids is None:
+                        out.append(None)
+                        continue
+                    k += ids
+                    end = int(done[k - 1]) if k else 0
+                    text = raw[p:end]
+                    out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+                    p = end
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType())])), name
 
