@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .textcore import Block, attach, blocks, cut, documents
+from .textcore import Block, attach, blocks, cut, documents, trimmed
 
 ORDER = 4
 BITS = 6
@@ -84,7 +84,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_tables(texts: DataFrame) -> dict[int, DataFrame]:
     """Counts by order: raw for the highest, numbers of different left neighbours below it.  Rows (gram, n)."""
-    top = texts.mapInArrow(_count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = texts.mapInArrow(trimmed(_count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     out = {ORDER: cut(top)}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit(SYMBOLS**k - 1))

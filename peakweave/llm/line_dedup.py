@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substrings import keyed
-from .textcore import BASE, GRAPH, INVERSE, POWERS, U64, Block, Words, blocks, documents, free_name
+from .textcore import BASE, GRAPH, INVERSE, POWERS, U64, Block, Words, blocks, documents, free_name, trimmed
 
 MIN_WORDS = 5
 LONG_WORDS = 20
@@ -181,7 +181,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def common_lines(rows: DataFrame) -> DataFrame:
     """From (d, t, text): (d, t, lines) of the documents that have lines to delete; starts and ends in turn, in worded lines from 0."""
-    lines = rows.mapInArrow(_lines, LINES)
+    lines = rows.mapInArrow(trimmed(_lines), LINES)
     place = F.struct("d", "t", "at", "times", "before", "size", "whole")
     shared = lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1")
     total = rows.count()
@@ -190,7 +190,7 @@ def common_lines(rows: DataFrame) -> DataFrame:
     later = (F.struct("d", "t") > F.struct(o["d"], o["t"])) & (o["times"] == 1)
     rare = (F.col("n") <= F.lit(max(2.0, RARE_SHARE * total))) | (F.col("words") >= LONG_WORDS)
     pairs = both.where(later).select("d", "t", o["d"].alias("od"), o["t"].alias("ot"), "at", "before", "size", "whole", o["at"].alias("oat"), o["before"].alias("obefore"), o["size"].alias("osize"), o["whole"].alias("owhole"), "h1", rare.alias("rare"))
-    return pairs.repartition("d", "t").sortWithinPartitions("d", "t").mapInArrow(_aligned, "d bigint, t bigint, lines array<int>")
+    return pairs.repartition("d", "t").sortWithinPartitions("d", "t").mapInArrow(trimmed(_aligned), "d bigint, t bigint, lines array<int>")
 
 
 def cut_lines(text: str, spans: list[int]) -> tuple[str, int, int]:
@@ -236,7 +236,7 @@ def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text") ->
     joined = keys.join(spans, ["d", "t"], "left").select("row", F.col("row")[text].alias("_text"), F.col("lines").alias("_lines"))
     name = free_name(df, "line_found")
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(_cut, f"row {inner}, found struct<text: string, n_lines: bigint, n_removed: bigint>")
+    out = joined.mapInArrow(trimmed(_cut), f"row {inner}, found struct<text: string, n_lines: bigint, n_removed: bigint>")
     return out.select("row.*", F.col("found").alias(name)), name
 
 

@@ -30,9 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from .textcore import POWERS, U64, codes_in, documents, free_name, mix64
+from .textcore import POWERS, U64, codes_in, documents, free_name, mix64, trim
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -73,7 +73,9 @@ class Model:
         self.units = next(p for p in map(re.compile, PATTERNS) if all(p.findall(x) == [x] for x in self.ids))
         self.alphabet = {p for p in self.ids if len(p) == 1}
         self._table = None
-        self.decoded = [self._decoded(s, i) for i in range(n)]
+        decoded = [self._decoded(s, i) for i in range(n)]
+        size = np.array([len(p) for p in decoded], np.int64)
+        self._bytes = size, np.cumsum(size) - size, np.frombuffer(b"".join(decoded), np.uint8)
 
     @staticmethod
     def _merges(s) -> bool:
@@ -121,6 +123,26 @@ class Model:
             out += self._lattice_merges(units[i : i + CHUNK])
         return out
 
+    def decode(self, lists: pa.ListArray) -> list[str | None]:
+        """The texts of lists of ids: piece bytes end to end, without the first space."""
+        size, start, blob = self._bytes
+        flat = lists.flatten().to_numpy()
+        n = size[flat]
+        done = np.cumsum(n)
+        raw = blob[np.repeat(start[flat] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)].tobytes()
+        out: list[str | None] = []
+        k = p = 0
+        for ids in lists.value_lengths().to_pylist():
+            if ids is None:
+                out.append(None)
+                continue
+            k += ids
+            end = int(done[k - 1]) if k else 0
+            text = raw[p:end]
+            out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
+            p = end
+        return out
+
     def _joined(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The piece table by hash: sorted hashes, ranks, ids, lengths in characters."""
         if self._table is None:
@@ -314,10 +336,12 @@ def encode_units(units: DataFrame, model: Model) -> DataFrame:
 # ------------------------------------------------------------------------------------------- documents
 
 
-def encode(df: DataFrame, text: str = "text", path: str = MODEL) -> tuple[DataFrame, str]:
-    """Every row with an array column of its piece ids."""
+def encode(df: DataFrame, text: str = "text", path: str = MODEL, check: bool = False) -> tuple[DataFrame, str]:
+    """Every row with an array column of its piece ids; or, with ``check``, a struct of ``ids`` and whether they decode to the text."""
     name = free_name(df, "piece_ids")
     at = df.columns.index(text)
+    ids_type = ArrayType(IntegerType())
+    kind = StructType([StructField("ids", ids_type), StructField("same", BooleanType())]) if check else ids_type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(path)
@@ -331,9 +355,14 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL) -> tuple[DataFr
                     size += len(texts[-1] or "")
                 part = batch.slice(first, len(texts))
                 first += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, _encoded(model, texts, known)], names=[*part.schema.names, name])
+                ids = _encoded(model, texts, known)
+                if check:
+                    same = pa.array([x == y for x, y in zip(texts, model.decode(ids), strict=True)])
+                    ids = pa.StructArray.from_arrays([ids, same], names=["ids", "same"])
+                yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, name])
+        trim()
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(IntegerType()))])), name
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, kind)])), name
 
 
 def _encoded(model: Model, texts: list[str | None], known: dict[str, bytes]) -> pa.Array:
@@ -359,40 +388,23 @@ def decode(df: DataFrame, ids: str, path: str = MODEL) -> tuple[DataFrame, str]:
     at = df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = model_at(path).decoded
-        size = np.array([len(p) for p in pieces], np.int64)
-        start, blob = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
+        model = model_at(path)
         for batch in batches:
-            first = 0
             ends = np.cumsum(np.nan_to_num(np.array(batch.column(at).value_lengths().to_numpy(zero_copy_only=False), float)))
+            first = 0
             while first < batch.num_rows:
                 # rows of about DECODED ids at once, or one longer row
                 upto = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + DECODED, "right")))
                 part = batch.slice(first, upto - first)
                 first = upto
-                lists = part.column(at)
-                flat = lists.flatten().to_numpy()
-                n = size[flat]
-                done = np.cumsum(n)
-                raw = blob[np.repeat(start[flat] - (done - n), n) + np.arange(int(done[-1]) if len(done) else 0)].tobytes()
-                out, k, p = [], 0, 0
-                for ids in lists.value_lengths().to_pylist():
-                    if ids is None:
-                        out.append(None)
-                        continue
-                    k += ids
-                    end = int(done[k - 1]) if k else 0
-                    text = raw[p:end]
-                    out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-                    p = end
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.decode(part.column(at)), pa.string())], names=[*part.schema.names, name])
+        trim()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType())])), name
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece counts, a hash of the piece ids and whether they decode to the text, of every document."""
-    encoded, ids = encode(documents(spark, sf_dir).select("doc_id", "text"))
-    both, back = decode(encoded, ids)
-    same = F.col(back).eqNullSafe(F.col("text")) | F.contains("text", F.lit(SPACE))
-    return both.select("doc_id", F.coalesce(F.size(ids), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64(ids).alias("ids_xxhash64"), F.coalesce(same, F.lit(True)).alias("round_trip"))
+    encoded, name = encode(documents(spark, sf_dir).select("doc_id", "text"), check=True)
+    x = F.col(name)
+    return encoded.select("doc_id", F.coalesce(F.size(x["ids"]), F.lit(0)).cast("bigint").alias("n_pieces"), F.xxhash64(x["ids"]).alias("ids_xxhash64"), x["same"].alias("round_trip"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import Block, attach, components, cut, documents
+from .textcore import Block, attach, components, cut, documents, trimmed
 
 WORDS_A_SHINGLE = 3
 SEED = 42
@@ -117,7 +117,7 @@ def _edges_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def link_edges(prints: DataFrame) -> DataFrame:
     """Edges (a, b) among distinct fingerprints ``fp`` whose components are those of all links."""
     keyed = variants(prints).repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(_edges_of_keys, "a bigint, b bigint").distinct()
+    return keyed.mapInArrow(trimmed(_edges_of_keys), "a bigint, b bigint").distinct()
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import POWERS, U64, Block, blocks, byte_codes, cut, documents, free_name, mix64
+from .textcore import POWERS, U64, Block, blocks, byte_codes, cut, documents, free_name, mix64, trimmed
 
 LENGTH = 100
 ANCHOR = 32
@@ -154,7 +154,7 @@ def _list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def frequent_anchors(rows: DataFrame) -> np.ndarray:
     """Sorted hashes of the anchors with the most different contexts in a sample of documents; for routing only."""
     some = rows.where(F.pmod(F.xxhash64("d", "t"), F.lit(SAMPLE_OF)) == 0)
-    counts = some.mapInArrow(_list_anchors, "h bigint, c bigint").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    counts = some.mapInArrow(trimmed(_list_anchors), "h bigint, c bigint").distinct().groupBy("h").agg(F.count("*").alias("n"))
     hot = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT)
     return np.sort(np.array([r.h for r in hot.select("h").collect()], np.int64).view(U64))
 
@@ -383,15 +383,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_spans(rows: DataFrame) -> DataFrame:
     """From (d, t, text): (d, t, spans) of the documents that lose bytes; starts and ends in turn, merged, in bytes."""
     hot = frequent_anchors(rows)
-    found = rows.mapInArrow(_map_anchors(hot), "h bigint, c bigint, d bigint, t bigint, lo int, n smallint, later boolean")
+    found = rows.mapInArrow(trimmed(_map_anchors(hot)), "h bigint, c bigint, d bigint, t bigint, lo int, n smallint, later boolean")
     sifted = found.repartition("h").sortWithinPartitions("h", "c", "d", "t", "lo")
-    sifted = sifted.mapInArrow(_sift, "d bigint, t bigint, lo int, n smallint, h bigint, need boolean")
+    sifted = sifted.mapInArrow(trimmed(_sift), "d bigint, t bigint, lo int, n smallint, h bigint, need boolean")
     gathered = sifted.repartition("d", "t").sortWithinPartitions("d", "t")
     gathered = cut(gathered.mapInArrow(_by_document(_Gather(), ["d", "t", "spans", "needs", "keys"]), "d bigint, t bigint, spans array<int>, needs array<int>, keys array<bigint>"))
     asked = gathered.where(F.size("keys") > 0).select("d", "t", "needs", "keys")
     contexts = rows.join(asked, ["d", "t"]).select("d", "t", "text", "needs", "keys")
-    contexts = contexts.mapInArrow(_contexts, "h bigint, d bigint, t bigint, lo int, bytes binary")
-    more = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(_shards, "d bigint, t bigint, lo int, hi int")
+    contexts = contexts.mapInArrow(trimmed(_contexts), "h bigint, d bigint, t bigint, lo int, bytes binary")
+    more = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_shards), "d bigint, t bigint, lo int, hi int")
     pairs = F.expr("explode(transform(sequence(0, int(size(spans) / 2) - 1), i -> struct(spans[2 * i] AS lo, spans[2 * i + 1] AS hi))) AS s")
     some = gathered.where(F.size("spans") > 0).select("d", "t", pairs).select("d", "t", "s.lo", "s.hi")
     every = some.unionByName(more).repartition("d", "t").sortWithinPartitions("d", "t")
@@ -444,4 +444,4 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated-substring removal leaves of every document."""
     found, name = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-    return found.select("doc_id", "text", name).mapInArrow(_digest, f"doc_id bigint, {FIELDS}")
+    return found.select("doc_id", "text", name).mapInArrow(trimmed(_digest), f"doc_id bigint, {FIELDS}")

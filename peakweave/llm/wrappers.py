@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .textcore import free_name
+from .textcore import free_name, trimmed
 
 SALTS = 16
 LONGEST = 3000
@@ -388,7 +388,7 @@ def _fold_groups(by: list[str]):
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper) of every host: a wrapper is JSON."""
     rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
-    parts = rows.mapInArrow(_infer, "host string, salt int, wrapper string")
+    parts = rows.mapInArrow(trimmed(_infer), "host string, salt int, wrapper string")
     salted = parts.groupBy("host", "salt").applyInPandas(_fold_groups(["host", "salt"]), "host string, salt int, wrapper string")
     return salted.groupBy("host").applyInPandas(_fold_groups(["host"]), "host string, wrapper string")
 
