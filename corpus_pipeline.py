@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from peakweave.llm.fmindex import decontaminate
 from peakweave.llm.line_dedup import filter_lines
-from peakweave.llm.pieces import decode, encode
+from peakweave.llm.pieces import encode
 from peakweave.llm.quality_rules import quality_filter
 from peakweave.llm.simhash import keep_one
 from peakweave.llm.textcore import scratch
@@ -42,11 +42,10 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' columns but the text, its piece ids and whether they decode to it."""
-    encoded, ids = encode(docs)
-    both, back = decode(encoded, ids)
-    same = F.col(back).eqNullSafe(F.col("text"))
+    encoded, name = encode(docs, check=True)
+    x = F.col(name)
     rest = [c for c in docs.columns if c != "text"]
-    return both.select(*rest, F.coalesce(F.size(ids), F.lit(0)).cast("bigint").alias("n_pieces"), F.col(ids).alias("piece_ids"), same.alias("round_trip"))
+    return encoded.select(*rest, F.coalesce(F.size(x["ids"]), F.lit(0)).cast("bigint").alias("n_pieces"), x["ids"].alias("piece_ids"), x["same"].alias("round_trip"))
 
 
 STAGES = [
