@@ -63,11 +63,7 @@ def average_ranks(table: DataFrame, by: str, value: str, n: int, winsorize: bool
     return table.withColumn("rank", r)
 
 
-def dense_counts(counts: DataFrame, cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """Counts of a few regions with their zeros: each region's row is exploded to all cells by an equi-join on a constant-free key.
-
-    For a bounded number of regions; whole matrices stay sparse.
-    """
-    wanted = regions.select("idx").distinct()
-    spread = cells.select("cell").join(wanted.agg(F.collect_list("idx").alias("all")).withColumn("k", F.lit(1)), F.lit(1) == F.col("k")).select("cell", F.explode("all").alias("idx"))
+def dense_counts(counts: DataFrame, cells: DataFrame, regions: list[int]) -> DataFrame:
+    """Counts of a few given regions with their zeros; whole matrices stay sparse."""
+    spread = cells.select("cell", F.explode(F.array(*[F.lit(i).cast("bigint") for i in regions])).alias("idx"))
     return spread.join(counts, ["cell", "idx"], "left").select("cell", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
