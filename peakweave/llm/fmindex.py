@@ -21,10 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from .textcore import ALNUM, LOWER, Block, Words, attach, codes_in, documents, free_name
 
@@ -33,7 +32,7 @@ WINDOW = 10
 BLOCK_WORDS = 4_000_000
 #: Every so many positions of the text, the suffix array's entry is kept.
 SAMPLE = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 # ---------------------------------------------------------------------------------------------- index
@@ -237,7 +236,8 @@ def shard_hits(block: Block, p: Phrases) -> tuple[Words, np.ndarray, list[tuple[
 
 # ---------------------------------------------------------------------------------------------- operator
 
-FIELDS = "n_words bigint, spans array<bigint>, n_hit bigint, items array<string>"
+#: ``cut`` is the text without the spans, null where there are none.
+FIELDS = "n_words bigint, spans array<bigint>, n_hit bigint, items array<string>, cut string"
 
 
 def _find(p: Phrases):
@@ -259,7 +259,9 @@ def _find(p: Phrases):
         items: list[list[str]] = [[] for _ in range(len(block))]
         for d, x in pairs:
             items[d].append(p.ids[x])
-        return [words.counts(), pa.array(spans, pa.list_(pa.int64())), n_hit, pa.array(items, pa.list_(pa.string()))]
+        at = block.bounds.tolist()
+        cut = [without(block.data[at[d] : at[d + 1]].tobytes(), own) if own else None for d, own in enumerate(spans)]
+        return [words.counts(), pa.array(spans, pa.list_(pa.int64())), n_hit, pa.array(items, pa.list_(pa.string())), pa.array(cut, pa.string())]
 
     return compute
 
@@ -316,8 +318,8 @@ def _merged(df: DataFrame, columns: list[str], names: list[str], text: str, name
                     else:
                         united += [a, b]
                 hit = sum(int(np.searchsorted(words.starts, b) - np.searchsorted(words.starts, a)) for a, b in zip(united[0::2], united[1::2], strict=True))
-                got.append({"n_words": len(words), "spans": united, "n_hit": hit, "items": i})
-            kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))])
+                got.append({"n_words": len(words), "spans": united, "n_hit": hit, "items": i, "cut": without(t.encode(), united) if united else None})
+            kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("cut", pa.string())])
             keep = batch.select(columns)
             yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(got, kind)], names=[*columns, name])
 
@@ -330,29 +332,17 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", lengt
     Words before and after a cut stay apart: what stood between them and the span is kept.
     """
     found, name = find(df, benchmark, text)
-    kept = df.columns
-    at, spans_at = kept.index(text), len(kept)
+    cut = F.col(name)["cut"]
+    out = [F.col(f"`{c}`") for c in df.columns]
+    out[df.columns.index(text)] = F.coalesce(cut, F.col(f"`{text}`")).alias(text)
+    if length and length in df.columns:
+        k = df.columns.index(length)
+        out[k] = F.when(cut.isNotNull(), F.length(cut)).otherwise(out[k]).cast(df.schema[length].dataType).alias(length)
+    return found.select(*out)
 
-    def run(batches):
-        for batch in batches:
-            columns, spans = list(batch.columns), batch.column(spans_at).field(1)
-            if pc.max(pc.list_value_length(spans)).as_py():
-                texts = [x if not s else without(x, s) for x, s in zip(columns[at].to_pylist(), spans.to_pylist(), strict=True)]
-                columns[at] = pa.array(texts, columns[at].type)
-            n = pc.coalesce(pc.list_value_length(spans), 0)
-            yield pa.RecordBatch.from_arrays([*columns[:spans_at], n.cast(pa.int32())], names=[*kept, name])
-
-    out = found.mapInArrow(run, StructType([*df.schema.fields, StructField(name, IntegerType())]))
-    columns = [F.col(f"`{c}`") for c in kept]
-    if length and length in kept:
-        k = kept.index(length)
-        columns[k] = F.when(F.col(name) > 0, F.length(F.col(f"`{text}`"))).otherwise(columns[k]).cast(df.schema[length].dataType).alias(length)
-    return out.select(*columns)
-
-
-def without(text: str, spans: list[int]) -> str:
-    """The text without some byte spans, given as starts and ends in turn."""
-    raw = text.encode()
+
+def without(raw: bytes, spans: list[int]) -> str:
+    """A UTF-8 text without some byte spans, given as starts and ends in turn."""
     return b"".join(raw[a:b] for a, b in zip([0, *spans[1::2]], [*spans[0::2], len(raw)], strict=True)).decode()
 
 

@@ -53,7 +53,7 @@ class Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            m = max(n, 2 * len(self.up), 1 << 16)
+            m = -(-n >> 18 << 18) if n > 1 << 18 else 1 << 18
             up, down = np.full(m, BASE, U64), np.full(m, INVERSE, U64)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
