@@ -6,7 +6,7 @@ texts, the same number for each language; kernel ridge regression, one language
 the landmarks' feature space; texts are scored by batched matrix products of presence rows, landmarks and weights.
 
 Training rows are those with a text and a language whose crc32(doc_id as text) modulo 3 is not 1.  Of each language the
-TRAIN_ROWS rows with the least hash are the training sample (a documented bound, the same at every input size).
+TRAIN_ROWS rows with the least hash of their id are the training sample (a documented bound, the same at every input size).
 
 Letters are lower-cased, everything else becomes one space.  N-grams are of UTF-8 bytes, never across texts.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .textcore import U64, Block, attach, documents, mix64
@@ -31,6 +31,8 @@ BINS = 1 << 12
 #: Rows of each language that training may use, and landmarks of each language.
 TRAIN_ROWS = 400
 LANDMARKS = 64
+#: Ids with a hash below the share that would give so many times TRAIN_ROWS are looked at; hashes count modulo SLOTS.
+SPARE, SLOTS = 4, 1 << 40
 RIDGE = 1e-2
 UNKNOWN = "und"
 #: Presence rows that are held at once.
@@ -125,11 +127,16 @@ def train(df: DataFrame, id_column: str = "doc_id", text: str = "text", lang: st
     rows = df.select(F.col(f"`{id_column}`").alias("i"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("l"))
     rows = rows.where(F.col("i").isNotNull() & F.col("l").isNotNull() & ~held_out(F.col("i")) & has_letter(F.col("text")))
     order = F.xxhash64("i")
-    place = F.row_number().over(Window.partitionBy("l").orderBy("o"))  # cut to TRAIN_ROWS before the shuffle
-    own = rows.select("l", order.alias("o")).withColumn("n", place).where(F.col("n") <= TRAIN_ROWS)
-    wanted = sorted({r.o for r in own.select("o").collect()})
-    if not wanted:
+    # Rows by language first, so that only those with a hash small enough to be among the least are gathered.
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).collect()
+    if not sizes:
         return None
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r.l, min(1.0, SPARE * TRAIN_ROWS / r.n))])[F.col("l")]
+    near = rows.where(F.pmod(order, F.lit(SLOTS)) < share * SLOTS).select("l", order.alias("o")).collect()
+    own: dict[str, set[int]] = {}
+    for r in near:
+        own.setdefault(r.l, set()).add(r.o)
+    wanted = sorted(o for x in own.values() for o in sorted(x, key=lambda o: (o % SLOTS, o))[:TRAIN_ROWS])
     found, name = attach(rows.where(order.isin(wanted)), "bits binary", _packed)
     got = sorted({(r.l, r.o, bytes(r.b)) for r in found.select("l", order.alias("o"), F.col(name)["bits"].alias("b")).collect()})
     bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in got), np.uint8)).reshape(len(got), -1)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substrings import keyed
-from .textcore import BASE, GRAPH, INVERSE, POWERS, U64, Block, Words, blocks, documents, free_name, trimmed
+from .textcore import BASE, GRAPH, INVERSE, POWERS, U64, Block, Words, blocks, cut, documents, free_name, trimmed
 
 MIN_WORDS = 5
 LONG_WORDS = 20
@@ -183,7 +183,8 @@ def common_lines(rows: DataFrame) -> DataFrame:
     """From (d, t, text): (d, t, lines) of the documents that have lines to delete; starts and ends in turn, in worded lines from 0."""
     lines = rows.mapInArrow(trimmed(_lines), LINES)
     place = F.struct("d", "t", "at", "times", "before", "size", "whole")
-    shared = lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1")
+    # Written out, so that either side of the join below has a shuffle of its own and Spark can split a hot line's partition.
+    shared = cut(lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1"))
     total = rows.count()
     o = F.col("o")
     both = lines.where((F.col("words") >= MIN_WORDS) & (F.col("times") == 1)).join(shared, ["h1", "h2"])

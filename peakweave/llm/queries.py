@@ -33,5 +33,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Words of whole texts, windows of the items, and every place of a window.
+_OP6 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+places AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(0, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[k + 1 : k + n], ' ') AS phrase FROM places),
+sizes AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT doc_id, n, k, array_to_string(w[k + 1 : k + n], ' ') AS phrase FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS k FROM d JOIN sizes ON len(w) >= n)),
+found AS (SELECT DISTINCT doc_id, n, k, item FROM spots JOIN windows USING (n, phrase)),
+hits AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM (SELECT DISTINCT doc_id, n, k FROM found)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators' models, alignments, byte arithmetic or hashes are beyond SQL; tests hold them against brute force."""
+    return {"op6_decontamination": _OP6}
