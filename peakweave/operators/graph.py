@@ -49,6 +49,7 @@ def component_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def communities(edges: DataFrame, seed: int = 42) -> DataFrame:
     """(node, community): Louvain in each component with the whole graph's weight; a community is named by its smallest node."""
+    edges = checkpointed(edges)
     total = float(edges.agg(F.sum("w")).first()[0] or 0.0)
     labels = component_labels(edges)
     placed = edges.join(labels.withColumnRenamed("node", "a"), "a")

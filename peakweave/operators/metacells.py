@@ -39,14 +39,16 @@ def lsi(counts: DataFrame, n_cells: int, n_components: int = 20, highly_variable
     """
     own = counts if highly_variable is None else counts.join(highly_variable.select("idx"), "idx", "left_semi")
     x = checkpointed(lsi_normalize(own, n_cells))
-    columns = {r.idx: k for k, r in enumerate(x.select("idx").distinct().orderBy("idx").collect())}
+    columns = np.array([r.idx for r in x.select("idx").distinct().orderBy("idx").collect()], np.int64)
     k = min(n_components + oversample, len(columns), n_cells)
-    by_cell = checkpointed(x.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("row")))
+    sorted_row = F.array_sort(F.collect_list(F.struct("idx", "value")))
+    by_cell = checkpointed(x.groupBy("cell").agg(sorted_row.alias("row")).select("cell", F.col("row.idx").alias("at"), F.col("row.value").alias("value")))
     basis = np.random.default_rng(seed).normal(size=(len(columns), k))
+    sums_schema = "r bigint, " + ", ".join(f"c{i} double" for i in range(k))
 
-    def rows_of(frame: pd.DataFrame, q: np.ndarray) -> tuple[list, np.ndarray, list]:
-        parts = [([columns[e["idx"]] for e in row], np.array([e["value"] for e in row])) for row in frame["row"]]
-        return parts, np.array([v @ q[i] for i, v in parts]).reshape(-1, q.shape[1]), frame["cell"].tolist()
+    def rows_of(frame: pd.DataFrame, q: np.ndarray) -> tuple[list, np.ndarray]:
+        parts = [(np.searchsorted(columns, i), v) for i, v in zip(frame["at"], frame["value"], strict=True)]
+        return parts, np.array([v @ q[i] for i, v in parts]).reshape(-1, q.shape[1])
 
     for _ in range(rounds):
         q = np.linalg.qr(basis)[0]
@@ -54,20 +56,21 @@ def lsi(counts: DataFrame, n_cells: int, n_components: int = 20, highly_variable
         def product(frames: Iterator[pd.DataFrame], q: np.ndarray = q) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(columns), q.shape[1]))
             for frame in frames:
-                parts, y, _ = rows_of(frame, q)
+                parts, y = rows_of(frame, q)
                 for (i, v), z in zip(parts, y, strict=True):
                     total[i] += np.outer(v, z)
-            yield pd.DataFrame({"r": np.repeat(np.arange(len(columns)), q.shape[1]), "c": np.tile(np.arange(q.shape[1]), len(columns)), "v": total.ravel()})
+            some = np.flatnonzero(total.any(1))
+            yield pd.DataFrame({"r": some, **{f"c{i}": total[some, i] for i in range(q.shape[1])}})
 
-        sums = by_cell.mapInPandas(product, "r bigint, c bigint, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).toPandas()
+        # a row a region and task, summed by region
+        sums = by_cell.mapInPandas(product, sums_schema).groupBy("r").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
         basis = np.zeros((len(columns), k))
-        basis[sums["r"], sums["c"]] = sums["v"]
+        basis[sums["r"]] = sums.drop(columns="r").to_numpy()
     q = np.linalg.qr(basis)[0]
 
     def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            _, y, cells = rows_of(frame, q)
-            yield pd.DataFrame({"cell": cells, "y": list(y)})
+            yield pd.DataFrame({"cell": frame["cell"], "y": list(rows_of(frame, q)[1])})
 
     projected = checkpointed(by_cell.mapInPandas(project, "cell bigint, y array<double>"))
     gram = projected.select(F.posexplode("y").alias("a", "u"), "y").select("a", "u", F.posexplode("y").alias("b", "v")).groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("g")).toPandas()
