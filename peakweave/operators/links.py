@@ -39,9 +39,47 @@ def order_links(links: DataFrame) -> DataFrame:
     return links.orderBy(F.desc("score"), "i", "j").drop("i", "j")
 
 
-def score_quantiles(network: DataFrame, at: list[float]) -> DataFrame:
-    exact = F.percentile("score", F.array(*[F.lit(x) for x in at]))
-    return network.agg(exact.alias("q")).select(F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in at]).alias("p"), F.col("q"))).alias("z")).select(F.col("z.p").alias("p"), F.col("z.q").alias("value"))
+#: Values that the search for an order statistic may bring to the driver, and bins of each pass before.
+FEW, BINS = 10_000, 4096
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """Exact values at some ranks (from 0): each pass counts values in bins and goes on in the bins that hold the ranks.
+
+    A pass is one aggregate of at most BINS rows, so no task or driver holds the values themselves.
+    """
+    values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
+    out: dict[int, float] = {}
+    open_: list[tuple[float | None, float | None, int, list[int]]] = [(None, None, 0, sorted(set(ranks)))]
+    while open_:
+        low, high, before, wanted = open_.pop()
+        part = values if low is None else values.where(F.col("v").between(low, high))
+        size = part.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).first()
+        if not size.n:
+            continue
+        if size.a == size.b or size.n <= FEW:
+            own = [size.a] * size.n if size.a == size.b and size.n > FEW else sorted(r.v for r in part.collect())
+            out |= {k: float(own[k - before]) for k in wanted}
+            continue
+        step = (size.b - size.a) / BINS
+        place = F.least(F.floor((F.col("v") - size.a) / step), F.lit(BINS - 1)) if step else F.lit(0)
+        bins = part.groupBy(place.alias("bin")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).collect()
+        done = before
+        for r in sorted(bins, key=lambda r: r.a):
+            inside = [k for k in wanted if done <= k < done + r.n]
+            if inside:
+                open_.append((r.a, r.b, done, inside))
+            done += r.n
+    return out
+
+
+def score_quantiles(network: DataFrame, at: list[float], score: str = "score") -> DataFrame:
+    """(p, value): exact quantiles with linear interpolation."""
+    n = network.where(F.col(score).isNotNull()).count()
+    place = {p: p * (n - 1) for p in at} if n else {}
+    found = order_statistics(network, score, [k for x in place.values() for k in (int(x), min(int(x) + 1, n - 1))])
+    rows = [(p, found[int(x)] + (found[min(int(x) + 1, n - 1)] - found[int(x)]) * (x - int(x))) for p, x in place.items()]
+    return network.sparkSession.createDataFrame(rows, "p double, value double")
 
 
 def score_histogram(network: DataFrame, low: float, high: float, bins: int) -> DataFrame:

@@ -152,3 +152,15 @@ def test_stream_of_counts(spark, tmp_path):
     q = stream.start_region_sums(df, "sums_test", str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert {(r.idx, r.n, r.sx, r.sxx) for r in spark.sql("SELECT * FROM sums_test").collect()} == {(1, 2, 5.0, 13.0), (2, 1, 1.0, 1.0)}
+
+
+def test_order_statistics(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    values = np.round(np.concatenate([rng.normal(size=3000), np.zeros(2000), [1e6]]), 3)
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "score double")
+    monkeypatch.setattr(links, "FEW", 20)
+    monkeypatch.setattr(links, "BINS", 16)
+    ranks = [0, 1, 2499, 2500, 4999, 5000]
+    assert links.order_statistics(df, "score", ranks) == {k: float(np.sort(values)[k]) for k in ranks}
+    got = {r.p: r.value for r in links.score_quantiles(df, [0.1, 0.5, 0.99]).collect()}
+    assert got == pytest.approx({p: float(np.quantile(values, p)) for p in got})
