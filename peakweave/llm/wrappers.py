@@ -58,10 +58,10 @@ _SKIP_WORD = re.compile(
 class Text:
     """A stretch of text: its place in the stream, its block, the decoded text and where it stood."""
 
-    __slots__ = ("block", "linked", "main", "text")
+    __slots__ = ("block", "inside", "linked", "main", "text")
 
-    def __init__(self, text: str, block: int, main: bool, linked: bool) -> None:
-        self.text, self.block, self.main, self.linked = text, block, main, linked
+    def __init__(self, text: str, block: int, main: bool, linked: bool, inside: bool) -> None:
+        self.text, self.block, self.main, self.linked, self.inside = text, block, main, linked, inside
 
 
 def _skipped(name: str, attributes: str, in_article: bool) -> bool:
@@ -101,10 +101,9 @@ def read(html: str) -> tuple[list[str], list[Text]]:
                 texts[-1].text += " "
             return
         stream.append("#")
-        texts.append(Text(unescape(raw), block, not skipped, links > 0))
-        inside.append(articles > 0)
+        texts.append(Text(unescape(raw), block, not skipped and not odd_block, links > 0, articles > 0))
 
-    inside: list[bool] = []
+    odd_block = False  # a paragraph or heading that says it is an advert, a notice and so on
     size = len(html)
     while at < size:
         m = _TOKEN.search(html, at)
@@ -129,6 +128,7 @@ def read(html: str) -> tuple[list[str], list[Text]]:
             continue
         if name not in _INLINE:
             block += 1
+            odd_block = not close and name not in _CONTAINER and "=" in m[3] and _skipped(name, m[3], True)
         elif name == "br" and texts and texts[-1].block == block:
             texts[-1].text += " "
         stream.append(f"</{name}>" if close else f"<{_label(name, m[3])}>")
@@ -152,8 +152,8 @@ def read(html: str) -> tuple[list[str], list[Text]]:
                 if n == name:
                     break
     if seen_article:
-        for t, own in zip(texts, inside, strict=True):
-            t.main &= own
+        for t in texts:
+            t.main &= t.inside
     else:  # blocks of links alone are menus
         linked: dict[int, bool] = {}
         for t in texts:
@@ -220,7 +220,7 @@ def group(stream: list[str]) -> list[Item]:
 
 # ------------------------------------------------------------------------------------------- wrappers
 
-#: A wrapper: a list of [key, unit or null, optional, slots]; a slot is [pages, constant hash or null, main characters, other characters].
+#: A wrapper: a list of [key, unit or null, optional, slots]; a slot is [pages, constant hash or null, main characters, other characters, characters in an article].
 
 
 def of_page(items: list[Item], texts: list[Text]) -> list[list]:
@@ -232,7 +232,7 @@ def of_page(items: list[Item], texts: list[Text]) -> list[list]:
             t = [texts[i] for i in own]
             whole = " ".join(" ".join(y.text.split()) for y in t)
             good = sum(len(y.text) for y in t if y.main)
-            slots.append([1, crc32(whole.encode()), good, sum(len(y.text) for y in t) - good])
+            slots.append([1, crc32(whole.encode()), good, sum(len(y.text) for y in t) - good, sum(len(y.text) for y in t if y.inside)])
         out.append([x.key, list(x.unit) if x.unit else None, False, slots])
     return out
 
@@ -254,7 +254,7 @@ def _regroup(wrapper: list[list], units: list[tuple[str, ...]]) -> list[list]:
 
 
 def _slot(a: list, b: list) -> list:
-    return [a[0] + b[0], a[1] if a[1] is not None and a[1] == b[1] else None, a[2] + b[2], a[3] + b[3]]
+    return [a[0] + b[0], a[1] if a[1] is not None and a[1] == b[1] else None, *(x + y for x, y in zip(a[2:], b[2:], strict=True))]
 
 
 def align(a: list[list], b: list[list]) -> list[list]:
@@ -295,13 +295,15 @@ def expression(wrapper: list[list]) -> str:
 def _parsed(wrapper: str) -> tuple[list[str], list[tuple[str, ...]], list[list[bool | None]]]:
     """Keys, units and each slot's label: main text, not, or unknown."""
     w = json.loads(wrapper)
-    has_main = any(s[2] for x in w for s in x[3])
+    pages = max((s[0] for x in w for s in x[3]), default=0)
+    varied = any(s[1] is None and s[2] > s[3] for x in w for s in x[3])
 
     def label(s: list) -> bool | None:
-        pages, constant, good, other = s
+        seen, constant, good, other, inside = s
         if not good and not other:
             return None
-        if constant is not None and pages >= CONSTANT_FROM and has_main and other:
+        # the same text on most pages of a host whose pages differ is the template's, unless an article has it
+        if constant is not None and varied and not inside and seen >= max(CONSTANT_FROM, pages / 2):
             return False
         return good >= other
 
