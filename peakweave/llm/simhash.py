@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import Block, attach, components, cut, documents, trimmed
+from .textcore import Block, attach, components, cut, documents, free_name, trimmed
 
 WORDS_A_SHINGLE = 3
 SEED = 42
@@ -141,9 +141,10 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
 
     Of several rows with the smallest id one stays; a row with a null id stays only where its component has no other id.
     """
-    found = near_duplicates(df, id_column, text).select(F.col("id").alias("_id"), "component_id")
-    keep = found.where("_id <=> component_id").select("_id").distinct()
-    rows = df.join(keep, F.col(f"`{id_column}`").eqNullSafe(F.col("_id")), "left_semi")
+    key = free_name(df, "kept_id")
+    found = near_duplicates(df, id_column, text)
+    keep = found.where("id <=> component_id").select(F.col("id").alias(key)).distinct()
+    rows = df.join(keep, F.col(f"`{id_column}`").eqNullSafe(F.col(key)), "left_semi")
     return rows.dropDuplicates([id_column])
 
 

@@ -80,7 +80,8 @@ def test_fingerprints_and_components(spark, docs, rows):
     every = [*rows, *near, (None, "one"), (None, "no other has this text here")]
     got = sorted(((r.id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
     assert got == sorted(brute.op8(every), key=repr)
-    kept = simhash.keep_one(df)
+    kept = simhash.keep_one(df.withColumn("kept_id", F.lit(1)).withColumn("_id", F.lit(2)).withColumn("component_id", F.lit(3)))
+    assert kept.columns == ["doc_id", "text", "kept_id", "_id", "component_id"]
     assert kept.count() == len({c if c is not None else f for _, f, c in got})
 
 
