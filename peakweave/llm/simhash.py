@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import Block, attach, components, cut, documents, free_name, trimmed
+from .substrings import keyed
+from .textcore import Block, attach, components, cut, documents, trimmed
 
 WORDS_A_SHINGLE = 3
 SEED = 42
@@ -125,27 +126,33 @@ def fingerprints(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     return attach(df, "fp bigint", _fingerprints, text, name="simhash")
 
 
+def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows with ``text``: the rows' other columns with ``fp``, and (fp, root) of every distinct fingerprint."""
+    found, name = fingerprints(rows)
+    prints = cut(found.select(*[F.col(c) for c in rows.columns if c != "text"], F.col(name)["fp"].alias("fp")))
+    distinct = cut(prints.select("fp").distinct())
+    roots = components(link_edges(distinct)).withColumnRenamed("id", "fp")
+    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id of the row's component."""
-    found, name = fingerprints(df.select(F.col(id_column).alias("id"), F.col(text).alias("text")))
-    prints = cut(found.select("id", F.col(name)["fp"].alias("fp")))
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = components(link_edges(distinct.select("fp"))).withColumnRenamed("id", "fp")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(placed.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    prints, roots = _placed(df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")))
+    # a fingerprint's copies are merged before they meet the others of the component
+    lowest = prints.groupBy("fp").agg(F.min("id").alias("low")).join(roots, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
+    return prints.join(roots.join(lowest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each near-duplicate component, that of its smallest id, with the columns unchanged.
 
-    Of several rows with the smallest id one stays; a row with a null id stays only where its component has no other id.
+    Rows without an id come after all others; of different texts under one id the one with the smaller hash is the
+    component's first; of rows with the same id and text one stays.
     """
-    key = free_name(df, "kept_id")
-    found = near_duplicates(df, id_column, text)
-    keep = found.where("id <=> component_id").select(F.col("id").alias(key)).distinct()
-    rows = df.join(keep, F.col(f"`{id_column}`").eqNullSafe(F.col(key)), "left_semi")
-    return rows.dropDuplicates([id_column])
+    prints, roots = _placed(keyed(df, id_column, text))
+    first = F.min(F.struct((F.col("d") == F.lit(-(1 << 63))).alias("none"), "d", "t")).alias("first")
+    keep = prints.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.t")
+    return keyed(df, id_column, text, whole=True).join(keep, ["d", "t"]).dropDuplicates(["d", "t"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
