@@ -164,3 +164,37 @@ def test_order_statistics(spark, monkeypatch):
     assert links.order_statistics(df, "score", ranks) == {k: float(np.sort(values)[k]) for k in ranks}
     got = {r.p: r.value for r in links.score_quantiles(df, [0.1, 0.5, 0.99]).collect()}
     assert got == pytest.approx({p: float(np.quantile(values, p)) for p in got})
+
+
+def test_holder_functions(spark, atac):
+    again = pw.add_region_infos(atac)
+    assert again.regions.count() == 30 and again.counts.agg({"value": "sum"}).first() == atac.counts.agg({"value": "sum"}).first()
+    assert [r.idx for r in pw.sort_regions(atac).regions.orderBy("start").collect()] == list(range(30))
+    part = pw.subset_region(pw.Atac(atac.counts, atac.regions, 40, {"n": spark.createDataFrame([(0, 1, 0.5), (0, 29, 0.1)], "i bigint, j bigint, score double")}), "chr1", 0, 10_000)
+    assert part.regions.count() == 5 and part.counts.agg({"idx": "max"}).first()[0] == 4 and part.networks["n"].count() == 1
+    few = pw.compute_metacells(atac, k=10, method="sum")
+    assert 1 <= few.n_cells <= 40 and few.counts.select("idx").distinct().count() == 30
+    own = pw.Atac(atac.counts, atac.regions, 40, embeddings={"given": spark.createDataFrame([(i, [float(i)]) for i in range(40)], "cell bigint, vec array<double>")})
+    assert pw.compute_metacells(own, k=4, dim_reduction="given", max_metacells=1).n_cells == 1
+    with pytest.raises(ValueError):
+        pw.compute_metacells(atac, projection="umap")
+
+
+def test_plot_of_links_and_genes(spark):
+    links_ = spark.createDataFrame([("chr1_100000_100050", "chr1_200000_200050", 0.8), ("chr1_100000_100050", "chr1_300000_300050", -0.2)], "Peak1 string, Peak2 string, score double")
+    genes = spark.createDataFrame([("chr1", 100_000, 200_000, "GENE1", "+")], "chromosome string, start bigint, end bigint, genename string, strand string")
+    arcs, boxes, tracks = pw.plot_connections_genes(links_, genes, "chr1", 90_000, 400_000)
+    assert [(r.center, r.width, r.sign, r.alpha) for r in arcs.collect()] == [(150_025.0, 100_000.0, "positive", 1.0)]
+    assert boxes.count() == 3 and tracks.first().track == 0
+    with pytest.warns(UserWarning):
+        pw.plot_connections(links_, "chr1", 90_000, 400_000, key="x")
+    with pytest.raises(ValueError):
+        pw.plot_connections(links_, "chr2", 0, 1)
+
+
+def test_genes_from_a_file(spark, tmp_path):
+    path = str(tmp_path / "genes.csv")
+    with open(path, "w") as f:
+        f.write("chromosome_name,start_position,end_position,strand,external_gene_name\n1,10,20,1,A\nX,5,9,-1,\n")
+    got = tables.read_genes(spark, path, "csv", header="true", inferSchema="true").collect()
+    assert {(r.chromosome, r.strand, r.genename) for r in got} == {("chr1", "+", "A"), ("chrX", "-", None)}
