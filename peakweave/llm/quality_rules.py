@@ -115,7 +115,7 @@ def rules(s: Column) -> dict[str, Column]:
         "case": _vote(shout < 0.2, shout > 0.5),
         "letters": _vote(per_word("n_alpha_words") > 0.9, per_word("n_alpha_words") < 0.7),
         "letter_share": _vote(share > 0.9, share < 0.8),
-        "endings": _vote(per_line("n_ended") > 0.5, (per_line("n_ended") < 0.1) & (s["n_lines"] >= 4)),
+        "endings": _vote(per_line("n_ended") > 0.5, (per_line("n_ended") < 0.1) & (s["n_lines"] >= 10)),
     }
 
 
