@@ -20,7 +20,7 @@ def test_quality_statistics(docs, rows):
 def test_quality_rejects_junk_and_keeps_prose(spark):
     import random
 
-    from conftest import prose
+    from samples import prose
 
     rng = random.Random(4)
     good = [(i, "\n".join(prose(rng, 30).capitalize() + "." for _ in range(4))) for i in range(200)]
