@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,31 +132,51 @@ def knn(embedding: DataFrame, k: int, id_column: str = "cell", vec: str = "vec")
     return found.withColumn("rank", place.cast("bigint")).where(F.col("rank") <= k).select("cell", "neighbor", "rank")
 
 
+def conflicts(sets: DataFrame, k: int, least: int) -> DataFrame:
+    """(a, b), a < b: sets (cell, members) of k members that share ``least`` or more.
+
+    Members are ordered by how many sets have them, rarest first; sets that share ``least`` members share one of the
+    first k - least + 1, so only those are joined, and the pairs found are compared whole.
+    """
+    flat = sets.select("cell", F.explode("members").alias("m"))
+    often = flat.groupBy("m").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("often", "m"))
+    first = checkpointed(flat.join(often, "m").withColumn("place", place).where(F.col("place") <= max(1, k - least + 1)).select("cell", "m"))
+    pairs = first.withColumnRenamed("cell", "a").join(first.withColumnRenamed("cell", "b"), "m").where("a < b").select("a", "b").distinct()
+    side = lambda c: sets.select(F.col("cell").alias(c), F.col("members").alias(f"members_{c}"))
+    whole = pairs.join(side("a"), "a").join(side("b"), "b")
+    return whole.where(F.size(F.array_intersect("members_a", "members_b")) >= least).select("a", "b")
+
+
 def select_metacells(neighbors: DataFrame, k: int, max_overlap: float = 0.9, max_metacells: int | None = None) -> DataFrame:
     """(metacell, cell): neighbour sets in the order of cells, each accepted if it shares fewer than max_overlap * k cells with every accepted one.
 
-    The first ``max_metacells`` sets are looked at.  The choice depends on order, so sets of ids (k a cell) are walked in one task, with
-    counters from an inverted index rather than set against set.
+    Only the first ``max_metacells`` sets are looked at.  The greedy choice is the first independent set, in order, of the graph of
+    conflicts: in rounds, a set without an undecided earlier conflict is accepted and those in conflict with it go.
     """
-    spark = neighbors.sparkSession
-    sets = neighbors.groupBy("cell").agg(F.sort_array(F.collect_list("neighbor")).alias("members")).orderBy("cell")
+    sets = neighbors.groupBy("cell").agg(F.sort_array(F.collect_set("neighbor")).alias("members"))
     if max_metacells is not None:
-        sets = sets.limit(max(1, max_metacells))
-    holders: dict[int, list[int]] = {}
-    out: list[tuple[int, int]] = []
-    accepted = 0
-    for r in sets.toLocalIterator():
-        shared: dict[int, int] = {}
-        for c in r.members:
-            for a in holders.get(c, ()):
-                shared[a] = shared.get(a, 0) + 1
-        if accepted and any(v >= max_overlap * k for v in shared.values()) or accepted and max_overlap * k <= 0:
-            continue
-        for c in r.members:
-            holders.setdefault(c, []).append(accepted)
-            out.append((accepted, c))
-        accepted += 1
-    return spark.createDataFrame(out, "metacell bigint, cell bigint")
+        sets = sets.orderBy("cell").limit(max(1, max_metacells))
+    sets = checkpointed(sets)
+    least = math.ceil(max_overlap * k - 1e-9)
+    if least <= 0:  # every set is in conflict with the first
+        accepted = sets.agg(F.min("cell").alias("cell"))
+    else:
+        edges = checkpointed(conflicts(sets, k, least))
+        accepted, left = sets.select("cell").limit(0), sets.select("cell")
+        while True:
+            blocked = edges.select(F.col("b").alias("cell")).distinct()
+            new = checkpointed(left.join(blocked, "cell", "left_anti"))
+            accepted = accepted.unionByName(new)
+            gone = edges.join(new.withColumnRenamed("cell", "a"), "a", "left_semi").select(F.col("b").alias("cell")).distinct()
+            left = checkpointed(left.join(new, "cell", "left_anti").join(gone, "cell", "left_anti"))
+            if not left.limit(1).count():
+                break
+            keep = lambda e, c: e.join(left.withColumnRenamed("cell", c), c, "left_semi")
+            edges = checkpointed(keep(keep(edges, "a"), "b"))
+    numbers = accepted.orderBy("cell").rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
+    numbered = neighbors.sparkSession.createDataFrame(numbers, "metacell bigint, cell bigint")
+    return numbered.join(sets, "cell").select("metacell", F.explode("members").alias("cell"))
 
 
 def aggregate_metacells(counts: DataFrame, members: DataFrame, method: str = "mean") -> DataFrame:

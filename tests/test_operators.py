@@ -134,6 +134,19 @@ def test_select_metacells_order(spark):
     assert got == [[0, 1, 2], [3, 4, 5]]
 
 
+@pytest.mark.parametrize("overlap", [0.2, 0.5, 0.9])
+def test_select_metacells_is_greedy(spark, overlap):
+    rng = np.random.default_rng(7)
+    k, sets = 6, {c: set(((c + rng.choice(9, 6, replace=False)) % 60).tolist()) for c in range(60)}
+    accepted = []
+    for c in range(60):
+        if all(len(sets[c] & sets[a]) < overlap * k for a in accepted):
+            accepted.append(c)
+    near = spark.createDataFrame([(c, int(n)) for c, s in sets.items() for n in s], "cell bigint, neighbor bigint")
+    got = metacells.select_metacells(near, k, overlap).toPandas().groupby("metacell").cell.apply(set).tolist()
+    assert got == [sets[c] for c in accepted]
+
+
 def test_gene_errors(spark):
     genes = spark.createDataFrame([("chr1", 100_000, 200_000, None, "+")], "chromosome string, start bigint, end bigint, genename string, strand string")
     assert pw.plot_genes(genes, "chr1", 0, 300_000).first().genename == "unknown"
