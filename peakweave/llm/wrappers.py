@@ -35,6 +35,7 @@ from .textcore import free_name, trimmed
 
 SALTS = 16
 LONGEST = 3000
+WIDEST = 300
 #: A group's longest unit, in tokens.
 UNIT = 12
 #: Pages from which a slot's text may count as constant.
@@ -271,7 +272,21 @@ def align(a: list[list], b: list[list]) -> list[list]:
             out += [[x[0], x[1], x[2] or y[2], [_slot(s, t) for s, t in zip(x[3], y[3], strict=True)]] for x, y in zip(a[i:j], b[k:m], strict=True)]
         else:  # what either side lacks is optional
             out += [[x[0], x[1], True, x[3]] for x in a[i:j]] + [[y[0], y[1], True, y[3]] for y in b[k:m]]
-    return out
+    return squeeze(out)
+
+
+def squeeze(wrapper: list[list]) -> list[list]:
+    """Neighbouring equal stretches of groups or optional parts as one: a repeated group holds its own repetitions."""
+    for n in (1, 2, 3):
+        out: list[list] = []
+        for x in wrapper:
+            out.append(x)
+            a, b = out[-2 * n : -n], out[-n:]
+            if len(a) == n and all(p[0] == q[0] and (p[1] or p[2]) and (q[1] or q[2]) for p, q in zip(a, b, strict=True)):
+                del out[-2 * n :]
+                out += [[p[0], p[1], p[2] and q[2], [_slot(s, t) for s, t in zip(p[3], q[3], strict=True)]] for p, q in zip(a, b, strict=True)]
+        wrapper = out
+    return wrapper
 
 
 def fold(wrappers: list[str]) -> str:
@@ -291,10 +306,14 @@ def expression(wrapper: list[list]) -> str:
     return "".join(f"({x[0]})?" if x[2] else x[0] for x in wrapper)
 
 
-@lru_cache(256)
-def _parsed(wrapper: str) -> tuple[list[str], list[tuple[str, ...]], list[list[bool | None]]]:
-    """Keys, units and each slot's label: main text, not, or unknown."""
+def guide(wrapper: str) -> str | None:
+    """What extraction needs of a wrapper, as JSON: keys, units and each slot's label (main text, not, or unknown).
+
+    None for a wrapper of more than WIDEST tokens: pages that differ so much have no structure in common.
+    """
     w = json.loads(wrapper)
+    if len(w) > WIDEST:
+        return None
     pages = max((s[0] for x in w for s in x[3]), default=0)
     varied = any(s[1] is None and s[2] > s[3] for x in w for s in x[3])
 
@@ -308,17 +327,23 @@ def _parsed(wrapper: str) -> tuple[list[str], list[tuple[str, ...]], list[list[b
         return good >= other
 
     units = sorted({tuple(x[1]) for x in w if x[1]}, key=lambda u: (len("".join(u)), u))
-    return [x[0] for x in w], units, [[label(s) for s in x[3]] for x in w]
+    return json.dumps([[x[0] for x in w], units, [[label(s) for s in x[3]] for x in w]], separators=(",", ":"))
+
+
+@lru_cache(256)
+def _parsed(guided: str) -> tuple[list[str], list[tuple[str, ...]], list[list[bool | None]]]:
+    keys, units, labels = json.loads(guided)
+    return keys, [tuple(u) for u in units], labels
 
 
-def extract(html: str, wrapper: str | None) -> str:
-    """The main text of a page, by its host's wrapper where the page's stream meets it."""
+def extract(html: str, guided: str | None) -> str:
+    """The main text of a page, by the guide of its host's wrapper where the page's stream meets it."""
     stream, texts = read(html)
     if not texts:
         return ""
     keep = [t.main for t in texts]
-    if wrapper:
-        keys, units, labels = _parsed(wrapper)
+    if guided:
+        keys, units, labels = _parsed(guided)
         items = group(stream)
         for unit in units:
             items = _apply(items, unit)
@@ -381,33 +406,36 @@ def _fold_groups(by: list[str]):
     def run(frame):
         import pandas as pd
 
-        first = frame.iloc[0]
-        return pd.DataFrame({**{k: [first[k]] for k in by}, "wrapper": [fold(frame["wrapper"].tolist())]})
+        first, folded = frame.iloc[0], fold(frame["wrapper"].tolist())
+        return pd.DataFrame({**{k: [first[k]] for k in by}, "wrapper": [folded], **({} if "salt" in by else {"guide": [guide(folded)]})})
 
     return run
 
 
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper) of every host: a wrapper is JSON."""
+    """(host, wrapper, guide) of every host, wrapper and guide as JSON."""
     rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
     parts = rows.mapInArrow(trimmed(_infer), "host string, salt int, wrapper string")
     salted = parts.groupBy("host", "salt").applyInPandas(_fold_groups(["host", "salt"]), "host string, salt int, wrapper string")
-    return salted.groupBy("host").applyInPandas(_fold_groups(["host"]), "host string, wrapper string")
+    return salted.groupBy("host").applyInPandas(_fold_groups(["host"]), "host string, wrapper string, guide string")
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[DataFrame, str]:
     """Every row with a string column: the page's main text."""
     name = free_name(pages, "main_text")
-    wrappers = infer(pages, url, html).select(F.col("host").alias("_h"), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+    wrappers = infer(pages, url, html).select(F.col("host").alias("_h"), "guide", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
     salt = F.pmod(F.xxhash64(F.col(f"`{url}`"), F.length(F.col(f"`{html}`"))), F.lit(SALTS)).cast("int")
     left = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host(F.col(f"`{url}`")).alias("host"), salt.alias("salt"))
-    joined = left.join(wrappers, (F.col("host") == F.col("_h")) & (F.col("salt") == F.col("_s")), "left").select("row", "wrapper", F.col("row")[html].alias("html"))
+    joined = left.join(wrappers, (F.col("host") == F.col("_h")) & (F.col("salt") == F.col("_s")), "left").select("row", "guide", F.col("row")[html].alias("html"))
     schema = StructType([*pages.schema.fields, StructField(name, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)
-            text = [extract(h or "", w) for h, w in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            guides = batch.column(1).dictionary_encode()  # one string a host, not one a page
+            known = [None, *guides.dictionary.to_pylist()]
+            which = guides.indices.fill_null(-1).to_pylist()
+            text = [extract(h.as_py() or "", known[k + 1]) for h, k in zip(batch.column(2), which, strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.flatten(), pa.array(text, pa.string())], names=[*[f.name for f in rows.type], name])
 
     return joined.mapInArrow(run, schema), name
