@@ -7,18 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernels.louvain import louvain
+from .lineage import checkpointed
 from .links import dedupe_edges
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder that the session names; one of our own only where it names none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints/peakweave")
-    return df.checkpoint(eager=True)
-
-
 def ccan_edges(links: DataFrame, cutoff: float, a: str = "Peak1", b: str = "Peak2", score: str = "score") -> DataFrame:
     """Undirected edges (a, b, w) above the cutoff, and a loop of weight 0 at each of their nodes."""
     above = links.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.col(score) > cutoff))

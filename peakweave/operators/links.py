@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 
 def coverage(members: DataFrame, windows: DataFrame) -> DataFrame:
     """(idx, windows): the accepted windows of each region, over both grids."""
@@ -75,7 +77,8 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
 
 def score_quantiles(network: DataFrame, at: list[float], score: str = "score") -> DataFrame:
     """(p, value): exact quantiles with linear interpolation."""
-    n = network.where(F.col(score).isNotNull()).count()
+    network = checkpointed(network.select(score).where(F.col(score).isNotNull()))
+    n = network.count()
     place = {p: p * (n - 1) for p in at} if n else {}
     found = order_statistics(network, score, [k for x in place.values() for k in (int(x), min(int(x) + 1, n - 1))])
     rows = [(p, found[int(x)] + (found[min(int(x) + 1, n - 1)] - found[int(x)]) * (x - int(x))) for p, x in place.items()]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .lineage import checkpointed
 from .preprocess import empty_regions
 
 #: Embedding rows that are broadcast at once in the neighbour search.
