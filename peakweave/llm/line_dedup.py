@@ -2,8 +2,8 @@
 
 Lines are hashed (two 64-bit hashes).  Of each line that several documents have, the earliest document is the
 owner, and every later document is paired with the owners of its lines: at most as many pairs as it has lines, and no pairs among copies.
-A pair overlaps if the two share a rare line: one of MIN_WORDS words or more that at most RARE_SHARE of the documents have, or of
-LONG_WORDS or more.  Its lines are aligned by patience diff: the shared lines that occur once in either document are matched along a longest
+A pair overlaps if the two share a line of MIN_WORDS words or more, however many other documents have it.
+Its lines are aligned by patience diff: the shared lines that occur once in either document are matched along a longest
 increasing run; stretches between matched lines, before the first and after the last belong to a common block if they are
 equal, which the documents' running line hashes tell without the lines.  Common blocks are deleted from the later document.
 
@@ -29,8 +29,6 @@ from .substrings import keyed
 from .textcore import BASE, GRAPH, INVERSE, POWERS, U64, Block, Words, blocks, cut, documents, free_name, trimmed
 
 MIN_WORDS = 5
-LONG_WORDS = 20
-RARE_SHARE = 0.05
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 _MASK = (1 << 64) - 1
@@ -156,8 +154,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs.setdefault((r[2], r[3]), []).append(r)
         spans: list[tuple[int, int]] = []
         for own in pairs.values():
-            if any(r[13] for r in own):
-                spans += common_blocks([(r[4], r[5] & _MASK, r[6], r[7] & _MASK, r[8], r[9] & _MASK, r[10], r[11] & _MASK, r[12] & _MASK) for r in own])
+            spans += common_blocks([(r[4], r[5] & _MASK, r[6], r[7] & _MASK, r[8], r[9] & _MASK, r[10], r[11] & _MASK, r[12] & _MASK) for r in own])
         return united(spans)
 
     def out(documents_: list[list[tuple]]) -> pa.RecordBatch:
@@ -185,12 +182,10 @@ def common_lines(rows: DataFrame) -> DataFrame:
     place = F.struct("d", "t", "at", "times", "before", "size", "whole")
     # Written out, so that either side of the join below has a shuffle of its own and Spark can split a hot line's partition.
     shared = cut(lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1"))
-    total = rows.count()
     o = F.col("o")
     both = lines.where((F.col("words") >= MIN_WORDS) & (F.col("times") == 1)).join(shared, ["h1", "h2"])
     later = (F.struct("d", "t") > F.struct(o["d"], o["t"])) & (o["times"] == 1)
-    rare = (F.col("n") <= F.lit(max(2.0, RARE_SHARE * total))) | (F.col("words") >= LONG_WORDS)
-    pairs = both.where(later).select("d", "t", o["d"].alias("od"), o["t"].alias("ot"), "at", "before", "size", "whole", o["at"].alias("oat"), o["before"].alias("obefore"), o["size"].alias("osize"), o["whole"].alias("owhole"), "h1", rare.alias("rare"))
+    pairs = both.where(later).select("d", "t", o["d"].alias("od"), o["t"].alias("ot"), "at", "before", "size", "whole", o["at"].alias("oat"), o["before"].alias("obefore"), o["size"].alias("osize"), o["whole"].alias("owhole"), "h1")
     return pairs.repartition("d", "t").sortWithinPartitions("d", "t").mapInArrow(trimmed(_aligned), "d bigint, t bigint, lines array<int>")
 
 
