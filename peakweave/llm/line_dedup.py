@@ -1,11 +1,13 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed (two 64-bit hashes).  Of each line that several documents have, the earliest document is the
-owner, and every later document is paired with the owners of its lines: at most as many pairs as it has lines, and no pairs among copies.
+Lines are hashed (two 64-bit hashes) and numbered among their equals within the document, so that the k-th of a line meets the k-th
+elsewhere.  Of each that several documents have, the earliest document is the owner, and every later document is paired with
+the owners of its lines: at most as many pairs as it has lines, and no pairs among copies.
 A pair overlaps if the two share a line of MIN_WORDS words or more, however many other documents have it.
-Its lines are aligned by patience diff: the shared lines that occur once in either document are matched along a longest
+Its lines are aligned by patience diff: the shared lines are matched along a longest
 increasing run; stretches between matched lines, before the first and after the last belong to a common block if they are
-equal, which the documents' running line hashes tell without the lines.  Common blocks are deleted from the later document.
+equal, which the documents' running line hashes tell without the lines.  Shared lines that stand in another order in the owner are
+blocks of their own, joined where what lies between is equal.  Common blocks are deleted from the later document.
 
 A line between two deleted ones that has no word goes with them.  Documents none of whose worded lines are left are dropped by the
 filter form.
@@ -33,11 +35,11 @@ _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
 _MASK = (1 << 64) - 1
 
-LINES = "h1 bigint, h2 bigint, d bigint, t bigint, at int, times int, before bigint, size int, whole bigint, words int"
+LINES = "h1 bigint, h2 bigint, d bigint, t bigint, at int, nth int, before bigint, size int, whole bigint, words int"
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's different worded lines: hashes, number of the first, how often, and running hashes."""
+    """Each document's worded lines: hashes, number, which of its equals, and running hashes."""
     for batch in batches:
         ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for block in blocks(batch.column(2)):
@@ -46,14 +48,14 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             doc, *rest = out
             d, t = ids[block.first :][doc], ties[block.first :][doc]
-            h1, h2, at, times, before, size, whole, words = rest
-            columns = [h1.view(np.int64), h2.view(np.int64), d, t, at, times, before.view(np.int64), size, whole.view(np.int64), words]
+            h1, h2, at, nth, before, size, whole, words = rest
+            columns = [h1.view(np.int64), h2.view(np.int64), d, t, at, nth, before.view(np.int64), size, whole.view(np.int64), words]
             kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in LINES.split(", ")])
 
 
 def lines_of(block: Block) -> tuple[np.ndarray, ...] | None:
-    """Over a block: document, two hashes, number, times, running hash before, the document's lines and whole hash, words."""
+    """Over a block: document, two hashes, number, which of its equals, running hash before, the document's lines and whole hash, words."""
     lines = Words(block, _LINE)
     if not len(lines):
         return None
@@ -77,9 +79,8 @@ def lines_of(block: Block) -> tuple[np.ndarray, ...] | None:
     new = np.ones(len(order), bool)
     new[1:] = (doc[order][1:] != doc[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
     head = np.flatnonzero(new)
-    times = np.diff(np.r_[head, len(order)])
-    pick = order[head]
-    return doc[pick], h1[pick], h2[pick], at[pick], times, before[pick], size[pick], whole[pick], n_words[pick]
+    nth = np.arange(len(order)) - head[np.cumsum(new) - 1]
+    return doc[order], h1[order], h2[order], at[order], nth, before[order], size[order], whole[order], n_words[order]
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -108,29 +109,34 @@ def common_blocks(rows: list[tuple]) -> list[tuple[int, int]]:
     A row: line number, running hash, lines and whole hash of the later document, the same of the owner, the line's hash.
     """
     rows = sorted(rows)
-    chosen = [rows[i] for i in patience([(r[0], r[4]) for r in rows])]
-    if not chosen:
+    if not rows:
         return []
-    _, _, size, whole, _, _, size_o, whole_o, _ = chosen[0]
+    matched = patience([(r[0], r[4]) for r in rows])
+    _, _, size, whole, _, _, size_o, whole_o, _ = rows[0]
 
     def stretch(before: int, after: int, start: int) -> int:
         """Hash of the lines between two running hashes, wherever it starts."""
         return (after - before) * pow(INVERSE, start, 1 << 64) & _MASK
 
-    spans, begin = [], 0
-    a, b, end_a, end_b = 0, 0, 0, 0  # numbers and running hashes just after the last matched line, in either document
-    for k, (i, s, _, _, j, s_o, _, _, h) in enumerate(chosen):
-        same = i - a == j - b and stretch(end_a, s, a) == stretch(end_b, s_o, b)
-        if not k:
-            begin = 0 if same else i
-        elif not same:
-            spans.append((begin, a))
-            begin = i
-        a, b = i + 1, j + 1
-        end_a, end_b = (s + h * pow(BASE, i, 1 << 64)) & _MASK, (s_o + h * pow(BASE, j, 1 << 64)) & _MASK
-    same = size - a == size_o - b and stretch(end_a, whole, a) == stretch(end_b, whole_o, b)
-    spans.append((begin, size if same else a))
-    return spans
+    def runs(own: list[tuple], ends: bool) -> list[tuple[int, int]]:
+        """Spans of the lines and equal stretches between them; with ``ends``, also before the first and after the last."""
+        spans, begin = [], 0
+        a, b, end_a, end_b = 0, 0, 0, 0  # numbers and running hashes just after the last line, in either document
+        for k, (i, s, _, _, j, s_o, _, _, h) in enumerate(own):
+            same = (k > 0 or ends) and i - a == j - b and stretch(end_a, s, a) == stretch(end_b, s_o, b)
+            if not k:
+                begin = 0 if same else i
+            elif not same:
+                spans.append((begin, a))
+                begin = i
+            a, b = i + 1, j + 1
+            end_a, end_b = (s + h * pow(BASE, i, 1 << 64)) & _MASK, (s_o + h * pow(BASE, j, 1 << 64)) & _MASK
+        same = ends and size - a == size_o - b and stretch(end_a, whole, a) == stretch(end_b, whole_o, b)
+        return [*spans, (begin, size if same else a)]
+
+    spans, on = runs([rows[k] for k in matched], True), set(matched)
+    moved = [r for k, r in enumerate(rows) if k not in on]
+    return spans + runs(moved, False) if moved else spans
 
 
 def united(spans: list[tuple[int, int]]) -> list[int]:
@@ -179,12 +185,12 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def common_lines(rows: DataFrame) -> DataFrame:
     """From (d, t, text): (d, t, lines) of the documents that have lines to delete; starts and ends in turn, in worded lines from 0."""
     lines = rows.mapInArrow(trimmed(_lines), LINES)
-    place = F.struct("d", "t", "at", "times", "before", "size", "whole")
+    place = F.struct("d", "t", "at", "before", "size", "whole")
     # Written out, so that either side of the join below has a shuffle of its own and Spark can split a hot line's partition.
-    shared = cut(lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1"))
+    shared = cut(lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2", "nth").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1"))
     o = F.col("o")
-    both = lines.where((F.col("words") >= MIN_WORDS) & (F.col("times") == 1)).join(shared, ["h1", "h2"])
-    later = (F.struct("d", "t") > F.struct(o["d"], o["t"])) & (o["times"] == 1)
+    both = lines.where(F.col("words") >= MIN_WORDS).join(shared, ["h1", "h2", "nth"])
+    later = F.struct("d", "t") > F.struct(o["d"], o["t"])
     pairs = both.where(later).select("d", "t", o["d"].alias("od"), o["t"].alias("ot"), "at", "before", "size", "whole", o["at"].alias("oat"), o["before"].alias("obefore"), o["size"].alias("osize"), o["whole"].alias("owhole"), "h1")
     return pairs.repartition("d", "t").sortWithinPartitions("d", "t").mapInArrow(trimmed(_aligned), "d bigint, t bigint, lines array<int>")
 

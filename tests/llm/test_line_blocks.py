@@ -23,3 +23,22 @@ def test_like_brute_force_at_every_frequency(spark, docs, rows):
     found, name = dedup_lines(docs)
     got = {r.doc_id: (r[name].n_lines, r[name].n_removed) for r in found.collect()}
     assert got == brute.op3(rows, share=1.0)
+
+
+P, Q, R = ("A passage that is held by many documents, part %s." % x for x in "pqr")
+
+
+def test_line_repeated_in_its_first_document(spark):
+    """The first document has the line twice; the later ones that have it once lose it, and a second one where no second was before stays."""
+    own = [f"Document {i} has a line of its own number {i}." for i in range(4)]
+    left = _left(spark, ["\n".join([P, own[0], P]), f"{own[1]}\n{P}", f"{P}\n{own[2]}", "\n".join([P, P, own[3], P])])
+    assert left == {0: f"{P}\n{own[0]}\n{P}", 1: own[1], 2: own[2], 3: f"{own[3]}\n{P}"}
+
+
+def test_lines_in_another_order(spark):
+    """Lines cross those of their owner, with a short line between them; two later documents have them alike."""
+    own = [f"Document {i} has a line of its own number {i}." for i in range(3)]
+    left = _left(spark, ["\n".join([R, own[0], P, "short", Q]), *("\n".join([P, "short", Q, x, R]) for x in own[1:])])
+    assert left == {0: "\n".join([R, own[0], P, "short", Q]), 1: own[1], 2: own[2]}
+    left = _left(spark, ["\n".join([P, "short", Q, own[0], R]), *("\n".join([R, x, P, "short", Q]) for x in own[1:])])
+    assert left[1] == own[1] and left[2] == own[2]
