@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..kernels import glasso
 from ..operators import graph, links, metacells, moments, network, plotdata, preprocess, regions as reg, windows
 from ..sources import tables
 
@@ -625,12 +624,9 @@ def gene_tracks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("glasso_path")
 def glasso_path(spark: SparkSession, d: str) -> DataFrame:
-    """Number of linked pairs and duality gap along a path of penalty factors, over the first eight regions."""
-    table, _ = _dense(spark, d)
-    wide = table.toPandas().pivot(index="cell", columns="idx", values="value").to_numpy()  # eight columns
-    fit = glasso.QuicGraphicalLasso(lam=0.5, mode="path", path=[1.0, 0.5, 0.25], init_method="cov").fit(wide)
-    rows = [(float(p), int((x != 0).sum()), float(g)) for p, x, g in zip(fit.path_, fit.precision_, fit.duality_gap_, strict=True)]
-    return spark.createDataFrame(rows, "factor double, n_linked bigint, gap double")
+    """Linked pairs of all regions and the largest duality gap along a path of penalty factors; every window has a path of its own."""
+    counts, regions, n = _f1(spark, d)
+    return network.window_paths(windows.window_members(regions, 50_000), counts, n, 0.5, [1.0, 0.5, 0.25])
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
