@@ -12,19 +12,19 @@ of its own; pages join the wrappers by host and salt.
 
 Defined cases: null and empty pages give empty text; pages without a host share one wrapper; broken markup
 (unclosed, cut off) is read as far as it goes; repeated rows are extracted each on their own; an empty table gives
-an empty result; a page whose stream is longer than LONGEST tokens after grouping is left out of inference
-and is read by its own structure alone.
+an empty result; a page whose stream is longer than LONGEST tokens after grouping is left out of inference.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from base64 import b64decode, b64encode
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from html import unescape
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +35,6 @@ from .textcore import free_name, trimmed
 
 SALTS = 16
 LONGEST = 3000
-WIDEST = 300
 #: A group's longest unit, in tokens.
 UNIT = 12
 #: Pages from which a slot's text may count as constant.
@@ -307,13 +306,11 @@ def expression(wrapper: list[list]) -> str:
 
 
 def guide(wrapper: str) -> str | None:
-    """What extraction needs of a wrapper, as JSON: keys, units and each slot's label (main text, not, or unknown).
+    """What extraction needs of a wrapper, as packed JSON: keys, units and each slot's label (main text, not, or unknown).
 
-    None for a wrapper of more than WIDEST tokens: pages that differ so much have no structure in common.
+    None where no slot is labelled as not main text: the other labels change nothing.
     """
     w = json.loads(wrapper)
-    if len(w) > WIDEST:
-        return None
     pages = max((s[0] for x in w for s in x[3]), default=0)
     varied = any(s[1] is None and s[2] > s[3] for x in w for s in x[3])
 
@@ -327,15 +324,25 @@ def guide(wrapper: str) -> str | None:
         return good >= other
 
     units = sorted({tuple(x[1]) for x in w if x[1]}, key=lambda u: (len("".join(u)), u))
-    return json.dumps([[x[0] for x in w], units, [[label(s) for s in x[3]] for x in w]], separators=(",", ":"))
+    labels = [[label(s) for s in x[3]] for x in w]
+    if not any(y is False for x in labels for y in x):
+        return None
+    return b64encode(compress(json.dumps([[x[0] for x in w], units, labels], separators=(",", ":")).encode())).decode()
 
 
 @lru_cache(256)
 def _parsed(guided: str) -> tuple[list[str], list[tuple[str, ...]], list[list[bool | None]]]:
-    keys, units, labels = json.loads(guided)
+    keys, units, labels = json.loads(decompress(b64decode(guided)))
     return keys, [tuple(u) for u in units], labels
 
 
+@lru_cache(512)
+def _matches(guided: str, own: tuple[str, ...]) -> list[tuple[int, int, int]]:
+    """Stretches that a guide and a page's grouped stream have in common; pages of one template have the same."""
+    keys = _parsed(guided)[0]
+    return [(0, 0, len(own))] if list(own) == keys else SequenceMatcher(None, keys, own, autojunk=False).get_matching_blocks()
+
+
 def extract(html: str, guided: str | None) -> str:
     """The main text of a page, by the guide of its host's wrapper where the page's stream meets it."""
     stream, texts = read(html)
@@ -343,13 +350,11 @@ def extract(html: str, guided: str | None) -> str:
         return ""
     keep = [t.main for t in texts]
     if guided:
-        keys, units, labels = _parsed(guided)
+        _, units, labels = _parsed(guided)
         items = group(stream)
         for unit in units:
             items = _apply(items, unit)
-        own = [x.key for x in items]
-        blocks_ = [(0, 0, len(own))] if own == keys else SequenceMatcher(None, keys, own, autojunk=False).get_matching_blocks()
-        for a, b, n in blocks_:
+        for a, b, n in _matches(guided, tuple(x.key for x in items)):
             for i in range(n):
                 for numbers, label in zip(items[b + i].slots, labels[a + i], strict=True):
                     if label is not None:
@@ -413,7 +418,7 @@ def _fold_groups(by: list[str]):
 
 
 def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, wrapper, guide) of every host, wrapper and guide as JSON."""
+    """(host, wrapper, guide) of every host, the wrapper as JSON, the guide packed."""
     rows = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
     parts = rows.mapInArrow(trimmed(_infer), "host string, salt int, wrapper string")
     salted = parts.groupBy("host", "salt").applyInPandas(_fold_groups(["host", "salt"]), "host string, salt int, wrapper string")
