@@ -10,8 +10,8 @@ located by walking to a sampled position, compared with the documents' bytes, an
 The benchmark is read in blocks of items of a checked number of words, so the broadcast index input is bounded;
 documents are never shuffled when one block holds the benchmark.
 
-Defined cases: a null text or item has no words; word-less items have no windows; repeated item_ids count once;
-items with equal windows all count; repeated documents are judged each on their own; empty tables give no hits.
+Defined cases: a null text or item has no words; word-less items have no windows; repeated item_ids count once, items without an
+id as one that is not listed; items with equal windows all count; repeated documents are judged each on their own; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ class Phrases:
     length: np.ndarray
     texts: list[bytes]  # the windows' words, a space between
     item_of: list[np.ndarray]  # of each window: indexes into ids
-    ids: list[str]
+    ids: list[str | None]
     bigrams: np.ndarray
 
     @property
@@ -154,15 +154,15 @@ class Phrases:
 def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
     """Windows and vocabulary of benchmark items (id, text)."""
     found: dict[bytes, set[int]] = {}
-    ids: dict[str, int] = {}
+    ids: dict[str | None, int] = {}
     for item, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         words = Words(Block(LOWER[data], np.array([0, len(data)]), 0), ALNUM)
         raw = LOWER[data].tobytes()
         own = [raw[a:b] for a, b in zip(words.starts, words.ends, strict=True)]
-        if item is None or not own:
+        if not own:
             continue
-        at = ids.setdefault(str(item), len(ids))
+        at = ids.setdefault(None if item is None else str(item), len(ids))
         for i in range(max(1, len(own) - window + 1)):
             found.setdefault(b" ".join(own[i : i + window]), set()).add(at)
     texts = sorted(found)
@@ -268,12 +268,12 @@ def _find(p: Phrases):
 
 def item_blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", words: int = BLOCK_WORDS):
     """Benchmark items in blocks of at most about ``words`` words, one block in the driver at a time."""
-    rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
+    rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-int(total) // (2 * words)))  # a word and the gap after it take two characters at least
     for k in range(n):
-        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(n)) == k)
-        yield n, sorted((str(r.i), r.t) for r in own.collect())
+        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), "t")), F.lit(n)) == k)
+        yield n, sorted(((None if r.i is None else str(r.i), r.t) for r in own.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
 
 
 def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, str]:
