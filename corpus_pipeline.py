@@ -17,7 +17,7 @@ from peakweave.llm.line_dedup import filter_lines
 from peakweave.llm.pieces import encode
 from peakweave.llm.quality_rules import quality_filter
 from peakweave.llm.simhash import keep_one
-from peakweave.llm.textcore import scratch
+from peakweave.llm.textcore import delete_at_exit, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,6 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents table; what each returns is written to the shared folder and read again."""
     folder = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)  # also where a stage fails
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for k, (name, stage) in enumerate(STAGES):

@@ -1,13 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Lines are hashed (two 64-bit hashes) and numbered among their equals within the document, so that the k-th of a line meets the k-th
-elsewhere.  Of each that several documents have, the earliest document is the owner, and every later document is paired with
-the owners of its lines: at most as many pairs as it has lines, and no pairs among copies.
-A pair overlaps if the two share a line of MIN_WORDS words or more, however many other documents have it.
-Its lines are aligned by patience diff: the shared lines are matched along a longest
-increasing run; stretches between matched lines, before the first and after the last belong to a common block if they are
-equal, which the documents' running line hashes tell without the lines.  Shared lines that stand in another order in the owner are
-blocks of their own, joined where what lies between is equal.  Common blocks are deleted from the later document.
+A window is a line of MIN_WORDS words or more, or a shorter line with as many lines after it, or before it, as give so many words; a text of
+fewer words is one window.  Windows are hashed (two 64-bit hashes) and numbered among their equals within the document, so that the k-th of a
+window meets the k-th elsewhere.  Of each that several documents have, the earliest document is the owner, and every later document is
+paired with the owners of its windows: at most as many pairs as it has windows, and no pairs among copies.
+A pair's windows are aligned: neighbouring matches on one diagonal make a block, patience diff finds the longest run of blocks in one order,
+and shared blocks that cross the run are moved blocks.  Aligned and moved blocks are deleted from the later document.
+
+Owners lose nothing against all pairs: a window of a document lies in a common block with some earlier document if and only if it lies in
+one with the earliest document that has its k-th occurrence, and that document is its owner.
 
 A line between two deleted ones that has no word goes with them.  Documents none of whose worded lines are left are dropped by the
 filter form.
@@ -28,34 +29,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substrings import keyed
-from .textcore import BASE, GRAPH, INVERSE, POWERS, U64, Block, Words, blocks, cut, documents, free_name, trimmed
+from .textcore import GRAPH, POWERS, U64, Block, Words, blocks, cut, documents, free_name, mix64, trimmed
 
 MIN_WORDS = 5
 _LINE = np.ones(256, bool)
 _LINE[0x0A] = False
-_MASK = (1 << 64) - 1
+_LENGTH = U64(0xD6E8FEB86659FD93)
 
-LINES = "h1 bigint, h2 bigint, d bigint, t bigint, at int, nth int, before bigint, size int, whole bigint, words int"
+WINDOWS = "h1 bigint, h2 bigint, d bigint, t bigint, at int, n int, nth int"
+SPANS = "d bigint, t bigint, lines array<int>, moved int"
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's worded lines: hashes, number, which of its equals, and running hashes."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's windows: hashes, first line, lines, and which of its equals."""
     for batch in batches:
         ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for block in blocks(batch.column(2)):
-            out = lines_of(block)
+            out = windows_of(block)
             if out is None:
                 continue
-            doc, *rest = out
+            doc, h1, h2, at, n, nth = out
             d, t = ids[block.first :][doc], ties[block.first :][doc]
-            h1, h2, at, nth, before, size, whole, words = rest
-            columns = [h1.view(np.int64), h2.view(np.int64), d, t, at, nth, before.view(np.int64), size, whole.view(np.int64), words]
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in LINES.split(", ")])
+            columns = [h1.view(np.int64), h2.view(np.int64), d, t, at.astype(np.int32), n.astype(np.int32), nth.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
 
-def lines_of(block: Block) -> tuple[np.ndarray, ...] | None:
-    """Over a block: document, two hashes, number, which of its equals, running hash before, the document's lines and whole hash, words."""
+def windows_of(block: Block) -> tuple[np.ndarray, ...] | None:
+    """Over a block: document, two hashes, first line (worded lines from 0), lines, and which of its equals in the document."""
     lines = Words(block, _LINE)
     if not len(lines):
         return None
@@ -64,23 +64,34 @@ def lines_of(block: Block) -> tuple[np.ndarray, ...] | None:
     own = n_words > 0
     if not own.any():
         return None
-    h1, h2, doc = lines.hashes(31)[own], lines.hashes(37)[own], lines.doc()[own]
-    n_words = n_words[own]
+    doc, n_words = lines.doc()[own], n_words[own]
     first = np.searchsorted(doc, np.arange(len(block) + 1))
-    up, down = POWERS.upto(len(h1) + 1)
-    total = np.zeros(len(h1) + 1, U64)
-    np.cumsum(h1 * up[: len(h1)], out=total[1:])
-    begin = first[doc]
-    before = (total[:-1] - total[begin]) * down[begin]
-    size = np.diff(first)[doc]
-    whole = (total[first[doc + 1]] - total[begin]) * down[begin]
-    at = np.arange(len(h1)) - begin
-    order = np.lexsort((at, h2, h1, doc))
+    begin, end = first[doc], first[doc + 1]
+    upto = np.concatenate([[0], np.cumsum(n_words)])
+    i = np.arange(len(doc))
+    ahead = np.searchsorted(upto, upto[:-1] + MIN_WORDS)  # the least end with enough words
+    behind = np.searchsorted(upto, upto[1:] - MIN_WORDS, "right") - 1  # the largest start with enough
+    some = upto[end] - upto[begin] >= MIN_WORDS
+    forward, backward = some & (ahead <= end), some & (behind >= begin) & (n_words < MIN_WORDS)
+    small = ~some & (i == begin)
+    lo = np.concatenate([i[forward], behind[backward], i[small]])
+    hi = np.concatenate([ahead[forward], i[backward] + 1, end[small]])
+    place = np.unique(lo * (len(doc) + 1) + hi)
+    lo, hi = place // (len(doc) + 1), place % (len(doc) + 1)
+    up, down = POWERS.upto(len(doc) + 1)
+
+    def hashed(seed: int) -> np.ndarray:
+        total = np.zeros(len(doc) + 1, U64)
+        np.cumsum(lines.hashes(seed)[own] * up[: len(doc)], out=total[1:])
+        return mix64((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(U64) * _LENGTH)
+
+    h1, h2, d = hashed(31), hashed(37), doc[lo]
+    order = np.lexsort((lo, h2, h1, d))
+    d, h1, h2, lo, hi = (x[order] for x in (d, h1, h2, lo, hi))
     new = np.ones(len(order), bool)
-    new[1:] = (doc[order][1:] != doc[order][:-1]) | (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-    head = np.flatnonzero(new)
-    nth = np.arange(len(order)) - head[np.cumsum(new) - 1]
-    return doc[order], h1[order], h2[order], at[order], nth, before[order], size[order], whole[order], n_words[order]
+    new[1:] = (d[1:] != d[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    nth = np.arange(len(order)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return d, h1, h2, lo - first[d], hi - lo, nth
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[int]:
@@ -103,96 +114,94 @@ def patience(pairs: list[tuple[int, int]]) -> list[int]:
     return out[::-1]
 
 
-def common_blocks(rows: list[tuple]) -> list[tuple[int, int]]:
-    """Spans of lines of the later document that are common with one owner, from the lines that they share.
+def united(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of spans, touching ones joined, within each group (numbered from 0): group, start, end."""
+    order = np.lexsort((lo, group))
+    group, lo, hi = group[order], lo[order], hi[order]
+    step = int(hi.max(initial=0)) + 1
+    reach = np.maximum.accumulate(hi + group * step) - group * step  # the furthest end so far; group by group, as a later one starts above
+    new = np.ones(len(lo), bool)
+    new[1:] = (group[1:] != group[:-1]) | (lo[1:] > reach[:-1])
+    return group[new], lo[new], reach[np.append(new[1:], True)]
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """Groups of sorted rows that are equal in the columns, numbered from 0."""
+    new = np.zeros(len(columns[0]), bool)
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def align(pair: np.ndarray, at: np.ndarray, n: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of pairs (numbered from 0): pair, first line, end, and whether the block is moved.
 
-    A row: line number, running hash, lines and whole hash of the later document, the same of the owner, the line's hash.
+    A row says that ``n`` lines from ``at`` of the later document equal those from ``other`` of its owner.
     """
-    rows = sorted(rows)
-    if not rows:
-        return []
-    matched = patience([(r[0], r[4]) for r in rows])
-    _, _, size, whole, _, _, size_o, whole_o, _ = rows[0]
-
-    def stretch(before: int, after: int, start: int) -> int:
-        """Hash of the lines between two running hashes, wherever it starts."""
-        return (after - before) * pow(INVERSE, start, 1 << 64) & _MASK
-
-    def runs(own: list[tuple], ends: bool) -> list[tuple[int, int]]:
-        """Spans of the lines and equal stretches between them; with ``ends``, also before the first and after the last."""
-        spans, begin = [], 0
-        a, b, end_a, end_b = 0, 0, 0, 0  # numbers and running hashes just after the last line, in either document
-        for k, (i, s, _, _, j, s_o, _, _, h) in enumerate(own):
-            same = (k > 0 or ends) and i - a == j - b and stretch(end_a, s, a) == stretch(end_b, s_o, b)
-            if not k:
-                begin = 0 if same else i
-            elif not same:
-                spans.append((begin, a))
-                begin = i
-            a, b = i + 1, j + 1
-            end_a, end_b = (s + h * pow(BASE, i, 1 << 64)) & _MASK, (s_o + h * pow(BASE, j, 1 << 64)) & _MASK
-        same = ends and size - a == size_o - b and stretch(end_a, whole, a) == stretch(end_b, whole_o, b)
-        return [*spans, (begin, size if same else a)]
-
-    spans, on = runs([rows[k] for k in matched], True), set(matched)
-    moved = [r for k, r in enumerate(rows) if k not in on]
-    return spans + runs(moved, False) if moved else spans
-
-
-def united(spans: list[tuple[int, int]]) -> list[int]:
-    """Starts and ends in turn of the union."""
-    out: list[int] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+    side = at - other
+    order = np.lexsort((at, side, pair))
+    pair, at, n, side = pair[order], at[order], n[order], side[order]
+    line = _numbered(pair, side)
+    which, lo, hi = united(line, at, at + n)
+    first = np.searchsorted(line, which)
+    pair, side = pair[first], side[first]
+    moved = np.zeros(len(lo), bool)
+    count = np.bincount(pair)
+    for p in np.flatnonzero(count > 1).tolist():  # blocks of one pair stand together
+        a = int(np.searchsorted(pair, p))
+        b = a + int(count[p])
+        by = np.argsort(lo[a:b], kind="stable") + a
+        keep = patience(list(zip(lo[by].tolist(), (lo[by] - side[by]).tolist(), strict=True)))
+        moved[a:b] = True
+        moved[by[keep]] = False
+    return pair, lo, hi, moved
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From shared lines sorted by later document: the spans of lines to delete."""
-    held: list[tuple] = []
-
-    def of(rows: list[tuple]) -> list[int]:
-        pairs: dict[tuple, list[tuple]] = {}
-        for r in rows:
-            pairs.setdefault((r[2], r[3]), []).append(r)
-        spans: list[tuple[int, int]] = []
-        for own in pairs.values():
-            spans += common_blocks([(r[4], r[5] & _MASK, r[6], r[7] & _MASK, r[8], r[9] & _MASK, r[10], r[11] & _MASK, r[12] & _MASK) for r in own])
-        return united(spans)
-
-    def out(documents_: list[list[tuple]]) -> pa.RecordBatch:
-        got = [(rows[0][0], rows[0][1], of(rows)) for rows in documents_]
-        got = [g for g in got if g[2]]
-        return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.int32()))], names=["d", "t", "lines"])
+    """From shared windows sorted by later document and owner: the spans of lines to delete."""
+    held: list[np.ndarray] | None = None
+
+    def out(cols: list[np.ndarray]) -> pa.RecordBatch:
+        d, t, od, ot, at, n, other = cols
+        document = _numbered(d, t)
+        pair, lo, hi, moved = align(_numbered(d, t, od, ot), at.astype(np.int64), n.astype(np.int64), other.astype(np.int64))
+        of = document[np.searchsorted(_numbered(d, t, od, ot), pair)]
+        doc, start, end = united(of, lo, hi)
+        still, a, b = united(of[~moved], lo[~moved], hi[~moved])
+        size = int(document[-1]) + 1
+        gone = np.bincount(doc, end - start, size) - np.bincount(still, b - a, size)
+        place = np.searchsorted(document, np.arange(size))
+        ends = np.concatenate([[0], 2 * np.cumsum(np.bincount(doc, minlength=size))]).astype(np.int32)
+        spans = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.stack([start, end], 1).ravel().astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(d[place]), pa.array(t[place]), spans, pa.array(gone.astype(np.int32))], names=["d", "t", "lines", "moved"])
 
     for batch in batches:
-        rows = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
-        whole: list[list[tuple]] = []
-        for r in rows:
-            if held and held[-1][:2] != r[:2]:
-                whole.append(held)
-                held = []
-            held.append(r)
-        if whole:
-            yield out(whole)
-    if held:
-        yield out([held])
+        if not batch.num_rows:
+            continue
+        cols = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            cols = [np.concatenate([x, y]) for x, y in zip(held, cols, strict=True)]
+        d, t = cols[0], cols[1]
+        last = int(np.flatnonzero((d != d[-1]) | (t != t[-1]))[-1]) + 1 if (d[0], t[0]) != (d[-1], t[-1]) else 0
+        if last:
+            yield out([x[:last] for x in cols])
+        held = [x[last:] for x in cols]  # the last document may go on
+    if held is not None and len(held[0]):
+        yield out(held)
 
 
 def common_lines(rows: DataFrame) -> DataFrame:
-    """From (d, t, text): (d, t, lines) of the documents that have lines to delete; starts and ends in turn, in worded lines from 0."""
-    lines = rows.mapInArrow(trimmed(_lines), LINES)
-    place = F.struct("d", "t", "at", "before", "size", "whole")
-    # Written out, so that either side of the join below has a shuffle of its own and Spark can split a hot line's partition.
-    shared = cut(lines.where(F.col("words") >= MIN_WORDS).groupBy("h1", "h2", "nth").agg(F.count("*").alias("n"), F.min(place).alias("o")).where("n > 1"))
+    """From (d, t, text): the documents that have lines to delete, with the lines' spans.
+
+    Spans are starts and ends in turn, in worded lines from 0; ``moved`` counts the lines that only moved blocks hold.
+    """
+    windows = rows.mapInArrow(trimmed(_windows), WINDOWS)
+    # Written out, so that either side of the join below has a shuffle of its own and Spark can split a hot window's partition.
+    shared = cut(windows.groupBy("h1", "h2", "nth").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "at")).alias("o")).where("n > 1").drop("n"))
     o = F.col("o")
-    both = lines.where(F.col("words") >= MIN_WORDS).join(shared, ["h1", "h2", "nth"])
     later = F.struct("d", "t") > F.struct(o["d"], o["t"])
-    pairs = both.where(later).select("d", "t", o["d"].alias("od"), o["t"].alias("ot"), "at", "before", "size", "whole", o["at"].alias("oat"), o["before"].alias("obefore"), o["size"].alias("osize"), o["whole"].alias("owhole"), "h1")
-    return pairs.repartition("d", "t").sortWithinPartitions("d", "t").mapInArrow(trimmed(_aligned), "d bigint, t bigint, lines array<int>")
+    pairs = windows.join(shared, ["h1", "h2", "nth"]).where(later).select("d", "t", o["d"].alias("od"), o["t"].alias("ot"), "at", "n", o["at"].alias("oat"))
+    return pairs.repartition("d", "t").sortWithinPartitions("d", "t", "od", "ot").mapInArrow(trimmed(_aligned), SPANS)
 
 
 def cut_lines(text: str, spans: list[int]) -> tuple[str, int, int]:
@@ -226,19 +235,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(a)
             n.append(b)
             gone.append(c)
-        found = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["text", "n_lines", "n_removed"])
+        found = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), batch.column(names.index("_moved"))], names=["text", "n_lines", "n_removed", "n_moved"])
         yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["row", "found"])
 
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
-    """Every row with a struct column: the text that is left, n_lines (worded), n_removed."""
+    """Every row with a struct column: the text that is left, n_lines (worded), n_removed, and n_moved of these."""
     rows = keyed(df, id_column, text)
     spans = common_lines(rows)
     keys = keyed(df, id_column, text, whole=True)
-    joined = keys.join(spans, ["d", "t"], "left").select("row", F.col("row")[text].alias("_text"), F.col("lines").alias("_lines"))
+    joined = keys.join(spans, ["d", "t"], "left").select("row", F.col("row")[text].alias("_text"), F.col("lines").alias("_lines"), F.coalesce("moved", F.lit(0)).cast("bigint").alias("_moved"))
     name = free_name(df, "line_found")
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(trimmed(_cut), f"row {inner}, found struct<text: string, n_lines: bigint, n_removed: bigint>")
+    out = joined.mapInArrow(trimmed(_cut), f"row {inner}, found struct<text: string, n_lines: bigint, n_removed: bigint, n_moved: bigint>")
     return out.select("row.*", F.col("found").alias(name)), name
 
 
@@ -259,4 +268,4 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, name = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     x = F.col(name)
     kept = F.coalesce(x["text"], F.lit(""))
-    return found.select("doc_id", x["n_lines"].alias("n_lines"), x["n_removed"].alias("n_removed"), F.length(kept).cast("bigint").alias("n_chars"), F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+    return found.select("doc_id", x["n_lines"].alias("n_lines"), x["n_removed"].alias("n_removed"), x["n_moved"].alias("n_moved"), F.length(kept).cast("bigint").alias("n_chars"), F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))

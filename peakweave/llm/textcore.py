@@ -9,6 +9,8 @@ about ``BLOCK_BYTES`` or one longer document, which bounds the memory of a task.
 from __future__ import annotations
 
 import ctypes
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,8 +61,15 @@ class Powers:
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
         return self.up, self.down
 
+    def shrink(self, most: int = 1 << 18) -> None:
+        """Forget a long text's powers."""
+        if len(self.up) > most:
+            self.up, self.down = self.up[:most].copy(), self.down[:most].copy()
+
 
 POWERS = Powers()
+#: Bytes whose hash terms are held at once.
+PIECE = 1 << 18
 
 #: Word bytes of the licence and benchmark operators, after lower-casing A-Z: 0-9, a-z and all of 0x80 and above.
 ALNUM = np.zeros(256, bool)
@@ -135,14 +144,31 @@ _CODES: dict[tuple, np.ndarray] = {}
 
 
 def hashed_spans(data: np.ndarray, starts: np.ndarray, table: np.ndarray, seed: int) -> np.ndarray:
-    """Hash of the word bytes from each start up to the next one."""
+    """Hash of the word bytes from each start up to the next one, PIECE bytes at a time however long a word is."""
     key = (seed, table.tobytes())
     if key not in _CODES:
         _CODES[key] = byte_codes(seed, table)
-    up, down = POWERS.upto(len(data) + 1)
-    values = _CODES[key][data]
-    values *= up[: len(data)]
-    return mix64(np.add.reduceat(values, starts) * down[starts])
+    codes = _CODES[key]
+    up, down = POWERS.upto(PIECE)
+    out = np.empty(len(starts), U64)
+    ends = np.append(starts[1:], len(data))
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = int(np.searchsorted(ends, lo + PIECE, "right"))
+        if j > i:
+            values = codes[data[lo : ends[j - 1]]]
+            values *= up[: len(values)]
+            own = starts[i:j] - lo
+            out[i:j] = np.add.reduceat(values, own) * down[own]
+        else:  # one word longer than a piece
+            j, total = i + 1, 0
+            for at in range(lo, int(ends[i]), PIECE):
+                values = codes[data[at : min(at + PIECE, int(ends[i]))]]
+                total += int((values * up[: len(values)]).sum()) * pow(BASE, at - lo, 1 << 64)
+            out[i] = total & ((1 << 64) - 1)
+        i = j
+    return mix64(out)
 
 
 def blocks(column: pa.Array | pa.ChunkedArray, size: int = 0) -> Iterator[Block]:
@@ -193,6 +219,7 @@ def trimmed(work: Callable) -> Callable:
 
 def trim() -> None:
     """At a task's end: give a worker's freed memory back, as idle workers stay beside the next ones."""
+    POWERS.shrink()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -205,15 +232,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: spark.checkpoint.dir, or one of our own where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder for cut lineage: spark.checkpoint.dir; where that is unset and Spark runs in one process, one of our own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints/peakweave"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.match(r"local($|\[)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints/peakweave"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+        delete_at_exit(spark, context.getCheckpointDir())
     return folder
 
 
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have the folder deleted when the application ends, however it does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage by a reliable checkpoint in the shared folder."""
     scratch(df.sparkSession)

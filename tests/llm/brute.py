@@ -110,33 +110,36 @@ def patience(pairs):
     return out[::-1]
 
 
-def op3(rows, min_words=5, long_words=20, share=0.05):
-    """{doc_id: (lines with words, removed)}"""
+def windows(lines, least=5):
+    """[(start, end)]: each line with as many after it, or before it, as give ``least`` words; all lines where there are fewer words."""
+    n = [len(GRAPH.findall(x)) for x in lines]
+    if sum(n) < least:
+        return [(0, len(n))] if n else []
+    out = set()
+    for i in range(len(n)):
+        out |= {next((i, j) for j in range(i + 1, len(n) + 1) if sum(n[i:j]) >= least)} if sum(n[i:]) >= least else set()
+        out |= {next((k, i + 1) for k in range(i, -1, -1) if sum(n[k : i + 1]) >= least)} if sum(n[: i + 1]) >= least else set()
+    return sorted(out)
+
+
+def op3(rows):
+    """{doc_id: (lines with words, removed)}, by aligning every pair of documents."""
     docs = [(i, [s for s in (x or "").split("\n") if GRAPH.search(s)]) for i, x in sorted(rows)]
-    words = lambda s: len(s.encode().split())
-    df, owner, lines, out = Counter(), {}, dict(docs), {}
-    for i, ls in docs:
-        for s in set(ls):
-            if words(s) >= min_words:
-                df[s] += 1
-                owner.setdefault(s, i)
-    for i, ls in docs:
-        pairs = {}
-        for k, s in enumerate(ls):
-            if words(s) >= min_words and ls.count(s) == 1 and owner[s] != i and lines[owner[s]].count(s) == 1:
-                pairs.setdefault(owner[s], []).append((k, lines[owner[s]].index(s), s))
+    places = []
+    for _, ls in docs:
+        own = {}
+        for a, b in windows(ls):
+            own.setdefault(tuple(ls[a:b]), []).append(a)
+        places.append(own)
+    out = {}
+    for b, (i, ls) in enumerate(docs):
         gone = set()
-        for o, own in pairs.items():
-            if not any(df[s] <= max(2, share * len(docs)) or words(s) >= long_words for *_, s in own):
-                continue
-            a = b = 0
-            for k in patience([(x, y) for x, y, _ in own]):
-                x, y, _ = own[k]
-                if ls[a:x] == lines[o][b:y]:
-                    gone |= set(range(a, x))
-                gone.add(x)
-                a, b = x + 1, y + 1
-            if ls[a:] == lines[o][b:]:
-                gone |= set(range(a, len(ls)))
+        for a in range(b):
+            matched = sorted((x, y, len(key)) for key, xs in places[b].items() for x, y in zip(xs, places[a].get(key, []), strict=False))
+            for k in patience([(x, y) for x, y, _ in matched]):  # the aligned run
+                x, _, n = matched[k]
+                gone |= set(range(x, x + n))
+            for x, _, n in matched:  # and what is shared in another order
+                gone |= set(range(x, x + n))
         out[i] = (len(ls), len(gone))
     return out
