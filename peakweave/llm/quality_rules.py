@@ -1,12 +1,15 @@
 """Quality rules by weak supervision.
 
 Each rule looks at a document's statistics and votes good, votes bad or abstains.  The votes of all documents are
-counted by pattern (at most 3 ** rules patterns, whatever the input's size), expectation-maximisation over the pattern
-counts estimates each rule's accuracy and the share of good documents, and a document is kept if the posterior
-probability that it is good is at least one half and it passes the two hard limits (``base_failed``).
+counted by pattern (at most 3 ** rules patterns, whatever the input's size), and expectation-maximisation over the pattern counts fits a
+mixture of one class of good documents and a class for each kind of bad ones (KINDS).  In each class every rule has its own chance of a bad
+vote among the votes it gives; these accuracies are estimated from how the rules agree, from weak starts and PRIOR votes.
+An abstention tells nothing.  A document is kept if the posterior probability of the good class is at least one half and it passes the two
+hard limits (``base_failed``): one bad vote of a rule that condemns good documents too is outvoted, one of a sharp rule is not.
 
 Defined cases: a null text has no words; empty and word-less texts fail the word limit; repeated rows are judged
-each on their own and equally; an empty table gives an empty result; input columns of any name are left alone.
+each on their own and equally; a very long text is judged like any other; without documents the model is its start; an empty table gives an
+empty result; input columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -15,12 +18,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import GRAPH, Block, Words, attach, documents, mix64, per_doc_sum
+from .textcore import GRAPH, Block, Words, attach, cut, documents, mix64, per_doc_sum
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-#: The largest share of good documents that a rule is taken to condemn.
-MOST_WRONG = 0.002
+#: The kind of bad document that each rule is made for; only the start of the fit uses it.
+KINDS = {
+    "words": "stub",
+    "word_length": "signs",
+    "symbols": "signs",
+    "letters": "signs",
+    "letter_share": "signs",
+    "dup_lines": "repetition",
+    "repeats": "repetition",
+    "case": "layout",
+    "endings": "layout",
+    "line_words": "layout",
+}
+#: Chances of a bad vote at the start: of any rule on good documents, of a rule on its own kind, and on other kinds.
+START = (0.05, 0.6, 0.15)
+#: Votes that the start weighs in each class and rule.
+PRIOR = 20.0
 #: Fixed values of the contract: the symbol characters.
 SYMBOLS = b"#*$%&|<>"
 
@@ -106,81 +124,95 @@ def rules(s: Column) -> dict[str, Column]:
     shout = F.when(s["n_letters"] > 0, s["n_upper"] / s["n_letters"]).otherwise(0.0)
     share = F.when(s["word_chars"] > 0, s["n_alpha_chars"] / s["word_chars"]).otherwise(0.0)
     length = per_word("word_chars")
+    per_line_words = F.when(s["n_lines"] > 0, n / s["n_lines"]).otherwise(0.0)
     return {
-        "words": _vote((n >= MIN_WORDS), n < MIN_WORDS),
-        "word_length": _vote(length.between(3, 10), (length < 2.5) | (length > 14)),
-        "symbols": _vote(per_word("n_symbols") < 0.02, per_word("n_symbols") > 0.1),
-        "dup_lines": _vote(per_line("n_dup_lines") < 0.1, (per_line("n_dup_lines") > 0.3) & (s["n_dup_lines"] >= 3)),
-        "repeats": _vote(per_word("n_repeat_words") < 0.2, per_word("n_repeat_words") > 0.4),
-        "case": _vote(shout < 0.2, shout > 0.5),
-        "letters": _vote(per_word("n_alpha_words") > 0.9, per_word("n_alpha_words") < 0.7),
-        "letter_share": _vote(share > 0.9, share < 0.8),
-        "endings": _vote(per_line("n_ended") > 0.5, (per_line("n_ended") < 0.1) & (s["n_lines"] >= 10)),
+        "words": _vote(n >= 2 * MIN_WORDS, n < MIN_WORDS),
+        "word_length": _vote(length.between(4, 7.5), (length < 3) | (length > 10)),
+        "symbols": _vote(per_word("n_symbols") == 0, per_word("n_symbols") > 0.02),
+        "letters": _vote(per_word("n_alpha_words") > 0.95, per_word("n_alpha_words") < 0.8),
+        "letter_share": _vote(share > 0.93, share < 0.85),
+        "dup_lines": _vote(per_line("n_dup_lines") == 0, per_line("n_dup_lines") > 0.1),
+        "repeats": _vote(per_word("n_repeat_words") < 0.05, per_word("n_repeat_words") > 0.2),
+        "case": _vote(shout < 0.1, shout > 0.2),
+        "endings": _vote(per_line("n_ended") > 0.7, per_line("n_ended") < 0.3),
+        "line_words": _vote(per_line_words.between(8, 120), (per_line_words < 4) | (per_line_words > 400)),
     }
 
 
-def fit(patterns: list[tuple[str, int]], n_rules: int, rounds: int = 200) -> dict:
-    """How each rule votes on good and on bad documents, and the share of good ones, from counts of vote patterns.
-
-    Two-coin model: given the true class, rules vote independently, each with its own chances of bad, abstain and good
-    for either class.  It starts from "bad if any rule says so".  A rule condemns at most MOST_WRONG of the
-    good documents and at least as many of the bad ones, so that the classes keep the meaning that the rules give them.
-    """
-    start = np.array([[[0.01, 0.04, 0.95]] * n_rules, [[0.3, 0.1, 0.6]] * n_rules])  # class, rule, vote
-    if not patterns:
-        return {"share": 0.5, "chance": start.tolist()}
-    votes = np.array([[int(x) for x in p] for p, _ in patterns])
-    count = np.array([c for _, c in patterns], float)
-    one_hot = votes[:, :, None] == np.arange(3)
-    good = np.where((votes == 0).any(1), 0.05, 0.95)
-    chance, share = start, 0.0
-    for _ in range(rounds):
-        new = np.empty_like(chance)
-        for k, weight in enumerate((count * good, count * (1 - good))):
-            seen = np.einsum("p,prv->rv", weight, one_hot) + 20 * start[k]
-            new[k] = seen / seen.sum(1, keepdims=True)
-        over = np.maximum(0, new[0, :, 0] - MOST_WRONG)
-        new[0, :, 0] -= over
-        new[0, :, 2] += over
-        for r in np.flatnonzero(new[0, :, 0] > new[1, :, 0]):
-            new[:, r] = new[:, r].mean(0)
-        new_share = float((count @ good + 1) / (count.sum() + 2))
-        done = np.abs(new - chance).max() < 1e-9 and abs(new_share - share) < 1e-9
-        chance, share = new, new_share
-        if done:
-            break
-        odds = np.log(share / (1 - share)) + np.einsum("prv,rv->p", one_hot[:, :, ::2], np.log(chance[0] / chance[1])[:, ::2])
-        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-    return {"share": share, "chance": chance.tolist()}
+def starts(n_rules: int) -> np.ndarray:
+    """Chances of a bad vote by class (the good one first) and rule, before any document is seen."""
+    own = np.array(list(KINDS.values())[:n_rules])
+    good, right, other = START
+    return np.array([np.full(n_rules, good), *(np.where(own == k, right, other) for k in dict.fromkeys(KINDS.values()))])
+
+
+def fit(patterns: list[tuple[str, int]], n_rules: int, rounds: int = 1000) -> dict:
+    """Shares of the classes and each rule's chance of a bad vote in each, from counts of vote patterns (0 bad, 1 abstains, 2 good)."""
+    start = starts(n_rules)
+    chance, shares = start, np.array([0.5] + [0.5 / (len(start) - 1)] * (len(start) - 1))
+    if patterns:
+        votes = np.array([[int(x) for x in p] for p, _ in patterns])
+        count = np.array([c for _, c in patterns], float)
+        bad, good = (votes == 0).astype(float), (votes == 2).astype(float)
+        for _ in range(rounds):
+            logs = np.log(shares)[:, None] + np.log(chance) @ bad.T + np.log(1 - chance) @ good.T
+            weight = np.exp(logs - logs.max(0))
+            weight *= count / weight.sum(0)
+            b, g = weight @ bad, weight @ good
+            new = (b + PRIOR * start) / (b + g + PRIOR)
+            shares = (weight.sum(1) + 1) / (count.sum() + len(start))
+            done = np.abs(new - chance).max() < 1e-9
+            chance = new
+            if done:
+                break
+    return {"share": float(shares[0]), "shares": shares.tolist(), "chance": chance.tolist()}
 
 
 def posterior(votes: list[Column], model: dict) -> Column:
     """Probability that a document with these votes is good."""
-    odds = F.lit(float(np.log(model["share"] / (1 - model["share"]))))
-    for vote, good, bad in zip(votes, *model["chance"], strict=True):
-        for value, g, b in ((-1, good[0], bad[0]), (1, good[2], bad[2])):  # to abstain tells nothing
-            odds = odds + F.when(vote == value, float(np.log(g / b))).otherwise(0.0)
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
+    good, others = F.lit(1.0), list(zip(model["shares"], model["chance"], strict=True))
+    own_share, own = others[0]
+    for share, chance in others[1:]:
+        odds = F.lit(float(np.log(share / own_share)))
+        for vote, g, b in zip(votes, own, chance, strict=True):
+            odds = odds + F.when(vote == -1, float(np.log(b / g))).when(vote == 1, float(np.log((1 - b) / (1 - g)))).otherwise(0.0)
+        good = good + F.exp(odds)
+    return F.lit(1.0) / good
+
+
+def _judged(s: Column, model: dict) -> Column:
+    """From a struct of statistics: the contract's fields, base_failed, each rule's vote, quality (the posterior) and kept."""
+    named = rules(s)
+    failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
+    good = posterior(list(named.values()), model)
+    parts = [s[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return F.struct(*parts, failed.alias("base_failed"), *[v.alias(f"vote_{k}") for k, v in named.items()], good.alias("quality"), (~failed & (good >= 0.5)).alias("kept"))
+
+
+def _model(s: Column, seen: DataFrame) -> dict:
+    """The model of the votes on a frame's statistics."""
+    named = rules(s)
+    pattern = F.concat(*[(v + 1).cast("string") for v in named.values()])
+    counts = seen.groupBy(pattern.alias("p")).agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
+    return fit(sorted((r.p, r.n) for r in counts), len(named))
 
 
 def score(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """Every row with one struct column: the statistics, base_failed, each rule's vote, quality (the posterior) and kept.
 
-    Two passes over the texts: one counts vote patterns, one scores.  Texts are never shuffled.
+    Two passes over the texts: one counts vote patterns, one scores.  Texts are never shuffled or written.
     """
     seen, name = attach(df.select(text), FIELDS, statistics, text)
-    named = rules(F.col(name))
-    pattern = F.concat(*[(v + 1).cast("string") for v in named.values()])
-    counts = seen.groupBy(pattern.alias("p")).agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
-    model = fit(sorted((r.p, r.n) for r in counts), len(named))
+    model = _model(F.col(name), seen)
     every, name = attach(df, FIELDS, statistics, text, name="quality_found")
-    s = F.col(name)
-    named = rules(s)
-    failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
-    good = posterior(list(named.values()), model)
-    parts = [s[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    parts += [failed.alias("base_failed"), *[v.alias(f"vote_{k}") for k, v in named.items()], good.alias("quality"), (~failed & (good >= 0.5)).alias("kept")]
-    return every.withColumn(name, F.struct(*parts)), name
+    return every.withColumn(name, _judged(F.col(name), model)), name
+
+
+def judge(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """Every row without its text, with the same struct column; one pass over the texts, whose statistics are written out."""
+    found, name = attach(df, FIELDS, statistics, text, name="quality_found")
+    found = cut(found.select(*[F.col(f"`{c}`") for c in df.columns if c != text], F.col(name)))
+    return found.withColumn(name, _judged(F.col(name), _model(F.col(name), found))), name
 
 
 def quality_filter(df: DataFrame, text: str = "text") -> DataFrame:
@@ -191,5 +223,5 @@ def quality_filter(df: DataFrame, text: str = "text") -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdict of every document."""
-    found, name = score(documents(spark, sf_dir).select("doc_id", "text"))
+    found, name = judge(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", f"{name}.*")

@@ -143,3 +143,33 @@ def op3(rows):
                 gone |= set(range(x, x + n))
         out[i] = (len(ls), len(gone))
     return out
+
+
+def op10_model(votes, kinds, start, prior, rounds=1000):
+    """[posterior probability of the good class] of each document's votes (-1 bad, 0 abstains, 1 good), by EM document by document."""
+    import math
+
+    classes = [None, *dict.fromkeys(kinds)]
+    first = [[start[0] if c is None else start[1] if k == c else start[2] for k in kinds] for c in classes]
+    chance, shares = [list(x) for x in first], [0.5] + [0.5 / (len(classes) - 1)] * (len(classes) - 1)
+
+    def weights(own):
+        p = [math.exp(math.log(s) + sum(math.log(q) if v < 0 else math.log(1 - q) for v, q in zip(own, c, strict=True) if v)) for s, c in zip(shares, chance, strict=True)]
+        return [x / sum(p) for x in p]
+
+    for _ in range(rounds):
+        w = [weights(own) for own in votes]
+        new = []
+        for c in range(len(classes)):
+            row = []
+            for r in range(len(kinds)):
+                b = sum(x[c] for x, own in zip(w, votes, strict=True) if own[r] < 0)
+                g = sum(x[c] for x, own in zip(w, votes, strict=True) if own[r] > 0)
+                row.append((b + prior * first[c][r]) / (b + g + prior))
+            new.append(row)
+        shares = [(sum(x[c] for x in w) + 1) / (len(votes) + len(classes)) for c in range(len(classes))]
+        move = max(abs(a - b) for x, y in zip(new, chance, strict=True) for a, b in zip(x, y, strict=True))
+        chance = new
+        if move < 1e-9:
+            break
+    return [weights(own)[0] for own in votes]

@@ -30,6 +30,40 @@ def test_quality_rejects_junk_and_keeps_prose(spark):
     assert kept == {i for i, _ in good}
 
 
+def test_posterior_against_brute_force(docs):
+    found, name = quality_rules.score(docs)
+    got = [r[name] for r in found.collect()]
+    votes = [[r[f"vote_{k}"] for k in quality_rules.KINDS] for r in got]
+    want = brute.op10_model(votes, list(quality_rules.KINDS.values()), quality_rules.START, quality_rules.PRIOR)
+    assert all(abs(r.quality - p) < 1e-6 for r, p in zip(got, want, strict=True))
+    assert all(r.kept == (not r.base_failed and r.quality >= 0.5) for r in got)
+
+
+def test_accuracy_decides_not_the_number_of_bad_votes():
+    """A rule that often condemns what all others praise is outvoted; one that agrees with another condemns alone."""
+    n = len(quality_rules.KINDS)
+    of = lambda *bad: "".join("0" if k in bad else "2" for k in quality_rules.KINDS)
+    model = quality_rules.fit([(of(), 8000), (of("dup_lines"), 600), (of("symbols", "letters"), 900), (of("symbols"), 20)], n)
+    chance = dict(zip(quality_rules.KINDS, zip(*model["chance"], strict=True), strict=True))
+    assert chance["dup_lines"][0] > 0.05 and chance["symbols"][0] < 0.01
+
+    def good(pattern):
+        import math
+
+        p = [math.exp(math.log(s) + sum(math.log(c if v == "0" else 1 - c) for v, c in zip(pattern, row, strict=True))) for s, row in zip(model["shares"], model["chance"], strict=True)]
+        return p[0] / sum(p)
+
+    assert good(of("dup_lines")) > 0.5 > good(of("symbols", "letters"))
+    assert good(of("symbols")) < good(of("dup_lines"))
+
+
+def test_one_pass_judges_alike(docs):
+    found, name = quality_rules.score(docs)
+    once, own = quality_rules.judge(docs)
+    assert once.columns == [*(c for c in docs.columns if c != "text"), own]
+    assert sorted((r.doc_id, r[own]) for r in once.collect()) == sorted((r.doc_id, r[name]) for r in found.collect())
+
+
 def test_model_without_documents():
     assert quality_rules.fit([], 9)["share"] == 0.5
 
