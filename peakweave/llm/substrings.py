@@ -10,17 +10,20 @@ A shard holds, for each anchor, the bytes that strings with that anchor can cove
 1. Map: anchors with hashes of their contexts.  No text moves.
 2. Contexts equal to an earlier one are later copies as a whole.  Only the first of each goes on, and only where its anchor
    has different contexts (the edges of copies).
-3. Those contexts' bytes are fetched, sorted as suffixes by prefix doubling, and in suffix order the previous and
-   next smaller positions within a stretch of common prefixes of LENGTH or more tell which positions have an earlier match.
+3. Those contexts' bytes are fetched and sorted as suffixes by prefix doubling, with the longest common prefix of neighbours.  In suffix
+   order the previous and next smaller positions are found, with the least common prefix on the way; the larger of the two is LPF,
+   the longest previous factor, up to LENGTH.
 4. Spans are merged by document and cut from the texts.
 
 Anchors that are very frequent (a line that a third of all documents share) would gather in one shard.  A sample of
 documents tells which they are; that changes only the route: their contexts are dealt out string by string, under each string's own
-hash, where only equal strings meet and all but the first are later copies.
+hash, where only equal strings meet and all but the first are later copies.  Whatever the sample has missed is counted exactly
+before step 3: an anchor with more than SHARD different contexts is divided by its strings, whose suffix arrays are then built in the
+shards of the strings' hashes.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; rows with the same id and text are the
 same document and get the same result; of different texts under one id the one with the smaller hash is the earlier; a null id is
-smaller than any other; an empty table gives an empty result.
+smaller than any other; an empty table gives an empty result; columns of any name pass unchanged.
 """
 
 from __future__ import annotations
@@ -39,10 +42,11 @@ LENGTH = 100
 ANCHOR = 32
 REACH = LENGTH - ANCHOR  # an anchor's string starts at most so many bytes before it
 BLOCK = 2 << 20
-#: Contexts that one suffix array holds; a group of one anchor is never divided.
-SHARD = 12_000
-#: An anchor is routed as frequent if one of SAMPLE_OF documents show it with so many contexts; at most MOST_HOT anchors are.
-SAMPLE_OF, HOT, MOST_HOT = 16, 64, 100_000
+#: Contexts that one suffix array holds; an anchor that has more is divided by its strings.
+SHARD = 8_000
+#: An anchor is routed as frequent if one of SAMPLE_OF documents show it with HOT contexts or more, and with 1 / HOT_LIST or more of the
+#: contexts of all such anchors; so every task is sent HOT_LIST hashes at most.
+SAMPLE_OF, HOT, HOT_LIST = 16, 64, 100_000
 _CODES = byte_codes(23)
 _LEFT, _RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
@@ -155,8 +159,9 @@ def frequent_anchors(rows: DataFrame) -> np.ndarray:
     """Sorted hashes of the anchors with the most different contexts in a sample of documents; for routing only."""
     some = rows.where(F.pmod(F.xxhash64("d", "t"), F.lit(SAMPLE_OF)) == 0)
     counts = some.mapInArrow(trimmed(_list_anchors), "h bigint, c bigint").distinct().groupBy("h").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT)
-    return np.sort(np.array([r.h for r in hot.select("h").collect()], np.int64).view(U64))
+    hot = cut(counts.where(F.col("n") >= HOT))
+    least = hot.agg(F.sum("n")).first()[0] or 0
+    return np.sort(np.array([r.h for r in hot.where(F.col("n") * HOT_LIST >= least).select("h").collect()], np.int64).view(U64))
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,43 +218,88 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------------------------------------- suffix order
 
 
-def prefix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of each position's next ``length`` (8 or more) bytes in suffix order, by prefix doubling; equal bytes, equal rank."""
+def prefix_ranks(text: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Rank of each position's next ``length`` (8 or more) bytes in suffix order, by prefix doubling; equal bytes, equal rank.
+
+    With it come the ranks by shorter lengths too, for common prefixes; those of 4 bytes are the bytes themselves.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     first = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]
     key = np.ascontiguousarray(first).view(">u8").reshape(-1).astype(U64)
+    shorter = {4: (key >> U64(32)).astype(np.uint32)}
     span = 8
     while True:
         order = np.argsort(key)
         ordered = key[order]
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+        shorter[span] = rank
         if span >= length:
-            return rank
+            return rank, shorter
         step = min(span, length - span)
-        second = np.zeros(n, np.int64)
+        second = np.zeros(n, np.int32)
         second[:-step] = rank[step:] + 1
         key = (rank.astype(U64) << U64(32)) | second.astype(U64)
         span += step
 
 
-def has_earlier(rank: np.ndarray, position: np.ndarray) -> np.ndarray:
-    """Whether LPF is at least the ranked length: in suffix order, a smaller position before or after within the equal ranks."""
-    order = np.lexsort((position, rank)) if len(rank) else np.zeros(0, np.int64)
-    r, p = rank[order], position[order]
-    start = np.r_[True, r[1:] != r[:-1]] if len(r) else np.zeros(0, bool)
-    # Positions ascend within a stretch, so the previous smaller value, if any, is the stretch's first.
-    low = p[np.flatnonzero(start)][np.cumsum(start) - 1] if len(r) else p
-    out = np.zeros(len(rank), bool)
-    out[order] = low < p
+def common_prefix(shorter: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that the texts from positions a and b have in common at their start, ``length`` at most, which both must have."""
+    same = np.zeros(len(a), np.int64)
+    for span in sorted(shorter, reverse=True):
+        ranks = shorter[span]
+        some = np.flatnonzero(same + span <= length)
+        same[some[ranks[a[some] + same[some]] == ranks[b[some] + same[some]]]] += span
+    bytes4 = shorter[4]
+    for span in (2, 1):
+        some = np.flatnonzero(same + span <= length)
+        shift = np.uint32(32 - 8 * span)
+        same[some[bytes4[a[some] + same[some]] >> shift == bytes4[b[some] + same[some]] >> shift]] += span
+    return same
+
+
+def previous_smaller(position: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Along the suffix order: the common prefix with the previous entry of a smaller position; 0 if it is below ``least``.
+
+    ``common`` has the common prefixes of neighbours.  An entry looks at the one before it and, where that is not smaller, goes on from
+    there to where that one has got to: what lies between is not smaller either.
+    """
+    back = np.arange(len(position)) - 1
+    low = np.concatenate([[0], common]) if len(position) else common
+    out = np.zeros(len(position), np.int64)
+    live = np.flatnonzero(low >= least)
+    live = live[back[live] >= 0]
+    while len(live):
+        at = back[live]
+        found = position[at] < position[live]
+        out[live[found]] = low[live[found]]
+        live, at = live[~found], at[~found]
+        reach, on = np.minimum(low[live], low[at]), back[at]
+        low[live], back[live] = reach, on
+        live = live[(on >= 0) & (reach >= least)]
+    return out
+
+
+def longest_previous_factor(text: np.ndarray, at: np.ndarray, position: np.ndarray, length: int, least: int = 1) -> np.ndarray:
+    """LPF of the entries that start at ``at``, each with ``length`` bytes: the longest common prefix with an entry of a smaller position.
+
+    Values are ``length`` at most; those below ``least`` are given as 0.
+    """
+    rank, shorter = prefix_ranks(text, length)
+    order = np.lexsort((position, rank[at]))
+    place, start = position[order], at[order]
+    common = common_prefix(shorter, start[:-1], start[1:], length)
+    before = previous_smaller(place, common, least)
+    after = previous_smaller(place[::-1], common[::-1], least)[::-1]  # next smaller
+    out = np.empty(len(at), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
 def later_spans(d: np.ndarray, t: np.ndarray, lo: np.ndarray, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over contexts (id, tie, start; bytes end to end in ``text``): index of the context, start and end of each removed span."""
     begin = np.cumsum(size) - size
-    rank = prefix_ranks(text, LENGTH)
     n = np.maximum(0, size - LENGTH + 1)
     owner = np.repeat(np.arange(len(size)), n)
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -257,7 +307,7 @@ def later_spans(d: np.ndarray, t: np.ndarray, lo: np.ndarray, text: np.ndarray,
     document = np.empty(len(d), np.int64)
     document[place] = np.cumsum(np.r_[False, (d[place][1:] != d[place][:-1]) | (t[place][1:] != t[place][:-1])])
     start = lo[owner] + inner
-    hit = has_earlier(rank[begin[owner] + inner], document[owner] * (1 << 40) + start)
+    hit = longest_previous_factor(text, begin[owner] + inner, document[owner] * (1 << 40) + start, LENGTH, LENGTH) >= LENGTH
     owner, start = owner[hit], start[hit]
     if not len(owner):
         return owner, start, start
@@ -287,7 +337,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = held.column("h").to_numpy()
             cuts = np.flatnonzero(h[1:] != h[:-1]) + 1  # group ends
             fit = cuts[cuts <= SHARD]
-            at = int(fit[-1]) if len(fit) else int(cuts[0]) if len(cuts) else 0
+            at = int(fit[-1]) if len(fit) else int(cuts[0]) if len(cuts) else 0  # a group has SHARD contexts at most
             if not at:
                 break
             yield solve(held.slice(0, at).combine_chunks())
@@ -380,6 +430,35 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ds, ts, needs, keys, pieces = [], [], [], [], []
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From contexts: each string of theirs under its own hash."""
+    for batch in batches:
+        d, t, lo = (batch.column(i).to_numpy() for i in (1, 2, 3))
+        text = batch.column(4)
+        size = text.cast(pa.large_binary()).value_lengths().to_numpy().astype(np.int64) if hasattr(text, "value_lengths") else np.array([len(x.as_py()) for x in text])
+        for i in range(0, len(d), 2_000):
+            data = np.frombuffer(b"".join(text.slice(i, 2_000).to_pylist()), np.uint8)
+            own = size[i : i + 2_000]
+            begin = np.cumsum(own) - own
+            up, down = POWERS.upto(len(data) + 1)
+            total = np.zeros(len(data) + 1, U64)
+            np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
+            n = np.maximum(0, own - LENGTH + 1)
+            which = np.repeat(np.arange(len(own)), n)
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start = begin[which] + inner
+            string = mix64((total[start + LENGTH] - total[start]) * down[start] + _RIGHT)
+            yield pa.RecordBatch.from_arrays([pa.array(string.view(np.int64)), pa.array(d[i:][which]), pa.array(t[i:][which]), pa.array((lo[i:][which] + inner).astype(np.int32))], names=["h", "d", "t", "lo"])
+
+
+def _divided(contexts: DataFrame) -> DataFrame:
+    """(d, t, lo, hi) of the later copies among the strings of contexts, each string compared under its own hash; hot strings can be split."""
+    strings = contexts.mapInArrow(trimmed(_strings), "h bigint, d bigint, t bigint, lo int")
+    first = strings.groupBy("h").agg(F.min(F.struct("d", "t", "lo")).alias("o"))
+    later = strings.join(first, "h").where(F.struct("d", "t", "lo") > F.col("o"))
+    return later.select("d", "t", "lo", (F.col("lo") + LENGTH).alias("hi"))
+
+
 def find_spans(rows: DataFrame) -> DataFrame:
     """From (d, t, text): (d, t, spans) of the documents that lose bytes; starts and ends in turn, merged, in bytes."""
     hot = frequent_anchors(rows)
@@ -389,9 +468,15 @@ def find_spans(rows: DataFrame) -> DataFrame:
     gathered = sifted.repartition("d", "t").sortWithinPartitions("d", "t")
     gathered = cut(gathered.mapInArrow(_by_document(_Gather(), ["d", "t", "spans", "needs", "keys"]), "d bigint, t bigint, spans array<int>, needs array<int>, keys array<bigint>"))
     asked = gathered.where(F.size("keys") > 0).select("d", "t", "needs", "keys")
+    large = cut(asked.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("h"))
     contexts = rows.join(asked, ["d", "t"]).select("d", "t", "text", "needs", "keys")
     contexts = contexts.mapInArrow(trimmed(_contexts), "h bigint, d bigint, t bigint, lo int, bytes binary")
+    divided = None
+    if large.head(1):
+        divided = _divided(contexts.join(large, "h", "left_semi"))
+        contexts = contexts.join(large, "h", "left_anti")
     more = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_shards), "d bigint, t bigint, lo int, hi int")
+    more = more if divided is None else more.unionByName(divided)
     pairs = F.expr("explode(transform(sequence(0, int(size(spans) / 2) - 1), i -> struct(spans[2 * i] AS lo, spans[2 * i + 1] AS hi))) AS s")
     some = gathered.where(F.size("spans") > 0).select("d", "t", pairs).select("d", "t", "s.lo", "s.hi")
     every = some.unionByName(more).repartition("d", "t").sortWithinPartitions("d", "t")

@@ -31,19 +31,35 @@ def test_repeated_rows_and_ids(spark):
     assert dict(got)[None][1] == 0 and dict(got)[2][:3] == (0, 0, 0)
 
 
-def test_shard_suffix_order():
-    rng = np.random.default_rng(0)
-    text = rng.integers(97, 99, 400).astype(np.uint8)
-    rank = substrings.prefix_ranks(text, 12)
-    padded = text.tobytes() + b"\0" * 12
-    keys = [padded[i : i + 12] for i in range(388)]
-    order = sorted(range(388), key=lambda i: keys[i])
-    assert all(rank[a] <= rank[b] for a, b in zip(order, order[1:], strict=False))
-    first = {}
-    for i, k in enumerate(keys):
-        first.setdefault(k, i)
-    earlier = substrings.has_earlier(rank[:388], np.arange(388))
-    assert earlier.tolist() == [first[k] < i for i, k in enumerate(keys)]
+@pytest.mark.parametrize(("letters", "length"), [(1, 8), (2, 12), (3, 100), (4, 37)])
+def test_longest_previous_factor_against_brute_force(letters, length):
+    rng = np.random.default_rng(letters)
+    text = rng.integers(97, 97 + letters, 500).astype(np.uint8)
+    text[300:420] = text[40:160]
+    at = np.arange(500 - length + 1)
+    raw = text.tobytes()
+
+    def common(i, j):
+        return next((k for k in range(length) if raw[i + k] != raw[j + k]), length)
+
+    for position in (at, rng.permutation(at), at // 3):  # also other orders than the text's, and ties
+        want = [max((common(i, j) for j in at if position[j] < position[i]), default=0) for i in at]
+        assert substrings.longest_previous_factor(text, at, position, length).tolist() == want
+        enough = [x if x >= 6 else 0 for x in want]
+        assert substrings.longest_previous_factor(text, at, position, length, 6).tolist() == enough
+
+
+def test_anchors_with_more_contexts_than_a_shard_holds(docs, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "SHARD", 1)
+    assert dict(_digests(docs)) == brute.op1(rows)
+
+
+def test_clashing_names(spark, docs, rows):
+    df = docs.select("doc_id", "text", *(docs["found"].alias(c) for c in ("d", "t", "spans", "_spans", "row", "h", "repeat_spans")))
+    found, name = substrings.remove_repeats(df)
+    assert found.columns[:-1] == df.columns and name not in df.columns
+    plain, own = substrings.remove_repeats(docs.select("doc_id", "text"))
+    assert sorted(((r.doc_id, r[name]) for r in found.collect()), key=repr) == sorted(((r.doc_id, r[own]) for r in plain.collect()), key=repr)
 
 
 def test_empty(empty):
