@@ -27,5 +27,6 @@ def test_wrapper_of_more_than_300_tokens():
     assert all(wrappers.extract(_page(i, 20), wrappers.guide(folded)) == _text(i, 20) for i in range(12))
 
 
-def test_no_guide_where_it_changes_nothing():
-    assert wrappers.guide(_wrapper("<body><article><p>Text.</p></article></body>")) is None
+def test_guide_of_a_page_alone():
+    html = "<body><article><p>Text.</p></article><p>Other.</p></body>"
+    assert wrappers.extract(html, wrappers.guide(_wrapper(html))) == "Text." and wrappers.extract(html, None) == "Text.\nOther."
