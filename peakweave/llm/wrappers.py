@@ -48,8 +48,8 @@ CONSTANT_FROM, SAME = 3, 3
 SKETCH = 16
 #: An optional part of a wrapper is on one of so many pages at least.
 SUPPORT = 1000
-#: Wrappers folded at once, and pages of one host that meet under one key.
-FOLD, PAGES = 16, 1000
+#: Wrappers folded at once, pages of one host that meet under one key, and pages of a task.
+FOLD, PAGES, TASK_PAGES = 16, 200, 1000
 #: Hosts of more than PAGES pages whose salts are broadcast; beyond that they are joined by a shuffle.
 BROADCAST = 100_000
 
@@ -577,7 +577,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> tuple[D
     left = left.join(F.broadcast(large) if size["large"] <= BROADCAST else large, F.col("host") == F.col("_l"), "left")
     left = left.select("row", "host", F.pmod("hash", F.coalesce("_n", F.lit(1))).cast("int").alias("salt"))
     own = guides.select("_h", "guide", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["pages"] or 0) // PAGES))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["pages"] or 0) // TASK_PAGES))
     joined = left.repartition(tasks, "host", "salt").join(own.repartition(tasks, "_h", "_s").hint("merge"), (F.col("host") == F.col("_h")) & (F.col("salt") == F.col("_s")), "left")
     joined = joined.select("row", "guide", F.col("row")[html].alias("html"))
     schema = StructType([*pages.schema.fields, StructField(name, StringType())])
