@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,17 +25,43 @@ def ccan_nodes(edges: DataFrame) -> DataFrame:
     return edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node")
 
 
+def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From a task's edges (a, b): each node with the smallest one that these edges reach."""
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        top = x
+        while (up := root.setdefault(top, top)) != top:
+            top = up
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for frame in frames:
+        for a, b in zip(frame["a"], frame["b"], strict=True):
+            p, q = find(a), find(b)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    nodes = sorted(root)
+    yield pd.DataFrame({"a": nodes, "b": [find(x) for x in nodes]}, dtype=object)
+
+
 def component_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable, by min labels with pointer jumping."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(node, component): the smallest node reachable.
+
+    Edges are dealt out by ranges of names, as near regions are linked, and each task's are replaced by stars; what is linked across
+    tasks is settled by rounds of min labels with pointer jumping.
+    """
+    stars = edges.select("a", "b").repartitionByRange("a").mapInPandas(_stars, "a string, b string")
+    both = checkpointed(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label")))
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", "near").alias("label"))
+        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = step.select(F.col("node").alias("n2"), F.col("label").alias("l2"))
-        new = checkpointed(step.join(jump, F.col("label") == F.col("n2"), "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        labels = new
+        new = checkpointed(step.join(jump, F.col("label") == F.col("n2"), "left").select("node", F.least("label", F.coalesce("l2", "label")).alias("label"), "old"))
+        changed = new.where("label <> old").limit(1).count()
+        labels = new.drop("old")
         if not changed:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")

@@ -103,3 +103,11 @@ def top_links(links: DataFrame, k: int) -> DataFrame:
     chromosome = F.split("Peak1", "_").getItem(0)
     rank = F.row_number().over(Window.partitionBy("chromosome").orderBy(F.desc("score"), "i", "j"))
     return links.withColumn("chromosome", chromosome).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+
+
+def symmetric(upper: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Both triangles of a network given by one of them, and a diagonal of ones for the regions if they are given."""
+    own, mirror = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = F.when(F.col("i") == F.col("j"), F.array(own)).otherwise(F.array(own, mirror))
+    out = upper.select(F.explode(both).alias("at"), "score").select("at.i", "at.j", "score")
+    return out if regions is None else out.unionByName(regions.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("score")))

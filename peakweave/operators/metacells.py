@@ -116,15 +116,19 @@ def knn(embedding: DataFrame, k: int, id_column: str = "cell", vec: str = "vec")
 
         def search(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, base = shared.value
-            keep = min(k, len(ids))
+            keep, norm = min(k, len(ids)), (base * base).sum(1)
+            most = norm.max()
             for frame in frames:
                 for i in range(0, len(frame), 256):
                     part = frame.iloc[i : i + 256]
                     q = np.stack(part["vec"])
-                    d = np.stack([((base - x) ** 2).sum(1) for x in q])
-                    cut = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
-                    row, col = np.nonzero(d <= cut)  # ties at the border are settled by id below
-                    yield pd.DataFrame({"cell": part["cell"].to_numpy()[row], "neighbor": ids[col], "d": d[row, col]})
+                    # one matrix product finds who may be among the nearest, with room for its rounding; their distances are then exact
+                    size = (q * q).sum(1)[:, None]
+                    near = size + norm - 2 * (q @ base.T)
+                    cut = np.partition(near, keep - 1, axis=1)[:, keep - 1 : keep]
+                    row, col = np.nonzero(near <= cut + 1e-9 * (size + most))  # ties at the border are settled by id below
+                    d = ((base[col] - q[row]) ** 2).sum(1)
+                    yield pd.DataFrame({"cell": part["cell"].to_numpy()[row], "neighbor": ids[col], "d": d})
 
         part = points.mapInPandas(search, "cell bigint, neighbor bigint, d double")
         found = part if found is None else found.unionByName(part)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import correlation, sample_covariance
@@ -49,21 +49,64 @@ def ridge(moments: DataFrame, by: float = RIDGE) -> DataFrame:
     return moments.withColumn("cov", F.when(F.col("i") == F.col("j"), F.col("cov") + by).otherwise(F.col("cov")))
 
 
-def average_ranks(table: DataFrame, by: str, value: str, n: int, winsorize: bool = False, truncation: float | None = None, features: int = 1) -> DataFrame:
-    """Add ``rank``: average ranks of ``value`` within ``by``, over n; winsorized ones are shrunk (many rows) or clipped."""
-    w = Window.partitionBy(by)
-    low = F.rank().over(w.orderBy(value))
-    ties = F.count("*").over(w.partitionBy(by, value))
-    r = (low + (ties - 1) / 2) / n
+def average_ranks(counts: DataFrame, n_cells: int, winsorize: bool = False, truncation: float | None = None, features: int = 1) -> DataFrame:
+    """(cell, idx, rank, zero_rank): average ranks over all cells, divided by their number; of counts, and of each region's absent ones.
+
+    Absent counts are zeros and are never made: negative counts come before them, positive ones after.  Winsorized ranks are shrunk
+    (more than 100 cells a region) or clipped.
+    """
+    w = Window.partitionBy("idx")
+    own = counts.where("value <> 0")
+    ties = F.count("*").over(Window.partitionBy("idx", "value"))
+    zeros = F.lit(n_cells) - F.count("*").over(w)
+    below = F.count_if(F.col("value") < 0).over(w)
+    low = F.rank().over(w.orderBy("value")) + F.when(F.col("value") > 0, zeros).otherwise(0)
+    rank, zero = (low + (ties - 1) / 2) / n_cells, (below + (zeros + 1) / 2) / n_cells
     if winsorize:
         if truncation is not None and truncation > 1:
             raise TypeError("truncation must be 1 at most")
-        t = truncation if truncation is not None else 1 / (4 * n**0.25 * math.sqrt(math.pi * math.log(n)))
-        r = n * r / (n + 1) if n > 100 * features else F.least(F.greatest(r, F.lit(t)), F.lit(1 - t))
-    return table.withColumn("rank", r)
+        t = truncation if truncation is not None else 1 / (4 * n_cells**0.25 * math.sqrt(math.pi * math.log(n_cells)))
+        bound = (lambda r: n_cells * r / (n_cells + 1)) if n_cells > 100 * features else lambda r: F.least(F.greatest(r, F.lit(t)), F.lit(1 - t))
+        rank, zero = bound(rank), bound(zero)
+    return own.select("cell", "idx", rank.alias("rank"), zero.alias("zero_rank"))
+
 
+def pair_kendall(pairs: DataFrame, counts: DataFrame, n_cells: int) -> DataFrame:
+    """(i, j, tau): tau-b of pairs over all cells.
 
-def dense_counts(counts: DataFrame, cells: DataFrame, regions: list[int]) -> DataFrame:
-    """Counts of a few given regions with their zeros; whole matrices stay sparse."""
-    spread = cells.select("cell", F.explode(F.array(*[F.lit(i).cast("bigint") for i in regions])).alias("idx"))
-    return spread.join(counts, ["cell", "idx"], "left").select("cell", "idx", F.coalesce("value", F.lit(0.0)).alias("value"))
+    Cells with equal counts in both regions are one row with their number, and so are the cells that have neither; rows of a pair are then
+    compared.  A pair has as many rows as its regions have different counts together, not as there are cells.
+    """
+    some = pairs.select("i", "j").distinct()
+    own = counts.where("value <> 0").select("cell", "idx", "value")
+    x = some.join(own.withColumnsRenamed({"idx": "i", "value": "x"}), "i")
+    y = some.join(own.withColumnsRenamed({"idx": "j", "value": "y"}), "j")
+    seen = x.join(y, ["i", "j", "cell"], "full").groupBy("i", "j", F.coalesce("x", F.lit(0.0)).alias("x"), F.coalesce("y", F.lit(0.0)).alias("y")).agg(F.count("*").alias("n"))
+    rest = some.join(seen.groupBy("i", "j").agg(F.sum("n").alias("m")), ["i", "j"], "left")
+    none = rest.select("i", "j", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (F.lit(n_cells) - F.coalesce("m", F.lit(0))).alias("n")).where("n > 0")
+    rows = seen.unionByName(none)
+    a, b = rows.withColumnsRenamed({"x": "x1", "y": "y1", "n": "n1"}), rows.withColumnsRenamed({"x": "x2", "y": "y2", "n": "n2"})
+    dx, dy, n = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2")), F.col("n1") * F.col("n2")
+    tau = F.sum(dx * dy * n) / F.sqrt(F.sum(F.abs(dx) * n) * F.sum(F.abs(dy) * n))
+    return a.join(b, ["i", "j"]).groupBy("i", "j").agg(tau.alias("tau"))
+
+
+def pair_coefficients(pairs: DataFrame, counts: DataFrame, n_cells: int, method: str = "corrcoef") -> DataFrame:
+    """(i, j, value): initial coefficients of pairs i < j: corrcoef, cov, spearman or kendalltau over all cells."""
+    if method == "cov":
+        return pair_moments(pairs, counts, n_cells).select("i", "j", F.col("cov").alias("value"))
+    if method == "corrcoef":
+        return pair_correlations(pair_moments(pairs, counts, n_cells)).select("i", "j", F.col("corr").alias("value"))
+    if method == "spearman":  # ranks less the rank of absent counts: these are then zeros, and covariances do not change
+        shifted = average_ranks(counts, n_cells).select("cell", "idx", (F.col("rank") - F.col("zero_rank")).alias("value"))
+        rho = pair_correlations(pair_moments(pairs, shifted, n_cells))
+        return rho.select("i", "j", (2 * F.sin(F.col("corr") * math.pi / 6)).alias("value"))
+    if method == "kendalltau":
+        return pair_kendall(pairs, counts, n_cells).select("i", "j", F.sin(F.col("tau") * math.pi / 2).alias("value"))
+    raise ValueError(f"unknown method {method!r}: corrcoef, cov, spearman or kendalltau")
+
+
+def frobenius_error(moments: DataFrame, estimate: Column) -> DataFrame:
+    """(error): Frobenius norm, above the diagonal, of covariances less an estimate of theirs."""
+    gap = F.col("cov") - estimate
+    return moments.where("i < j").agg(F.sqrt(F.sum(gap * gap)).alias("error"))

@@ -78,21 +78,40 @@ def compute_metacells(atac: Atac, k: int = 50, max_overlap_metacells: float = 0.
     return Atac(values, atac.regions, values.select("cell").distinct().count(), atac.networks)
 
 
-def plot_connections(connections: DataFrame | Atac, chromosome: str, start: int, end: int, abs_threshold: float = 0.4, only_positive: bool = False, sep: tuple[str, str] = ("_", "_"), key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(arcs, regions) of the links in a range."""
+def _renamed(table: DataFrame, names: dict[str, str | None]) -> DataFrame:
+    """The table with the caller's columns under our names; ValueError if one is missing."""
+    own = {ours: given or ours for ours, given in names.items()}
+    reg.require_columns(table, list(own.values()), ValueError)
+    return table.select(*[table[given].alias(ours) for ours, given in own.items()])
+
+
+def plot_connections(
+    connections: DataFrame | Atac, chromosome: str, start: int, end: int, abs_threshold: float = 0.4, only_positive: bool = False, sep: tuple[str, str] = ("_", "_"),
+    key: str | None = None, peak1_col: str | None = None, peak2_col: str | None = None, score_col: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(arcs, regions) of the links in a range; a table of links may have its columns under other names."""
+    names = {"Peak1": peak1_col, "Peak2": peak2_col, "score": score_col}
     if isinstance(connections, Atac):
+        if any(names.values()):
+            warnings.warn("peak1_col, peak2_col and score_col are ignored for an Atac", UserWarning, stacklevel=2)
         connections = extract_atac_links(connections, key)
     elif not isinstance(connections, DataFrame):
         raise ValueError("connections must be a DataFrame of links or an Atac")
-    elif key is not None:
-        warnings.warn("key is ignored for a table of links", UserWarning, stacklevel=2)
+    else:
+        if key is not None:
+            warnings.warn("key is ignored for a table of links", UserWarning, stacklevel=2)
+        connections = _renamed(connections, names)
     found = plotdata.connections_in(connections, chromosome, start, end, sep)
     return plotdata.arcs(found, abs_threshold, only_positive), plotdata.arc_regions(found)
 
 
-def plot_genes(genes: DataFrame, chromosome: str, start: int, end: int, gene_spacing: float = 100_000, fontsize: float = 10, name_padding: float = 0.5) -> DataFrame:
-    """Genes in a range with their tracks."""
-    return plotdata.gene_tracks(plotdata.genes_in(genes, chromosome, start, end), gene_spacing, fontsize, name_padding)
+def plot_genes(
+    genes: DataFrame, chromosome: str, start: int, end: int, gene_spacing: float = 100_000, fontsize: float = 10, name_padding: float = 0.5,
+    chromosome_col: str | None = None, start_col: str | None = None, end_col: str | None = None, name_col: str | None = None, strand_col: str | None = None,
+) -> DataFrame:
+    """Genes in a range with their tracks; the table may have its columns under other names."""
+    own = _renamed(genes, {"chromosome": chromosome_col, "start": start_col, "end": end_col, "genename": name_col, "strand": strand_col})
+    return plotdata.gene_tracks(plotdata.genes_in(own, chromosome, start, end), gene_spacing, fontsize, name_padding)
 
 
 def plot_connections_genes(connections: DataFrame | Atac, genes: DataFrame, chromosome: str, start: int, end: int, gene_spacing: float = 100_000, **parameters) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -21,6 +21,7 @@ _COUNTS = "raw AS (SELECT l_suppkey AS cell, l_partkey AS part, sum(l_quantity)
 _STARTS = {
     "F1": "(p_partkey // 5) * 2000 + 1",
     "F2": "(p_partkey // 10) * 8000 + ((p_partkey // 5) % 2) * 1500 + 4100",
+    "F3": "(p_partkey // 15) * 12000 + ((p_partkey // 5) % 3) * 1001 + 7000",
 }
 
 
@@ -75,6 +76,10 @@ def _f2(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
     return tables.fixture(spark, d, tables.paired())
 
 
+def _f3(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    return tables.fixture(spark, d, tables.chained())
+
+
 def _r6(name: str, column: str | None = None) -> Column:
     return F.round(column or name, 6).alias(name)
 
@@ -225,76 +230,61 @@ def cov_ridge(spark: SparkSession, d: str) -> DataFrame:
     return moments.ridge(_window_moments(spark, d)).select("i", "j", _r6("cov"))
 
 
-#: A small dense table: the first eight regions over all cells.
-_DENSE = f"""{_regions("F1")}, dense AS (SELECT s_suppkey AS cell, r.idx, coalesce(c.value, 0.0) AS value
-  FROM supplier, (SELECT idx FROM regions WHERE idx < 8) r LEFT JOIN counts c ON c.cell = s_suppkey AND c.idx = r.idx),
-ranks AS (SELECT cell, idx, value, (rank() OVER (PARTITION BY idx ORDER BY value) + (count(*) OVER (PARTITION BY idx, value) - 1) / 2.0) / n AS rank FROM dense, size)"""
-
-
-def _dense(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    counts, _, n = _f1(spark, d)
-    cells = tables.read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("cell"))
-    return moments.dense_counts(counts, cells, list(range(8))), n
+#: The dense table that the sparse operators never make: every region over all cells, with average ranks.
+_DENSE = f"""{_WINDOW_PAIRS}, dense AS (SELECT s_suppkey AS cell, r.idx, coalesce(c.value, 0.0) AS value
+  FROM supplier, regions r LEFT JOIN counts c ON c.cell = s_suppkey AND c.idx = r.idx),
+ranks AS (SELECT cell, idx, value, (rank() OVER (PARTITION BY idx ORDER BY value) + (count(*) OVER (PARTITION BY idx, value) - 1) / 2.0) / n AS rank FROM dense, size),
+zeros AS (SELECT idx, (n - count(*) FILTER (value <> 0) + 1) / 2.0 / n AS zero_rank FROM dense, size GROUP BY idx, n),
+twos AS (SELECT i, j, x.cell, x.value AS x, y.value AS y, x.rank AS rx, y.rank AS ry FROM pairs JOIN ranks x ON x.idx = i JOIN ranks y ON y.idx = j AND y.cell = x.cell WHERE i < j)"""
 
 
-@query("avg_ranks", f"WITH {_DENSE} SELECT cell, idx, round(rank, 6) AS rank FROM ranks")
+@query("avg_ranks", f"WITH {_DENSE} SELECT cell, idx, round(rank, 6) AS rank, round(zero_rank, 6) AS zero_rank FROM ranks JOIN zeros USING (idx) WHERE value <> 0")
 def avg_ranks(spark: SparkSession, d: str) -> DataFrame:
-    table, n = _dense(spark, d)
-    return moments.average_ranks(table, "idx", "value", n).select("cell", "idx", _r6("rank"))
+    """Ranks of all counts, with the rank of each region's absent ones."""
+    counts, _, n = _f2(spark, d)
+    return moments.average_ranks(counts, n).select("cell", "idx", _r6("rank"), _r6("zero_rank"))
 
 
-@query("winsor_ranks", f"WITH {_DENSE} SELECT cell, idx, round(least(greatest(rank, 0.05), 0.95), 6) AS rank FROM ranks")
+@query("winsor_ranks", f"WITH {_DENSE} SELECT cell, idx, round(least(greatest(rank, 0.05), 0.95), 6) AS rank, round(least(greatest(zero_rank, 0.05), 0.95), 6) AS zero_rank FROM ranks JOIN zeros USING (idx) WHERE value <> 0")
 def winsor_ranks(spark: SparkSession, d: str) -> DataFrame:
-    table, n = _dense(spark, d)
-    return moments.average_ranks(table, "idx", "value", n, True, 0.05, features=8).select("cell", "idx", _r6("rank"))
+    counts, regions, n = _f2(spark, d)
+    return moments.average_ranks(counts, n, True, 0.05, features=regions.count()).select("cell", "idx", _r6("rank"), _r6("zero_rank"))
 
 
-def _pairs_of(table: DataFrame) -> DataFrame:
-    side = lambda s, v: table.select("cell", F.col("idx").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in v])
-    values = [c for c in table.columns if c not in ("cell", "idx")]
-    return side("i", values).join(side("j", values), "cell").where("i < j")
+def _coefficients(spark: SparkSession, d: str, method: str, name: str) -> DataFrame:
+    """Initial coefficients of all pairs that share a window."""
+    counts, regions, n = _f2(spark, d)
+    pairs = windows.member_pairs(windows.window_members(regions, 8_000))
+    return moments.pair_coefficients(pairs, counts, n, method).select("i", "j", _r6(name, "value"))
 
 
-@query("spearman_corr", f"WITH {_DENSE} SELECT a.idx AS i, b.idx AS j, round(2 * sin(corr(a.rank, b.rank) * pi() / 6), 6) AS corr FROM ranks a JOIN ranks b ON a.cell = b.cell AND a.idx < b.idx GROUP BY 1, 2")
+@query("spearman_corr", f"WITH {_DENSE} SELECT i, j, round(2 * sin(corr(rx, ry) * pi() / 6), 6) AS corr FROM twos GROUP BY 1, 2")
 def spearman_corr(spark: SparkSession, d: str) -> DataFrame:
-    table, n = _dense(spark, d)
-    ranked = moments.average_ranks(table, "idx", "value", n).select("cell", "idx", "rank")
-    return _pairs_of(ranked).groupBy("i", "j").agg(F.round(2 * F.sin(F.corr("rank_i", "rank_j") * F.pi() / 6), 6).alias("corr"))
+    return _coefficients(spark, d, "spearman", "corr")
 
 
 @query(
     "kendall_corr",
-    f"""WITH {_DENSE}, twos AS (SELECT a.cell, a.idx AS i, b.idx AS j, a.value AS x, b.value AS y FROM dense a JOIN dense b ON a.cell = b.cell AND a.idx < b.idx AND b.idx < 4)
-SELECT p.i, p.j, round(sin(pi() / 2 * (sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))))), 6) AS corr
+    f"""WITH {_DENSE} SELECT p.i, p.j, round(sin(pi() / 2 * (sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))))), 6) AS corr
 FROM twos p JOIN twos q ON p.i = q.i AND p.j = q.j GROUP BY 1, 2""",
 )
 def kendall_corr(spark: SparkSession, d: str) -> DataFrame:
-    """Tau-b from counts of value pairs: cells with equal pairs are counted once, then compared."""
-    table, _ = _dense(spark, d)
-    pairs = _pairs_of(table.where("idx < 4")).groupBy("i", "j", F.col("value_i").alias("x"), F.col("value_j").alias("y")).agg(F.count("*").alias("n"))
-    a, b = pairs.alias("a"), pairs.alias("b")
-    joined = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")))
-    dx, dy, n = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y")), F.col("a.n") * F.col("b.n")
-    tau = F.sum(dx * dy * n) / F.sqrt(F.sum(F.abs(dx) * n) * F.sum(F.abs(dy) * n))
-    return joined.groupBy(F.col("a.i").alias("i"), F.col("a.j").alias("j")).agg(F.round(F.sin(F.pi() / 2 * tau), 6).alias("corr"))
+    return _coefficients(spark, d, "kendalltau", "corr")
 
 
-@query("init_corrcoef", f"WITH {_DENSE} SELECT a.idx AS i, b.idx AS j, round(corr(a.value, b.value), 6) AS corr FROM dense a JOIN dense b ON a.cell = b.cell AND a.idx < b.idx GROUP BY 1, 2")
+@query("init_corrcoef", f"WITH {_DENSE} SELECT i, j, round(corr(x, y), 6) AS corr FROM twos GROUP BY 1, 2")
 def init_corrcoef(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = _dense(spark, d)
-    return _pairs_of(table).groupBy("i", "j").agg(F.round(F.corr("value_i", "value_j"), 6).alias("corr"))
+    return _coefficients(spark, d, "corrcoef", "corr")
 
 
-@query("init_cov", f"WITH {_DENSE} SELECT a.idx AS i, b.idx AS j, round(covar_samp(a.value, b.value), 6) AS cov FROM dense a JOIN dense b ON a.cell = b.cell AND a.idx < b.idx GROUP BY 1, 2")
+@query("init_cov", f"WITH {_DENSE} SELECT i, j, round(covar_samp(x, y), 6) AS cov FROM twos GROUP BY 1, 2")
 def init_cov(spark: SparkSession, d: str) -> DataFrame:
-    table, _ = _dense(spark, d)
-    return _pairs_of(table).groupBy("i", "j").agg(F.round(F.covar_samp("value_i", "value_j"), 6).alias("cov"))
+    return _coefficients(spark, d, "cov", "cov")
 
 
 @query("frobenius_error", f"WITH {_WINDOW_PAIRS} SELECT round(sqrt(sum((cov - sign(cov) * greatest(abs(cov) - 10, 0)) * (cov - sign(cov) * greatest(abs(cov) - 10, 0)))), 6) AS error FROM moments WHERE i < j")
 def frobenius_error(spark: SparkSession, d: str) -> DataFrame:
-    gap = F.col("cov") - ex.soft_threshold(F.col("cov"), F.lit(10.0))
-    return _window_moments(spark, d).where("i < j").agg(F.round(F.sqrt(F.sum(gap * gap)), 6).alias("error"))
+    return moments.frobenius_error(_window_moments(spark, d), ex.soft_threshold(F.col("cov"), F.lit(10.0))).select(_r6("error"))
 
 
 # ------------------------------------------------------------------------------------------- network
@@ -310,6 +300,55 @@ def glasso_pairs(spark: SparkSession, d: str) -> DataFrame:
     return network.network_of(counts, regions, n, 50.0, 8_000).where("i < j").select("i", "j", _r6("score"))
 
 
+#: Estimate and covariance of a window of two regions: both diagonals, either off-diagonal, determinants and the trace of their product.
+_LOSSES = f"""{_GLASSO_PAIRS}, two AS (SELECT p.*, m.cov AS c FROM penal p JOIN moments m USING (i, j)),
+det AS (SELECT *, v * u - w * w AS dw, v * u - c * c AS ds, 2 * (v * u - c * w) / (v * u - w * w) AS tr FROM two),
+of_window AS (SELECT a.chromosome, a.off, CAST(a.w AS BIGINT) AS w, a.idx AS i, b.idx AS j FROM members a JOIN members b ON a.chromosome = b.chromosome AND a.off = b.off AND a.w = b.w AND a.idx < b.idx)"""
+
+
+@query(
+    "window_losses",
+    f"""WITH {_LOSSES} SELECT chromosome, off, o.w, round(abs(c - d.w), 6) AS frobenius, round((c - d.w) * (c - d.w), 6) AS spectral, round((tr - ln(ds / dw) - 2) / 2, 6) AS kl,
+round(2 * pow(tr / 2 - 1, 2), 6) AS quadratic, round((tr + ln(dw)) / 2 + ln(2 * pi()), 6) AS log_likelihood FROM of_window o JOIN det d USING (i, j)""",
+)
+def window_losses(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric between each window's covariance and its estimate."""
+    counts, regions, n = _f2(spark, d)
+    found = network.window_losses(windows.window_members(regions, 8_000), counts, n, 50.0)
+    return found.select("chromosome", "off", "w", *[_r6(m) for m in ("frobenius", "spectral", "kl", "quadratic", "log_likelihood")])
+
+
+@query("average_alpha", f"WITH {_GLASSO_PAIRS}, off AS (SELECT abs(cov) / (1 - pow(1000.0 / {_TWO}, 0.75)) AS alpha FROM moments WHERE i < j) SELECT round(avg(alpha), 4) AS alpha FROM off")
+def average_alpha(spark: SparkSession, d: str) -> DataFrame:
+    """The mean over all windows: of two regions the penalty factor is where it meets their covariance."""
+    counts, regions, n = _f2(spark, d)
+    alpha = network.average_alpha(counts, regions, n, 8_000, n_samples=1 << 30, n_samples_maxtry=1 << 30, distance_constraint=1_000)
+    return spark.createDataFrame([(round(alpha, 4),)], "alpha double")
+
+
+#: Windows of three regions in a row, the far pair under a penalty that no covariance reaches: the middle one separates the others, so that
+#: the far pair's correlation is the product of the near ones.
+_CHAINS = f"""{_members('F3', 12000)}, pairs AS (SELECT DISTINCT a.idx AS i, b.idx AS j
+  FROM members a JOIN members b ON a.chromosome = b.chromosome AND a.off = b.off AND a.w = b.w AND a.idx <= b.idx),{_MOMENTS},
+near AS (SELECT i, j, sign(cov) * greatest(abs(cov) - 20000 * (1 - pow(1000.0 / 1001, 0.75)), 0) / sqrt((var_i + 1e-4) * (var_j + 1e-4)) AS score FROM moments WHERE j = i + 1),
+expected AS (SELECT i, j, score FROM near UNION ALL SELECT a.i, b.j, a.score * b.score FROM near a JOIN near b ON b.i = a.j)"""
+
+
+@query("glasso_chains", f"WITH {_CHAINS} SELECT i, j, round(score, 6) + 0.0 AS expected, true AS solved FROM expected")
+def glasso_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the solver's scores in windows of three regions are those of the closed form."""
+    counts, regions, n = _f3(spark, d)
+    pairs = windows.member_pairs(windows.window_members(regions, 12_000), strict=False)
+    least = 20000 * (1 - (1000 / 1001) ** 0.75)
+    moved = moments.pair_moments(pairs, counts, n).where("j = i + 1")
+    near = moved.select("i", "j", (ex.soft_threshold(F.col("cov"), F.lit(least)) / F.sqrt((F.col("var_i") + 1e-4) * (F.col("var_j") + 1e-4))).alias("expected"))
+    far = near.alias("a").join(near.alias("b"), F.col("a.j") == F.col("b.i")).select("a.i", "b.j", (F.col("a.expected") * F.col("b.expected")).alias("expected"))
+    found = network.network_of(counts, regions, n, 20000.0, 12_000).where("i < j")
+    both = near.unionByName(far).join(found, ["i", "j"], "full")
+    gap = F.abs(F.coalesce("score", F.lit(0.0)) - F.col("expected"))
+    return both.select("i", "j", _r6("expected"), F.coalesce(gap < 1e-6, F.lit(False)).alias("solved"))
+
+
 _RECONCILE = f"""{_members('F1', 4000)},
 sizes AS (SELECT chromosome, off, w, count(*) AS n FROM members GROUP BY ALL HAVING count(*) > 1 AND count(*) <= 200),
 scored AS (SELECT a.off, a.w, a.idx AS i, b.idx AS j, ((a.idx * 7 + b.idx * 3 + a.off * 5) % 11 - SHIFT) / 10.0 AS score
@@ -383,9 +422,7 @@ def network_subset(spark: SparkSession, d: str) -> DataFrame:
 @query("network_symmetric", f"WITH {_NETWORK} SELECT i, j, score FROM network UNION ALL SELECT j, i, score FROM network UNION ALL SELECT idx, idx, 1.0 FROM regions")
 def network_symmetric(spark: SparkSession, d: str) -> DataFrame:
     """Both triangles and the diagonal, as a network is kept."""
-    net, regions = _network(spark, d)
-    mirror = net.select(F.col("j").alias("i"), F.col("i").alias("j"), "score")
-    return net.unionByName(mirror).unionByName(regions.select(F.col("idx").alias("i"), F.col("idx").alias("j"), F.lit(1.0).alias("score")))
+    return links.symmetric(*_network(spark, d))
 
 
 # ------------------------------------------------------------------------------------------- modules
@@ -428,6 +465,44 @@ def ccan_sizes(spark: SparkSession, d: str) -> DataFrame:
     return graph.ccan_sizes(_labels(_f1(spark, d)[1]), 6)
 
 
+#: Cliques of four regions in a row, of two weights; two and two are joined by one weak link.
+_WEAK = 0.197
+_CLIQUES = f"""{_regions("F1")}, cliques AS (SELECT a.peak AS Peak1, b.peak AS Peak2, 0.305 + (a.idx // 4 % 2) * 0.1 AS score, a.idx // 4 AS g FROM regions a JOIN regions b ON a.idx < b.idx AND a.idx // 4 = b.idx // 4)"""
+
+
+def _cliques(spark: SparkSession, d: str) -> DataFrame:
+    regions = _f1(spark, d)[1].select("peak", "idx", F.floor(F.col("idx") / 4).alias("g"))
+    side = lambda k: regions.select(F.col("peak").alias(f"Peak{k}"), F.col("idx").alias(f"idx{k}"), "g")
+    both = side(1).join(side(2), "g").where("idx1 < idx2").select("Peak1", "Peak2", (0.305 + F.col("g") % 2 * 0.1).alias("score"))
+    last, first = regions.where("idx % 8 = 3").select(F.col("peak").alias("Peak1"), F.col("idx")), regions.where("idx % 8 = 4").select(F.col("peak").alias("Peak2"), (F.col("idx") - 1).alias("idx"))
+    return both.unionByName(last.join(first, "idx").select("Peak1", "Peak2", F.lit(_WEAK).alias("score")))
+
+
+@query(
+    "ccans_of_cliques",
+    f"""WITH {_CLIQUES}, first AS (SELECT g, min(least(Peak1, Peak2)) AS name FROM cliques GROUP BY 1), numbered AS (SELECT g, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS CCAN FROM first)
+SELECT peak AS Peak, CCAN FROM regions JOIN numbered ON idx // 4 = g""",
+)
+def ccans_of_cliques(spark: SparkSession, d: str) -> DataFrame:
+    """Modules of all regions at a cutoff above the weak links."""
+    return graph.find_ccans(_cliques(spark, d), coaccess_cutoff_override=0.25)
+
+
+@query("ccans_of_joined_cliques", f"""WITH {_CLIQUES}, first AS (SELECT g // 2 AS h, min(least(Peak1, Peak2)) AS name FROM cliques GROUP BY 1), numbered AS (SELECT h, CAST(row_number() OVER (ORDER BY name) - 1 AS INTEGER) AS CCAN FROM first)
+SELECT peak AS Peak, CCAN FROM regions JOIN numbered ON idx // 8 = h""")
+def ccans_of_joined_cliques(spark: SparkSession, d: str) -> DataFrame:
+    """Modules with the weak links: in so large a graph two cliques with one link between them have more modularity as one."""
+    return graph.find_ccans(_cliques(spark, d), coaccess_cutoff_override=0.1)
+
+
+@query("find_cutoff", f"WITH {_CLIQUES} SELECT count(DISTINCT g) AS n_modules, true AS parted FROM cliques")
+def find_cutoff(spark: SparkSession, d: str) -> DataFrame:
+    """How many modules the cutoff fitted to one digit (by default two) gives, and whether it parts the cliques without losing the weaker ones."""
+    found = graph.checkpointed(_cliques(spark, d))
+    cutoff = graph.find_ccan_cutoff(found, tolerance_digits=1)
+    return spark.createDataFrame([(graph.number_of_ccans(found, cutoff), _WEAK <= cutoff < 0.305)], "n_modules bigint, parted boolean")
+
+
 @query("add_ccans_join", f'WITH {_EDGES} SELECT peak, chromosome, start, "end", idx, CCAN FROM regions LEFT JOIN labels USING (peak)')
 def add_ccans_join(spark: SparkSession, d: str) -> DataFrame:
     regions = _f1(spark, d)[1]
@@ -461,13 +536,13 @@ def knn_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return metacells.knn(tables.read_table(spark, d, "embeddings"), 10, "vec_id", "embedding")
 
 
-#: Given metacells: three cells in a row, every second start.
-_GIVEN = f"""{_regions("F1")}, given AS (SELECT CAST(s_suppkey // 2 AS BIGINT) AS metacell, CAST(s_suppkey + k AS BIGINT) AS cell FROM supplier, (VALUES (0), (1), (2)) t(k) WHERE s_suppkey % 2 = 0)"""
+#: Given metacells: three cells in a row, from every cell on.
+_GIVEN = f"""{_regions("F1")}, given AS (SELECT CAST(s_suppkey AS BIGINT) AS metacell, CAST(s_suppkey + k AS BIGINT) AS cell FROM supplier, (VALUES (0), (1), (2)) t(k))"""
 
 
 def _given(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("s_suppkey")
-    return tables.read_table(spark, d, "supplier").where(s % 2 == 0).select(F.floor(s / 2).alias("metacell"), F.explode(F.sequence(s, s + 2)).alias("cell"))
+    return tables.read_table(spark, d, "supplier").select(s.alias("metacell"), F.explode(F.sequence(s, s + 2)).alias("cell"))
 
 
 @query("metacell_mean", f"WITH {_GIVEN} SELECT metacell AS cell, idx, round(sum(value) / 3, 6) AS value FROM given JOIN counts USING (cell) GROUP BY 1, 2")
@@ -485,6 +560,19 @@ def metacell_overlap(spark: SparkSession, d: str) -> DataFrame:
     return metacells.overlaps(_given(spark, d))
 
 
+@query(
+    "compute_metacells",
+    f"""WITH {_regions("F1")}, given AS (SELECT CAST(s_suppkey // 5 AS BIGINT) AS metacell, s_suppkey AS cell FROM supplier)
+SELECT metacell AS cell, idx, round(sum(value) / 5, 6) AS value FROM given JOIN counts USING (cell) GROUP BY 1, 2""",
+)
+def compute_metacells(spark: SparkSession, d: str) -> DataFrame:
+    """Metacells of all cells from a given embedding, in which five cells in a row lie together."""
+    counts, regions, n = _f1(spark, d)
+    c = F.col("s_suppkey")
+    embedding = tables.read_table(spark, d, "supplier").select(c.alias("cell"), F.array(F.floor(c / 5) * 1000.0, (c % 5).cast("double")).alias("vec"))
+    return metacells.compute_metacells(counts, regions, n, k=5, embedding=embedding).select("cell", "idx", _r6("value"))
+
+
 # ------------------------------------------------------------------------------------------- plot tables
 
 _RANGE = ("chr1", 2000, 60_000)
@@ -551,6 +639,20 @@ def gene_labels(spark: SparkSession, d: str) -> DataFrame:
     return own.select("chromosome", "start", "genename", _r6("name_width"), _r6("padding"), "color")
 
 
+#: Greedy packing, gene by gene in order of start: a track is known by the end of its last gene and label.
+_TRACKS = f"""RECURSIVE {_GENES}, own AS (SELECT chromosome, coalesce(genename, 'unknown') AS genename, start, "end", length(coalesce(genename, 'unknown')) * 1.5 + 5.0 AS padding FROM genes WHERE chromosome = 'chr2' AND start >= 0 AND "end" <= 20000000),
+listed AS (SELECT *, row_number() OVER (ORDER BY start, "end", genename) AS n FROM own),
+packed(n, ends, track) AS (SELECT CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST(-1 AS BIGINT)
+  UNION ALL SELECT n, CASE WHEN k = 0 THEN list_append(ends, "end" + padding) ELSE list_concat(list_append(ends[1 : k - 1], greatest(ends[k], "end" + padding)), ends[k + 1 :]) END, CASE WHEN k = 0 THEN len(ends) ELSE k - 1 END
+  FROM (SELECT g.n, g."end", g.padding, p.ends, coalesce(list_position(list_transform(p.ends, lambda x: x + 0.5 <= g.start - 1000), true), 0) AS k FROM packed p JOIN listed g ON g.n = p.n + 1))"""
+
+
+@query("gene_tracks", f'WITH {_TRACKS} SELECT chromosome, genename, start, "end", track FROM listed JOIN packed USING (n)')
+def gene_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks of the genes of a range."""
+    return plotdata.gene_tracks(plotdata.genes_in(_genes(spark, d), "chr2", 0, 20_000_000, check=False), gene_spacing=1_000)
+
+
 @query("ccan_window", f'WITH {_EDGES}, own AS (SELECT min(chromosome) AS chromosome, min(start) AS a, max("end") AS b FROM regions JOIN labels USING (peak) WHERE CCAN = 2) SELECT chromosome, round(a - (b - a) * 0.01, 6) AS start, round(b + (b - a) * 0.01, 6) AS "end" FROM own')
 def ccan_window(spark: SparkSession, d: str) -> DataFrame:
     regions = _f1(spark, d)[1]
@@ -573,19 +675,11 @@ def glasso_network(spark: SparkSession, d: str) -> DataFrame:
     return network.network_of(counts, regions, n, 20.0, 50_000)
 
 
-@query("average_alpha")
-def average_alpha(spark: SparkSession, d: str) -> DataFrame:
-    """The fitted penalty factor."""
-    counts, regions, n = _f1(spark, d)
-    alpha = network.average_alpha(counts, regions, n, 50_000, n_samples=8, n_samples_maxtry=20, max_alpha_iteration=30, distance_constraint=25_000)
-    return spark.createDataFrame([(alpha,)], "alpha double")
-
-
 @query("compute_network")
 def compute_network(spark: SparkSession, d: str) -> DataFrame:
     """Named links of the network with a fitted penalty, the largest scores first."""
     counts, regions, n = _f1(spark, d)
-    found = network.sliding_graphical_lasso(counts, regions, n, 50_000, distance_constraint=25_000, n_samples=4, n_samples_maxtry=10, max_alpha_iteration=15)
+    found = network.sliding_graphical_lasso(counts, regions, n, 50_000, distance_constraint=25_000)
     return links.order_links(links.extract_links(found, regions))
 
 
@@ -595,13 +689,6 @@ def louvain_ccans(spark: SparkSession, d: str) -> DataFrame:
     return graph.find_ccans(_links(spark, d)[0], coaccess_cutoff_override=_CUT)
 
 
-@query("find_cutoff")
-def find_cutoff(spark: SparkSession, d: str) -> DataFrame:
-    """The cutoff with the most modules."""
-    found = graph.checkpointed(_links(spark, d)[0])
-    return spark.createDataFrame([(graph.find_ccan_cutoff(found, tolerance_digits=1),)], "cutoff double")
-
-
 @query("lsi_embed")
 def lsi_embed(spark: SparkSession, d: str) -> DataFrame:
     """Embedding of all cells."""
@@ -609,19 +696,13 @@ def lsi_embed(spark: SparkSession, d: str) -> DataFrame:
     return metacells.lsi(counts, n, n_components=min(8, n))
 
 
-@query("compute_metacells")
-def compute_metacells(spark: SparkSession, d: str) -> DataFrame:
-    """Metacell counts of all cells."""
+@query("lsi_metacells")
+def lsi_metacells(spark: SparkSession, d: str) -> DataFrame:
+    """Metacell counts of all cells from an LSI embedding."""
     counts, regions, n = _f1(spark, d)
     return metacells.compute_metacells(counts, regions, n, k=5, embedding=metacells.lsi(counts, n, n_components=min(8, n)))
 
 
-@query("gene_tracks")
-def gene_tracks(spark: SparkSession, d: str) -> DataFrame:
-    """Tracks of the genes of a range."""
-    return plotdata.gene_tracks(plotdata.genes_in(_genes(spark, d), "chr2", 0, 20_000_000, check=False), gene_spacing=1_000)
-
-
 @query("glasso_path")
 def glasso_path(spark: SparkSession, d: str) -> DataFrame:
     """Linked pairs of all regions and the largest duality gap along a path of penalty factors; every window has a path of its own."""

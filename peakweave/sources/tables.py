@@ -89,6 +89,12 @@ def paired() -> Column:
     return F.floor(p / 10) * 8000 + F.floor(p / 5) % 2 * 1500 + 4100
 
 
+def chained() -> Column:
+    """Starts in threes 1001 apart, three a window of 12000."""
+    p = F.col("p_partkey")
+    return F.floor(p / 15) * 12000 + F.floor(p / 5) % 3 * 1001 + 7000
+
+
 def fixture(spark: SparkSession, folder: str, start: Column) -> tuple[DataFrame, DataFrame, int]:
     """(counts, regions, n_cells) of the lineitem projection with these starts."""
     regions = add_region_infos(part_names(spark, folder, start))

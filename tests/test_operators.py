@@ -211,3 +211,41 @@ def test_genes_from_a_file(spark, tmp_path):
         f.write("chromosome_name,start_position,end_position,strand,external_gene_name\n1,10,20,1,A\nX,5,9,-1,\n")
     got = tables.read_genes(spark, path, "csv", header="true", inferSchema="true").collect()
     assert {(r.chromosome, r.strand, r.genename) for r in got} == {("chr1", "+", "A"), ("chrX", "-", None)}
+
+
+def test_plots_with_other_column_names(spark):
+    import peakweave as pw
+
+    links = spark.createDataFrame([("chr1_100000_100050", "chr1_200000_200050", 0.8)], "a string, b string, w double")
+    arcs, boxes = pw.plot_connections(links, "chr1", 0, 300_000, peak1_col="a", peak2_col="b", score_col="w")
+    assert arcs.first().score == 0.8 and boxes.count() == 2
+    with pytest.raises(ValueError):
+        pw.plot_connections(links, "chr1", 0, 300_000)
+    genes = spark.createDataFrame([("chr1", 100_000, 200_000, "G", "+")], "c string, s bigint, e bigint, n string, t string")
+    names = {"chromosome_col": "c", "start_col": "s", "end_col": "e", "name_col": "n", "strand_col": "t"}
+    assert pw.plot_genes(genes, "chr1", 0, 300_000, **names).first().track == 0
+    with pytest.raises(ValueError):
+        pw.plot_genes(genes, "chr1", 0, 300_000)
+
+
+def test_ranks_and_correlations_of_sparse_counts(spark):
+    """Against the dense kernels, with negative counts, ties and regions without a count."""
+    from peakweave.kernels import rank
+    from peakweave.operators import moments
+
+    rng = np.random.default_rng(4)
+    X = rng.integers(-2, 4, (30, 6)).astype(float) * (rng.random((30, 6)) < 0.6)
+    X[:, 5] = 0
+    X[0, 5] = 1
+    rows = [(int(c), int(k), float(X[c, k])) for c, k in zip(*np.nonzero(X), strict=True)]
+    counts = spark.createDataFrame(rows, "cell bigint, idx bigint, value double")
+    pairs = spark.createDataFrame([(i, j) for i in range(6) for j in range(i + 1, 6)], "i bigint, j bigint")
+    dense = rank.compute_ranks(X)
+    for r in moments.average_ranks(counts, 30).collect():
+        assert r["rank"] == pytest.approx(dense[r.cell, r.idx]) and r.zero_rank == pytest.approx(dense[:, r.idx][X[:, r.idx] == 0][0])
+    for method in ("cov", "corrcoef", "spearman", "kendalltau"):
+        want = rank.init_coefs(X, method)[0]
+        for r in moments.pair_coefficients(pairs, counts, 30, method).collect():
+            assert r["value"] == pytest.approx(want[r.i, r.j], abs=1e-9)
+    with pytest.raises(ValueError):
+        moments.pair_coefficients(pairs, counts, 30, "other")
