@@ -7,11 +7,11 @@ shortest window are left out.  Over the rest the shard builds a suffix array, it
 wavelet tree and sampled suffix positions.  Every window is searched backward through the tree's ranks, occurrences are
 located by walking to a sampled position, compared with the documents' bytes, and their word spans are merged.
 
-The benchmark is read in blocks of items of a checked number of words, so the broadcast index input is bounded;
-documents are never shuffled when one block holds the benchmark.
+The benchmark is read in blocks of items of at most BLOCK_WORDS words, which bounds the bytes that are broadcast; each block is a pass over the
+documents, which are never shuffled.
 
 Defined cases: a null text or item has no words; word-less items have no windows; repeated item_ids count once, items without an
-id as one that is not listed; items with equal windows all count; repeated documents are judged each on their own; empty tables give no hits.
+id as one that is not listed; items with equal windows all count; columns of any name pass unchanged; repeated documents are judged each on their own; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textcore import ALNUM, LOWER, Block, Words, attach, codes_in, documents, free_name
+from .textcore import ALNUM, LOWER, Block, Words, attach, codes_in, documents, free_name, mix64
 
 WINDOW = 10
-#: Benchmark words broadcast at once.
+#: Benchmark words broadcast at once: some 250 MB (measured: see the README), whatever the items.
 BLOCK_WORDS = 4_000_000
 #: Every so many positions of the text, the suffix array's entry is kept.
 SAMPLE = 8
 SHARD_BYTES = 2 << 20
+#: Windows that are searched at once.
+SEARCHED = 1 << 18
 
 
 # ---------------------------------------------------------------------------------------------- index
@@ -101,19 +103,20 @@ class FMIndex:
         self.marked, self.kept = np.cumsum(np.r_[False, marked]), order[marked]
         self.is_marked = marked
 
-    def search(self, windows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix intervals of windows (rows, right-aligned codes; ``length`` codes each)."""
-        low, high = np.zeros(len(windows), np.int64), np.full(len(windows), self.order_n, np.int64)
-        width = windows.shape[1]
+    def search(self, codes: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of windows: ``length`` codes from ``first`` on in an array of codes; 0 is no code."""
+        low, high = np.zeros(len(first), np.int64), np.full(len(first), self.order_n, np.int64)
         live = np.flatnonzero(length > 0)
-        for step in range(width):
-            code = windows[live, width - 1 - step]
-            known = code <= self.top
+        step = 0
+        while len(live):
+            code = codes[first[live] + length[live] - 1 - step].astype(np.int64)
+            known = (code <= self.top) & (code > 0)
             code = np.where(known, code, 0)
             base = self.before[code]
             low[live] = np.where(known, base + self.tree.rank(code, low[live]), 0)
             high[live] = np.where(known, base + self.tree.rank(code, high[live]), 0)
-            live = live[(high[live] > low[live]) & (length[live] > step + 1)]
+            step += 1
+            live = live[(high[live] > low[live]) & (length[live] > step)]
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -136,13 +139,17 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """The windows of some items: vocabulary hashes (sorted; the code is the index + 1), distinct windows, their items."""
-
-    vocabulary: np.ndarray
-    windows: np.ndarray  # right-aligned codes
-    length: np.ndarray
-    texts: list[bytes]  # the windows' words, a space between
-    item_of: list[np.ndarray]  # of each window: indexes into ids
+    """The windows of some items, kept as places in the items' words, some 60 bytes a word: no window is written out."""
+
+    vocabulary: np.ndarray  # sorted hashes; a word's code is the index + 1
+    data: np.ndarray  # the items' lower-cased bytes
+    starts: np.ndarray  # of the words in data
+    ends: np.ndarray
+    codes: np.ndarray  # of the words
+    first: np.ndarray  # of each different window its first word
+    length: np.ndarray  # and its words
+    item_from: np.ndarray  # of each window where its items start in item_of
+    item_of: np.ndarray  # indexes into ids
     ids: list[str | None]
     bigrams: np.ndarray
 
@@ -150,34 +157,56 @@ class Phrases:
     def shortest(self) -> int:
         return int(self.length.min()) if len(self.length) else WINDOW
 
+    def text(self, window: int) -> bytes:
+        """A window's words, a space between."""
+        a = int(self.first[window])
+        b = a + int(self.length[window])
+        raw = self.data
+        return b" ".join(raw[x:y].tobytes() for x, y in zip(self.starts[a:b].tolist(), self.ends[a:b].tolist(), strict=True))
+
+    def items(self, window: int) -> list[int]:
+        return self.item_of[self.item_from[window] : self.item_from[window + 1]].tolist()
+
 
 def phrases(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
     """Windows and vocabulary of benchmark items (id, text)."""
-    found: dict[bytes, set[int]] = {}
-    ids: dict[str | None, int] = {}
-    for item, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        words = Words(Block(LOWER[data], np.array([0, len(data)]), 0), ALNUM)
-        raw = LOWER[data].tobytes()
-        own = [raw[a:b] for a, b in zip(words.starts, words.ends, strict=True)]
-        if not own:
-            continue
-        at = ids.setdefault(None if item is None else str(item), len(ids))
-        for i in range(max(1, len(own) - window + 1)):
-            found.setdefault(b" ".join(own[i : i + window]), set()).add(at)
-    texts = sorted(found)
-    length = np.array([x.count(b" ") + 1 for x in texts], np.int64)
-    joined = np.frombuffer(b" ".join(texts), np.uint8)
-    hashes = Words(Block(joined, np.array([0, len(joined)]), 0), ALNUM).hashes()
-    vocabulary, codes = np.unique(hashes, return_inverse=True)
-    windows = np.zeros((len(texts), window), np.int64)
-    ends = np.cumsum(length)
-    bigrams = [np.zeros(0, np.int64)]
-    for i, (end, n) in enumerate(zip(ends, length, strict=True)):
-        own = codes[end - n : end] + 1
-        windows[i, window - n :] = own
-        bigrams.append(own[:-1] * (len(vocabulary) + 1) + own[1:])
-    return Phrases(vocabulary, windows, length, texts, [np.array(sorted(found[x]), np.int64) for x in texts], list(ids), np.unique(np.concatenate(bigrams)))
+    numbers: dict[str | None, int] = {}
+    number = np.array([numbers.setdefault(None if i is None else str(i), len(numbers)) for i, _ in items], np.int64)
+    raw = [(x or "").encode() for _, x in items]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    block = Block(LOWER[np.frombuffer(b"".join(raw), np.uint8)], bounds, 0)
+    del raw
+    words = Words(block, ALNUM)
+    vocabulary, codes = np.unique(words.hashes(), return_inverse=True)
+    codes = (codes + 1).astype(np.int32)
+    size = words.counts()
+    doc = words.doc()
+    pair = np.flatnonzero(doc[:-1] == doc[1:])
+    bigrams = np.unique(codes[pair].astype(np.int64) * (len(vocabulary) + 1) + codes[pair + 1])
+    del doc, pair
+    n = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+    item = np.repeat(np.arange(len(items)), n)
+    first = words.first[item] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    length = np.minimum(size[item], window)
+    # equal windows by two hashes of their codes
+    h = [length.astype(np.uint64), length.astype(np.uint64)]
+    for k in range(window):
+        some = np.flatnonzero(length > k)
+        for i, step in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
+            h[i][some] = mix64(h[i][some] * np.uint64(step) + codes[first[some] + k].astype(np.uint64))
+    order = np.lexsort((h[1], h[0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (h[0][order][1:] != h[0][order][:-1]) | (h[1][order][1:] != h[1][order][:-1])
+    del h
+    group = np.cumsum(new) - 1
+    both = np.unique(group * max(1, len(numbers)) + number[item[order]])
+    item_from = np.searchsorted(both, np.arange(int(new.sum()) + 1) * max(1, len(numbers)))
+    kept = order[new]
+    small = lambda x: x.astype(np.int32) if len(block.data) < 1 << 31 else x
+    return Phrases(
+        vocabulary, block.data, small(words.starts), small(words.ends), codes, small(first[kept]), length[kept].astype(np.int16), small(item_from),
+        small(both % max(1, len(numbers))), list(numbers), bigrams,
+    )
 
 
 def shard_hits(block: Block, p: Phrases) -> tuple[Words, np.ndarray, list[tuple[int, int]]]:
@@ -186,7 +215,7 @@ def shard_hits(block: Block, p: Phrases) -> tuple[Words, np.ndarray, list[tuple[
     words = low.words(ALNUM)
     codes = codes_in(words.hashes(), p.vocabulary)
     hit = np.zeros(len(words), bool)
-    if not len(p.texts) or not codes.any():
+    if not len(p.first) or not codes.any():
         return words, hit, []
     doc = words.doc()
     # Runs of words whose neighbours follow each other somewhere in the benchmark.
@@ -212,24 +241,29 @@ def shard_hits(block: Block, p: Phrases) -> tuple[Words, np.ndarray, list[tuple[
     source[np.repeat(position, size) + inner] = np.repeat(begin, size) + inner
     text = np.where(source >= 0, codes[source] + 1, 1)
     index = FMIndex(text)
-    low_row, high_row = index.search(np.where(p.windows > 0, p.windows + 1, 0), p.length)
-    some = np.flatnonzero(high_row > low_row)
-    if not len(some):
-        return words, hit, []
-    count = (high_row - low_row)[some]
-    rows = np.repeat(low_row[some], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    window = np.repeat(some, count)
-    word = source[index.locate(rows)]
+    wanted = p.codes + 1
     data = low.data
     raw, pairs = data.tobytes(), set()
     marks = np.zeros(len(words) + 1, np.int64)
-    for w, i in zip(window.tolist(), word.tolist(), strict=True):
-        n = int(p.length[w])
-        if b" ".join(raw[a:b] for a, b in zip(words.starts[i : i + n], words.ends[i : i + n], strict=True)) != p.texts[w]:
+    for part in range(0, len(p.first), SEARCHED):
+        own_length = p.length[part : part + SEARCHED].astype(np.int64)
+        low_row, high_row = index.search(wanted, p.first[part : part + SEARCHED].astype(np.int64), own_length)
+        some = np.flatnonzero(high_row > low_row)
+        if not len(some):
             continue
-        marks[i] += 1
-        marks[i + n] -= 1
-        pairs.update((int(doc[i]), x) for x in p.item_of[w].tolist())
+        count = (high_row - low_row)[some]
+        rows = np.repeat(low_row[some], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        word = source[index.locate(rows)].tolist()
+        at = 0
+        for w, times in zip((some + part).tolist(), count.tolist(), strict=True):
+            n, text, of = int(p.length[w]), p.text(w), p.items(w)
+            for i in word[at : at + times]:
+                if b" ".join(raw[a:b] for a, b in zip(words.starts[i : i + n], words.ends[i : i + n], strict=True)) != text:
+                    continue
+                marks[i] += 1
+                marks[i + n] -= 1
+                pairs.update((int(doc[i]), x) for x in of)
+            at += times
     hit = np.cumsum(marks[:-1]) > 0
     return words, hit, sorted(pairs)
 
@@ -298,7 +332,8 @@ def _merged(df: DataFrame, columns: list[str], names: list[str], text: str, name
     """Several blocks' findings as one: spans united, hits counted anew over the united spans."""
     spans = F.flatten(F.array(*[F.col(x)["spans"] for x in names]))
     items = F.array_distinct(F.flatten(F.array(*[F.col(x)["items"] for x in names])))
-    wide = df.select(*[F.col(f"`{c}`") for c in columns], spans.alias("_all_spans"), items.alias("_all_items"))
+    spans_name, items_name = free_name(df, "all_spans"), free_name(df, "all_items")
+    wide = df.select(*[F.col(f"`{c}`") for c in columns], spans.alias(spans_name), items.alias(items_name))
     schema = StructType.fromDDL(f"x struct<{', '.join(f.replace(' ', ':', 1) for f in FIELDS.split(', '))}>")
     out = StructType([*df.select(*[F.col(f"`{c}`") for c in columns]).schema.fields, *schema.fields])
     out.fields[-1].name = name
@@ -306,7 +341,7 @@ def _merged(df: DataFrame, columns: list[str], names: list[str], text: str, name
 
     def run(batches):
         for batch in batches:
-            texts, spans, items = (batch.column(batch.schema.get_field_index(c)) for c in (text, "_all_spans", "_all_items"))
+            texts, spans, items = (batch.column(batch.schema.get_field_index(c)) for c in (text, spans_name, items_name))
             got = []
             for t, s, i in zip(texts.to_pylist(), spans.to_pylist(), items.to_pylist(), strict=True):
                 data = np.frombuffer((t or "").encode(), np.uint8)

@@ -95,15 +95,26 @@ def test_benchmark(spark, docs, rows, block_words, monkeypatch):
     assert {r.doc_id for r in left if r.text != dict(rows)[r.doc_id]} == {x[0] for x in got if x[5]}
 
 
+def test_columns_like_the_operators_own(spark, docs, monkeypatch):
+    """Also where the benchmark takes several blocks."""
+    items = spark.createDataFrame([(1, "the river garden water"), (2, "All readers are asked to return this page today."), (3, "river")], "item_id bigint, text string")
+    df = docs.select("doc_id", "text", "n_chars", *(docs["found"].alias(c) for c in ("leaks", "leaks_0", "leaks_1", "_all_spans", "all_spans", "all_items", "_all_items", "cut")))
+    whole, name = fmindex.find(df, items)
+    assert whole.columns[:-1] == df.columns
+    monkeypatch.setattr(fmindex.item_blocks, "__defaults__", ("item_id", "text", 2))
+    parts, own = fmindex.find(df, items)
+    assert parts.columns[:-1] == df.columns and own not in df.columns
+    row = lambda r: (r["n_words"], sorted(zip(r["spans"][0::2], r["spans"][1::2], strict=True)), r["n_hit"], sorted(r["items"]), r["cut"])
+    assert sorted((r.doc_id, row(r[name])) for r in whole.collect()) == sorted((r.doc_id, row(r[own])) for r in parts.collect())
+
+
 def test_index_search_and_locate():
     import numpy as np
 
     text = np.array([1, 2, 1, 2, 2, 1, 2, 1, 2, 2, 3, 1, 2])
     index = fmindex.FMIndex(text)
     for pattern in ([1, 2], [2], [1, 2, 2], [3, 1], [2, 1, 2, 2], [4], [3, 3]):
-        rows = np.zeros((1, 4), int)
-        rows[0, 4 - len(pattern) :] = pattern
-        low, high = index.search(rows, np.array([len(pattern)]))
+        low, high = index.search(np.array([9, *pattern, 9]), np.array([1]), np.array([len(pattern)]))
         want = [i for i in range(len(text)) if text[i : i + len(pattern)].tolist() == pattern]
         assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
 
