@@ -162,28 +162,51 @@ def test_links_of_random_fingerprints(spark):
 
 
 def test_kneser_ney_is_a_distribution(spark):
+    """Probabilities of all symbols after seen and unseen contexts sum to one."""
     import numpy as np
 
     texts = spark.createDataFrame([("the cat sat on the mat. the cat ran.\nthe hat is on the cat",)] * 3 + [("another text entirely, with other words",)], "text string")
-    table = np.exp2(-kneser_ney.log_table(kneser_ney.train(texts)).astype(float))
-    sums = table.reshape(-1, kneser_ney.SYMBOLS).sum(1)
-    assert np.allclose(sums, 1, atol=1e-4)
+    model = kneser_ney.Local(kneser_ney.train(texts))
+    for context in (b"the ", b" cat", b"qqqq", b"xthe", b"\n\n\n\n"):
+        code = int.from_bytes(context, "big") << 8
+        p = model.probability(code + np.arange(256))
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
 def test_kneser_ney_counts_against_brute_force(spark, docs, rows):
     from collections import Counter
 
-    import numpy as np
-
     raw = Counter()
     for _, x in rows:
-        b = [kneser_ney._START] * 3 + kneser_ney._CLASS[np.frombuffer((x or "").encode(), np.uint8)].tolist()
-        raw.update(tuple(b[i : i + 4]) for i in range(len(b) - 3))
-    code = lambda g: sum(v << (6 * (len(g) - 1 - k)) for k, v in enumerate(g))
+        b = b"\n" * 4 + (x or "").encode()
+        raw.update(b[i : i + 5] for i in range(len(b) - 4))
+    code = lambda g: int.from_bytes(g, "big")
     tables = kneser_ney.count_tables(docs.select("text"))
-    assert {r.gram: r.n for r in tables[4].collect()} == {code(g): n for g, n in raw.items()}
+    assert {r.gram: r.n for r in tables[5].collect()} == {code(g): n for g, n in raw.items()}
     below = Counter(g[1:] for g in raw)
-    assert {r.gram: r.n for r in tables[3].collect()} == {code(g): n for g, n in below.items()}
+    assert {r.gram: r.n for r in tables[4].collect()} == {code(g): n for g, n in below.items()}
+
+
+def test_perplexity_against_brute_force_on_both_routes(spark, docs, rows):
+    """Bits of every text, also very long, repeated, null and empty ones, from the formulas."""
+    trained = [x for _, x in rows[:30]]
+    want = brute.kneser_ney(trained, [x for _, x in rows], kneser_ney.ORDER)
+    model = kneser_ney.train(spark.createDataFrame([(x,) for x in trained], "text string"))
+    found, name = kneser_ney.score(docs.select("doc_id", "text"), model)
+    got = {r.doc_id: r[name].bits for r in found.collect()}
+    assert all((got[i] is None) == (w is None) and (w is None or abs(got[i] - w) < 1e-9) for (i, _), w in zip(rows, want, strict=True))
+    joined = {r.t: r for r in kneser_ney.score_by_joins(docs, model).collect()}
+    hashes = {r.doc_id: r.t for r in docs.select("doc_id", F.xxhash64("text").alias("t")).collect()}
+    assert all(w is None or abs(joined[hashes[i]].bits - w) < 1e-9 for (i, _), w in zip(rows, want, strict=True))
+    assert all(not x or joined[hashes[i]].n_bytes == len(x.encode()) for i, x in rows)
+
+
+def test_routes_agree(docs, spark, rows, monkeypatch):
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows[:50]], "doc_id bigint, quality int, toxic int")
+    twice = docs.unionByName(docs)
+    one = sorted(((r.id, r.kept, round(r.perplexity or 0, 6)) for r in kneser_ney.classify(twice, labels).collect()))
+    monkeypatch.setattr(kneser_ney, "MODEL_ROWS", 0)
+    assert sorted(((r.id, r.kept, round(r.perplexity or 0, 6)) for r in kneser_ney.classify(twice, labels).collect())) == one and len(one) == 2 * len(rows)
 
 
 def test_classifier_verdicts(spark, docs, rows, empty):
