@@ -39,7 +39,7 @@ MODEL_ROWS = 4_000_000
 HOLD = 4
 #: Threshold: this quantile of the held-out trusted texts' perplexity, times the margin.
 QUANTILE = 0.99
-MARGIN = 1.15
+MARGIN = 1.05
 #: Perplexities are compared in steps of 1 / STEPS bit a byte.
 STEPS = 1000
 _START = 0x0A  # before a text stand line breaks
