@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textcore import U64, Block, attach, documents, mix64
@@ -132,13 +132,13 @@ def train(df: DataFrame, id_column: str = "doc_id", text: str = "text", lang: st
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.l, min(1.0, SPARE * TRAIN_ROWS / r.n))])[F.col("l")]
-    near = rows.where(F.pmod(order, F.lit(SLOTS)) < share * SLOTS).select("l", order.alias("o")).collect()
-    own: dict[str, set[int]] = {}
-    for r in near:
-        own.setdefault(r.l, set()).add(r.o)
-    wanted = sorted(o for x in own.values() for o in sorted(x, key=lambda o: (o % SLOTS, o))[:TRAIN_ROWS])
-    found, name = attach(rows.where(order.isin(wanted)), "bits binary", _packed)
-    got = sorted({(r.l, r.o, bytes(r.b)) for r in found.select("l", order.alias("o"), F.col(name)["bits"].alias("b")).collect()})
+    near = rows.where(F.pmod(order, F.lit(SLOTS)) < share * SLOTS)
+    # Ids once each, however many rows have them; then the TRAIN_ROWS least of each language, joined back by hash and language.
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("o", F.lit(SLOTS)), "o"))
+    wanted = near.select("l", order.alias("o")).distinct().withColumn("place", place).where(F.col("place") <= TRAIN_ROWS).select(F.col("l").alias("wl"), F.col("o").alias("wo"))
+    chosen = near.join(F.broadcast(wanted), (F.col("l") == F.col("wl")) & (order == F.col("wo")), "left_semi")  # TRAIN_ROWS rows a language
+    found, name = attach(chosen, "bits binary", _packed)
+    got = sorted((r.l, r.o, bytes(r.b)) for r in found.select("l", order.alias("o"), F.col(name)["bits"].alias("b")).distinct().collect())
     bits = np.unpackbits(np.frombuffer(b"".join(r[2] for r in got), np.uint8)).reshape(len(got), -1)
     return fit(bits, [r[0] for r in got])
 

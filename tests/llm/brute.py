@@ -215,3 +215,20 @@ def kneser_ney(trained, texts, order):
         n = len(b) - order + 1
         out.append(-sum(math.log2(p(b[i : i + order])) for i in range(n)) / n if n else None)
     return out
+
+
+def licence_labels(text, templates):
+    """Labels whose mandatory phrases stand in order, each within its gap, by trying all places; phrases that are left out widen the gap."""
+    w = ALNUM.findall(lower(text))
+    places = {p: [k for k in range(len(w)) if w[k : k + len(p.split())] == p.split()] for parts in templates.values() for p, _, _ in parts}
+
+    def rest(parts, end, room):
+        """Whether the phrases follow, the first at most so many words after the end."""
+        if not parts:
+            return True
+        (p, gap, mandatory), n = parts[0], len(parts[0][0].split())
+        if any(end <= k <= end + room + gap and rest(parts[1:], k + n, 0) for k in places[p]):
+            return True
+        return not mandatory and rest(parts[1:], end, room + gap + n)
+
+    return {label for label, parts in templates.items() if any(rest(parts[1:], k + len(parts[0][0].split()), 0) for k in places[parts[0][0]])}

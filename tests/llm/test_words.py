@@ -80,6 +80,34 @@ def test_licences(spark, docs, rows):
     assert "apache-2.0" in got[501].labels and got[502].labels == ""
 
 
+def test_licence_templates_against_brute_force(spark):
+    """Whole licence texts, with words between their clauses, clauses missing, in another order or too far apart."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["", None]
+    for label, parts in licenses.TEMPLATES.items():
+        for kind in ("whole", "mandatory", "less", "mixed", "far", "twice"):
+            own = [(p, g) for p, g, m in parts if kind != "mandatory" or m]
+            if kind == "less":
+                own = own[:-1] if parts[-1][2] else own[1:]
+            if kind == "mixed":
+                own = own[::-1]
+            words = []
+            for k, (p, g) in enumerate(own * (2 if kind == "twice" else 1)):
+                words += ["filler"] * (0 if not k else rng.randint(0, g) if kind != "far" else g + 400) + p.upper().split()
+            texts.append(f"{label} , ".replace("-", "x") + " ".join(words) + ". End")
+    phrases = [p for parts in licenses.TEMPLATES.values() for p, _, _ in parts if parts[0][0].startswith(("redist", "you can", "permission"))]
+    for _ in range(60):  # the same phrases at random places, often more than once
+        texts.append(" ".join(rng.choice([*phrases, "filler " * rng.randint(1, 60)]) for _ in range(40)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found, name = licenses.scan(df)
+    for r in found.collect():
+        base = set(filter(None, r[name].base_labels.split(",")))
+        assert set(filter(None, r[name].labels.split(","))) == base | brute.licence_labels(texts[r.doc_id], licenses.TEMPLATES), texts[r.doc_id]
+        assert 0 <= r[name].score <= 1 and (r[name].score > 0) == bool(r[name].places)
+
+
 @pytest.mark.parametrize("block_words", [4_000_000, 40])
 def test_benchmark(spark, docs, rows, block_words, monkeypatch):
     items = [(1, " ".join(rows[2][1].split()[5:40])), (2, "two words"), (3, None), (4, "!!"), (2, "two words"), (5, "日本語 —"), (6, rows[5][1][:200]), (7, "ab ab ab ab ab ab ab ab ab ab ab ab")]
