@@ -54,13 +54,13 @@ PATTERNS = (f"{SPACE}*(?:[{_LETTERS}]+|[^{_LETTERS}{SPACE}]+)|{SPACE}+", f"{SPAC
 class Model:
     """A piece table: pieces with ids and scores, byte pieces, and the unit pattern."""
 
-    def __init__(self, path: str = MODEL) -> None:
+    def __init__(self, source: bytes | str = MODEL) -> None:
+        """From a model file's bytes, or its path."""
         import sentencepiece
 
-        s = sentencepiece.SentencePieceProcessor(model_file=path)
+        s = sentencepiece.SentencePieceProcessor(model_proto=source if isinstance(source, bytes) else read_model(source))
         n = s.get_piece_size()
         special = [s.is_byte(i) or s.is_control(i) or s.is_unknown(i) or s.is_unused(i) for i in range(n)]
-        self.path = path
         self.unigram = not self._merges(s)
         self.ids = {s.id_to_piece(i): i for i in range(n) if not special[i]}
         self.score = {p: s.get_score(i) for p, i in self.ids.items()}
@@ -269,8 +269,18 @@ class Model:
 
 
 @lru_cache(4)
-def model_at(path: str) -> Model:
-    return Model(path)
+def model_of(proto: bytes) -> Model:
+    return Model(proto)
+
+
+def read_model(path: str = MODEL) -> bytes:
+    """A model's file, read in the driver; tasks are sent its bytes (under a megabyte) and need no file."""
+    with open(path, "rb") as file:
+        return file.read()
+
+
+def model_at(path: str = MODEL) -> Model:
+    return model_of(read_model(path))
 
 
 # ------------------------------------------------------------------------------------------- lattice
@@ -342,9 +352,10 @@ def encode(df: DataFrame, text: str = "text", path: str = MODEL, check: bool = F
     at = df.columns.index(text)
     ids_type = ArrayType(IntegerType())
     kind = StructType([StructField("ids", ids_type), StructField("same", BooleanType())]) if check else ids_type
+    shared = df.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_at(path)
+        model = model_of(shared.value)
         known: dict[str, bytes] = {}
         for batch in batches:
             first = 0
@@ -386,9 +397,10 @@ def decode(df: DataFrame, ids: str, path: str = MODEL) -> tuple[DataFrame, str]:
     """Every row with a string column: the text of its piece ids."""
     name = free_name(df, "decoded")
     at = df.columns.index(ids)
+    shared = df.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_at(path)
+        model = model_of(shared.value)
         for batch in batches:
             ends = np.cumsum(np.nan_to_num(np.array(batch.column(at).value_lengths().to_numpy(zero_copy_only=False), float)))
             first = 0

@@ -7,6 +7,10 @@ linked fingerprints meet under an equal key.  Equal fingerprints are merged firs
 members of a key are compared exactly and replaced by the edges of a spanning forest, at most one a member.
 Components follow from alternating star steps over those edges.
 
+64 rows of 16 bytes are shuffled for each different fingerprint, whatever the texts' length.  A key has 31 bits, so of n different
+fingerprints about n / 2**31 share one; a task holds one key's members at a time, 8 bytes each.  A key of more than LARGE members is divided by a second
+wildcard: in the other segment at most three bits differ, so of its four bytes one is equal, and only members with an equal byte are compared.
+
 Defined cases: null, empty and word-less texts have fingerprint zero and link like any other; texts of one or two
 words are one shingle; repeated rows share their fingerprint and component; null doc_ids are kept and
 are never a component's smallest id unless all its ids are null; an empty table gives an empty result.
@@ -30,6 +34,8 @@ SEED = 42
 MAX_BITS = 3
 #: Shingle hashes whose bits are counted at once.
 STEP = 1 << 15
+#: Members of a key that are compared with each other.
+LARGE = 4096
 
 
 def fingerprint(text: bytes) -> int:
@@ -89,9 +95,27 @@ def _forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _pairs_of_key(prints: np.ndarray) -> np.ndarray:
+    """Edges, as pairs of indexes, whose components are those of all links among a key's members."""
+    if len(prints) <= LARGE:
+        return np.array(_forest(prints), np.int64).reshape(-1, 2)
+    found = [np.zeros((0, 2), np.int64)]
+    for byte in range(8):  # both segments' bytes: which of the two the key has is the same for all members and does not matter
+        own = (prints >> np.uint64(8 * byte)) & np.uint64(0xFF)
+        if (own == own[0]).all():
+            continue  # the key's own segment tells nothing
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]]))
+        for i, n in zip(first.tolist(), np.diff(np.append(first, len(own))).tolist(), strict=True):
+            if n > 1:
+                members = order[i : i + n]
+                found.append(members[np.array(_forest(prints[members]), np.int64).reshape(-1, 2)])
+    return np.concatenate(found)
+
+
 def _edges_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key: the forest's edges of each key with two members or more."""
-    keys, prints = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key may go on
 
     def out(keys: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
@@ -101,18 +125,22 @@ def _edges_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         a, b = [prints[two[near]]], [prints[two[near] + 1]]
         for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = prints[i : i + n]
-            pairs = np.array(_forest(own), np.int64).reshape(-1, 2)
+            pairs = _pairs_of_key(own)
             a.append(own[pairs[:, 0]])
             b.append(own[pairs[:, 1]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        prints = np.concatenate([prints, batch.column(1).to_numpy().view(np.uint64)])
-        whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last key may go on
-        yield out(keys[:whole], prints[:whole])
-        keys, prints = keys[whole:], prints[whole:]
-    yield out(keys, prints)
+        keys, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(keys):
+            continue
+        last = int(np.searchsorted(keys, keys[-1]))  # where the batch's last key starts
+        if last or (held and held[-1][0][-1] != keys[0]):
+            yield out(*(np.concatenate(x) for x in zip(*held, (keys[:last], prints[:last]), strict=True)))
+            held = []
+        held.append((keys[last:].copy(), prints[last:].copy()))
+    if held:
+        yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def link_edges(prints: DataFrame) -> DataFrame:

@@ -46,8 +46,17 @@ def test_op4(spark):
 
 
 def test_op5(spark, table):
+    import sentencepiece
+    from pyspark.sql import functions as F
+
+    from peakweave.llm import pieces
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    own = spark.createDataFrame([(i, None if x is None else library.encode(x)) for i, x in table], "doc_id bigint, ids array<int>")
+    want = {r.doc_id: (r.n, r.h) for r in own.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).alias("n"), F.xxhash64("ids").alias("h")).collect()}
     rows = _run(spark, "op5_sentencepiece")
-    assert len(rows) == len(table) and all(r.round_trip for r in rows)
+    assert {r.doc_id: (r.n_pieces, r.ids_xxhash64) for r in rows} == want and len(rows) == len(table)
+    assert all(r.round_trip for r, (_, x) in zip(sorted(rows, key=lambda r: r.doc_id), sorted(table), strict=True) if x is not None)
 
 
 def test_op6(spark, table):

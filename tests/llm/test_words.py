@@ -168,9 +168,12 @@ def test_keep_one_of_repeated_ids(spark):
     assert sorted(t for _, t in left) == sorted(want)
 
 
-def test_links_of_random_fingerprints(spark):
+@pytest.mark.parametrize("large", [4096, 3])
+def test_links_of_random_fingerprints(spark, large, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(simhash, "LARGE", large)
+
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 20, dtype=np.uint64)
     prints = np.unique(np.concatenate([base, *[base ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(64, k, replace=False)) for k in (1, 2, 3, 4, 3)]]))
@@ -189,6 +192,33 @@ def test_links_of_random_fingerprints(spark):
         assert roots.get(x, x) == min(prints.view(np.int64)[sorted(seen)].tolist())
 
 
+def test_large_keys_are_divided(monkeypatch):
+    """Thousands of fingerprints under one key: the components are those of all links."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    low = rng.integers(0, 2**32, 1500, dtype=np.uint64)
+    low = np.unique(np.concatenate([low, *[low[:400] ^ sum(np.uint64(1) << np.uint64(b) for b in rng.choice(32, k, replace=False)) for k in (1, 2, 3, 4)]]))
+    prints = low | np.uint64(0x1234567800000000)
+
+    def groups(pairs):
+        root = list(range(len(prints)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in pairs:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+        return [find(i) for i in range(len(prints))]
+
+    every = groups(np.argwhere(np.bitwise_count(prints[:, None] ^ prints) <= 3).tolist())
+    for large in (10, 10_000):
+        monkeypatch.setattr(simhash, "LARGE", large)
+        assert groups(simhash._pairs_of_key(prints).tolist()) == every
+
+
 def test_kneser_ney_is_a_distribution(spark):
     """Probabilities of all symbols after seen and unseen contexts sum to one."""
     import numpy as np
