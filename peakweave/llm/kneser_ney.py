@@ -82,8 +82,9 @@ def count_tables(texts: DataFrame) -> dict[int, DataFrame]:
     """Counts by order: raw for the highest, numbers of different left neighbours below it.  Rows (gram, n)."""
     top = texts.mapInArrow(trimmed(_count), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     out = {ORDER: cut(top)}
+    rows = out[ORDER].count()  # a lower order has no more
     for k in range(ORDER - 1, 0, -1):
-        out[k] = cut(out[k + 1].groupBy(_suffix("gram", k).alias("gram")).agg(F.count("*").alias("n")))
+        out[k] = cut(out[k + 1].groupBy(_suffix("gram", k).alias("gram")).agg(F.count("*").alias("n")), rows)
     return out
 
 
@@ -119,6 +120,7 @@ def train(texts: DataFrame) -> DataFrame:
     weight of the next lower order.
     """
     tables = count_tables(texts)
+    rows = tables[ORDER].count()
     model = lower = None
     for k in range(1, ORDER + 1):
         alpha, gamma = weights(tables[k])
@@ -127,10 +129,10 @@ def train(texts: DataFrame) -> DataFrame:
         else:
             alpha = alpha.withColumn("suffix", _suffix("gram", k - 1))
             p = alpha.join(lower.withColumnsRenamed({"gram": "suffix", "p": "below"}), "suffix").select("gram", (F.col("alpha") + F.col("gamma") * F.col("below")).alias("p"))
-        lower = cut(p)
+        lower = cut(p, rows)
         both = lower.select(F.lit(k).alias("kind"), "gram", F.col("p").alias("value")).unionByName(gamma.select(F.lit(-k).alias("kind"), F.col("context").alias("gram"), F.col("gamma").alias("value")))
         model = both if model is None else model.unionByName(both)
-    return cut(model)
+    return cut(model, 2 * ORDER * rows)
 
 
 class Local:
@@ -253,7 +255,7 @@ def classify(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
         size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")
         scored = cut(rows.select("_id", "lang", size, F.xxhash64("text").alias("t")).join(by_text.select("t", "bits"), "t", "left").select("_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.col("bits")).alias("bits")))
     flagged = scored.join(trusted.where(holds).withColumn("trusted", F.lit(True)), "_id", "left")
-    limit = cut(thresholds(flagged.withColumn("trusted", F.coalesce("trusted", F.lit(False)))))
+    limit = cut(thresholds(flagged.withColumn("trusted", F.coalesce("trusted", F.lit(False)))), 1)  # a row a language
     other = F.lit(limit.agg(F.max("most")).first()[0]).cast("double")
     judged = scored.join(limit, scored["lang"].eqNullSafe(limit["lang"]), "left").drop(limit["lang"])
     most = F.coalesce("most", other)

@@ -158,8 +158,8 @@ def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From rows with ``text``: the rows' other columns with ``fp``, and (fp, root) of every distinct fingerprint."""
     found, name = fingerprints(rows)
     prints = cut(found.select(*[F.col(c) for c in rows.columns if c != "text"], F.col(name)["fp"].alias("fp")))
-    distinct = cut(prints.select("fp").distinct())
-    roots = components(link_edges(distinct)).withColumnRenamed("id", "fp")
+    distinct = cut(prints.select("fp").distinct(), prints.count())
+    roots = components(link_edges(distinct), nodes=distinct.count()).withColumnRenamed("id", "fp")
     return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 

@@ -251,21 +251,32 @@ def delete_at_exit(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage by a reliable checkpoint in the shared folder."""
+#: Rows in a partition of a written table whose rows are known to be few and small.
+PART_ROWS = 1 << 19
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Compute once and cut the lineage by a reliable checkpoint in the shared folder.
+
+    Of a table with about so many small ``rows`` no more files are written than they need, as each costs its executor several
+    processes and the file system an entry.
+    """
     scratch(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PART_ROWS)))
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (id, root) with root the smallest id reachable.
 
     Alternating large-star and small-star steps; both are grouped minima and joins, so that a hub's rows are
     pre-aggregated.  Every step is checkpointed; the loop ends when a step changes nothing.
-    Ids must be orderable.  Nodes without edges are not returned.
+    Ids must be orderable.  Nodes without edges are not returned.  ``nodes``, if known, tells how finely to write tables.  ``rounds``
+    only ends a loop that would not end by itself: it raises and drops nothing.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = cut(pairs)
+    pairs = cut(pairs, nodes)
     before = None
     for _ in range(rounds):
         # large star: every neighbour above a node links to the smallest node around it
@@ -277,7 +288,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-        pairs = cut(small.where("a <> b").distinct())
+        pairs = cut(small.where("a <> b").distinct(), before[0] if before else nodes)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if now == before:
             break
