@@ -252,7 +252,7 @@ def delete_at_exit(spark: SparkSession, folder: str) -> None:
 
 
 #: Rows in a partition of a written table whose rows are known to be few and small.
-PART_ROWS = 1 << 19
+PART_ROWS = 1 << 16
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
