@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .substrings import keyed
+from .substrings import ids_repeat, keyed
 from .textcore import GRAPH, POWERS, U64, Block, Words, blocks, cut, documents, free_name, mix64, trimmed
 
 MIN_WORDS = 5
@@ -241,9 +241,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
     """Every row with a struct column: the text that is left, n_lines (worded), n_removed, and n_moved of these."""
-    rows = keyed(df, id_column, text)
-    spans = common_lines(rows)
-    keys = keyed(df, id_column, text, whole=True)
+    repeat = ids_repeat(df, id_column)
+    spans = common_lines(keyed(df, id_column, text, repeat))
+    keys = keyed(df, id_column, text, repeat, whole=True)
     joined = keys.join(spans, ["d", "t"], "left").select("row", F.col("row")[text].alias("_text"), F.col("lines").alias("_lines"), F.coalesce("moved", F.lit(0)).cast("bigint").alias("_moved"))
     name = free_name(df, "line_found")
     inner = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).schema["row"].dataType.simpleString()

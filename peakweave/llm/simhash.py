@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .substrings import keyed
+from .substrings import ids_repeat, keyed
 from .textcore import Block, attach, components, cut, documents, trimmed
 
 WORDS_A_SHINGLE = 3
@@ -145,8 +145,8 @@ def _edges_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def link_edges(prints: DataFrame) -> DataFrame:
     """Edges (a, b) among distinct fingerprints ``fp`` whose components are those of all links."""
-    keyed = variants(prints).repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(trimmed(_edges_of_keys), "a bigint, b bigint").distinct()
+    dealt = variants(prints).repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(trimmed(_edges_of_keys), "a bigint, b bigint").distinct()
 
 
 def fingerprints(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
@@ -177,10 +177,11 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     Rows without an id come after all others; of different texts under one id the one with the smaller hash is the
     component's first; of rows with the same id and text one stays.
     """
-    prints, roots = _placed(keyed(df, id_column, text))
+    repeat = ids_repeat(df, id_column)
+    prints, roots = _placed(keyed(df, id_column, text, repeat))
     first = F.min(F.struct((F.col("d") == F.lit(-(1 << 63))).alias("none"), "d", "t")).alias("first")
     keep = prints.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.t")
-    return keyed(df, id_column, text, whole=True).join(keep, ["d", "t"]).dropDuplicates(["d", "t"]).select("row.*")
+    return keyed(df, id_column, text, repeat, whole=True).join(keep, ["d", "t"]).dropDuplicates(["d", "t"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

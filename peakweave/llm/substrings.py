@@ -110,8 +110,32 @@ def _first_seen(h: np.ndarray, c: np.ndarray, order: np.ndarray) -> tuple[np.nda
     return first, own
 
 
+class _Seen:
+    """Of the frequent anchors' strings the earliest place that a task has sent on."""
+
+    def __init__(self) -> None:
+        self.rows = np.zeros(0, [("h", "u8"), ("d", "i8"), ("t", "i8"), ("lo", "i8")])
+
+    def later(self, rows: np.ndarray) -> np.ndarray:
+        """Which of a block's different strings stand after a place that was sent on; the others are kept in mind."""
+        at = np.searchsorted(self.rows["h"], rows["h"])
+        at[at == len(self.rows)] = 0
+        out = np.zeros(len(rows), bool)
+        if len(self.rows):
+            old = self.rows[at]
+            same = old["h"] == rows["h"]
+            after = (rows["d"] > old["d"]) | ((rows["d"] == old["d"]) & ((rows["t"] > old["t"]) | ((rows["t"] == old["t"]) & (rows["lo"] > old["lo"]))))
+            out = same & after
+            self.rows[at[same & ~after]] = rows[same & ~after]
+            rows = rows[~same]
+        both = np.concatenate([self.rows, rows])
+        self.rows = both[np.argsort(both["h"], kind="stable")]
+        return out
+
+
 def _map_anchors(hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for batch in batches:
             ids, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for block in blocks(batch.column(2), BLOCK):
@@ -137,7 +161,12 @@ def _map_anchors(hot: np.ndarray):
                 first, own = _first_seen(h, c, rank[doc] * (1 << 40) + lo - base)
                 if not own.all():  # a string within reach of several frequent anchors
                     doc, lo, hi, base, h, c, first = (x[own] for x in (doc, lo, hi, base, h, c, first))
-                # later copies within the block need no company: they are dealt out anyhow
+                whole = np.flatnonzero(first & (c == 0))  # strings of frequent anchors: once a task, not once a block
+                if len(whole):
+                    rows = np.zeros(len(whole), seen.rows.dtype)
+                    rows["h"], rows["d"], rows["t"], rows["lo"] = h[whole], d[doc[whole]], t[doc[whole]], (lo - base)[whole]
+                    first[whole[seen.later(rows)]] = False
+                # later copies within the block or task need no company: they are dealt out anyhow
                 key = np.where(first, h, mix64(h + lo.astype(U64)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[doc]), pa.array(t[doc]), pa.array((lo - base).astype(np.int32)), pa.array((hi - lo).astype(np.int16)), pa.array(~first)],
@@ -483,13 +512,17 @@ def find_spans(rows: DataFrame) -> DataFrame:
     return every.mapInArrow(_by_document(_Merge(), ["d", "t", "spans"]), "d bigint, t bigint, spans array<int>")
 
 
-def keyed(df: DataFrame, id_column: str, text: str, whole: bool = False) -> DataFrame:
+def ids_repeat(df: DataFrame, id_column: str) -> bool:
+    """Whether an id stands in several rows; only the id column is read."""
+    return bool(df.groupBy(F.col(f"`{id_column}`")).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect())
+
+
+def keyed(df: DataFrame, id_column: str, text: str, repeat: bool, whole: bool = False) -> DataFrame:
     """Add ``d`` and ``t``, which tell documents apart: the id, and a hash of the text where ids repeat.
 
     With them come the text, or the whole row as the struct ``row``.
     """
-    ids = df.groupBy(id_column).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    tie = F.xxhash64(F.col(f"`{text}`")) if ids else F.lit(0).cast("bigint")
+    tie = F.xxhash64(F.col(f"`{text}`")) if repeat else F.lit(0).cast("bigint")
     d = F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(-(1 << 63)))
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row") if whole else F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     return df.select(d.alias("d"), tie.alias("t"), rest)
@@ -520,9 +553,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
     """Every row with an array column of the byte spans that repeat earlier bytes (null if none)."""
-    spans = find_spans(keyed(df, id_column, text)).withColumnRenamed("spans", "_spans")
+    repeat = ids_repeat(df, id_column)
+    spans = find_spans(keyed(df, id_column, text, repeat)).withColumnRenamed("spans", "_spans")
     name = free_name(df, "repeat_spans")
-    out = keyed(df, id_column, text, whole=True).join(spans, ["d", "t"], "left")
+    out = keyed(df, id_column, text, repeat, whole=True).join(spans, ["d", "t"], "left")
     return out.select("row.*", F.col("_spans").alias(name)), name
 
 
