@@ -423,11 +423,12 @@ def _repeated(slot: list) -> bool:
     return seen >= CONSTANT_FROM and different * SAME <= seen
 
 
-def labels(wrapper: list[list]) -> list[list[bool | None]]:
-    """Of each slot whether it is main text; None where no page has a character in it."""
+def labels(wrapper: list[list]) -> tuple[list[list[bool | None]], bool]:
+    """Of each slot whether it is main text, None where no page has a character in it; and whether that goes against tags and names."""
     every = [s for x in wrapper for s in x[3]]
     main = [s for s in every if s[2] > s[3] + s[4] and not _repeated(s)]
     pages = max((x[4] for x in wrapper), default=0)
+    against = not main and pages >= CONSTANT_FROM and any(not _repeated(t) for t in every)
 
     def label(s: list) -> bool | None:
         _, _, good, by_name, by_tag, inside, linked = s
@@ -436,23 +437,23 @@ def labels(wrapper: list[list]) -> list[list[bool | None]]:
             return None
         if main:  # few texts for many pages are the template's, unless an article has them
             return good >= by_name + by_tag and not (_repeated(s) and not inside)
-        if pages >= CONSTANT_FROM and any(not _repeated(t) for t in every):  # names and tags leave nothing: what varies is the text
+        if against:  # names and tags leave nothing: what varies is the text
             return by_tag * 2 < size and linked * 2 < size and not _repeated(s)
         return good >= by_name + by_tag
 
-    return [[label(s) for s in x[3]] for x in wrapper]
+    return [[label(s) for s in x[3]] for x in wrapper], against
 
 
 def guide(wrapper: str) -> str:
-    """What extraction needs of a wrapper, as packed JSON: keys, units and each slot's label."""
+    """What extraction needs of a wrapper, as packed JSON: keys, units, each slot's label, and whether labels go against tags and names."""
     w = json.loads(wrapper)
-    return b64encode(compress(json.dumps([[x[0] for x in w], [x[1] for x in w if x[1]], labels(w)], separators=(",", ":")).encode())).decode()
+    return b64encode(compress(json.dumps([[x[0] for x in w], [x[1] for x in w if x[1]], *labels(w)], separators=(",", ":")).encode())).decode()
 
 
 @lru_cache(256)
-def _parsed(guided: str) -> tuple[list[str], list[tuple[int, set[tuple[str, ...]]]], list[list[bool | None]]]:
-    keys, units, own = json.loads(decompress(b64decode(guided)))
-    return keys, _by_size(units), own
+def _parsed(guided: str) -> tuple[list[str], list[tuple[int, set[tuple[str, ...]]]], list[list[bool | None]], bool]:
+    keys, units, own, against = json.loads(decompress(b64decode(guided)))
+    return keys, _by_size(units), own, against
 
 
 @lru_cache(512)
@@ -476,15 +477,15 @@ def extract(html: str, guided: str | None) -> str:
         keep = [True] * len(texts)
     else:
         keep = [t.main for t in texts]
-        _, units, own = _parsed(guided)
+        _, units, own, against = _parsed(guided)
         items = group(stream)
         for n, some in units:
             items = _apply(items, n, some)
         for a, b in _matches(guided, tuple(x.key for x in items)):
             for numbers, label in zip(items[b].slots, own[a], strict=True):
                 if label is not None:
-                    for k in numbers:
-                        keep[k] = label and not texts[k].hard
+                    for k in numbers:  # in a slot of main text a page may still have an advert of its own
+                        keep[k] = label and (texts[k].main or (against and not texts[k].hard))
     out: list[list[str]] = []
     last = None
     for t, good in zip(texts, keep, strict=True):

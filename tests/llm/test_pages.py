@@ -164,3 +164,12 @@ def test_large_hosts_are_salted(spark, monkeypatch):
         df = spark.createDataFrame([(i, f"http://d.example/{i}", _plain(i)) for i in range(20)], "page_id bigint, url string, html string").repartition(7)
         found, name = wrappers.main_text(df)
         assert {r.page_id: r[name] for r in found.collect()} == {i: _story(i) for i in range(20)}
+
+
+def test_advert_inside_one_page_of_a_host():
+    """A block that says what it is goes, also where its paragraph meets the host's slot of main text."""
+    pages = [page("".join(f"<p>Story {i} paragraph {k}.</p>" for k in range(2 + i % 3))) for i in range(12)]
+    odd = page("<p>Story 99 paragraph 0.</p><div class=advert><p>Buy this now.</p></div><p>Story 99 paragraph 1.</p><p>Story 99 paragraph 2.</p>")
+    guided = wrappers.guide(wrappers.fold([wrappers.page_wrapper(p) for p in [*pages, odd]]))
+    assert wrappers.extract(odd, guided) == "Story 99 paragraph 0.\nStory 99 paragraph 1.\nStory 99 paragraph 2."
+    assert wrappers.extract(pages[1], guided) == "Story 1 paragraph 0.\nStory 1 paragraph 1.\nStory 1 paragraph 2."
