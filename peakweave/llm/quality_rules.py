@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .textcore import GRAPH, Block, Words, attach, cut, documents, mix64, per_doc_sum
+from .textcore import GRAPH, Block, Words, attach, cut, documents, free_name, mix64, per_doc_sum
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -146,18 +146,28 @@ def starts(n_rules: int) -> np.ndarray:
     return np.array([np.full(n_rules, good), *(np.where(own == k, right, other) for k in dict.fromkeys(KINDS.values()))])
 
 
+def _votes(patterns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each pattern's rules vote bad, and where good: a row a pattern."""
+    votes = np.array([[int(x) for x in p] for p in patterns])
+    return (votes == 0).astype(float), (votes == 2).astype(float)
+
+
+def _classes(bad: np.ndarray, good: np.ndarray, shares: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """The probability of each class given the votes: a row a class, a column a pattern."""
+    logs = np.log(shares)[:, None] + np.log(chance) @ bad.T + np.log(1 - chance) @ good.T
+    weight = np.exp(logs - logs.max(0))
+    return weight / weight.sum(0)
+
+
 def fit(patterns: list[tuple[str, int]], n_rules: int, rounds: int = 1000) -> dict:
     """Shares of the classes and each rule's chance of a bad vote in each, from counts of vote patterns (0 bad, 1 abstains, 2 good)."""
     start = starts(n_rules)
     chance, shares = start, np.array([0.5] + [0.5 / (len(start) - 1)] * (len(start) - 1))
     if patterns:
-        votes = np.array([[int(x) for x in p] for p, _ in patterns])
+        bad, good = _votes([p for p, _ in patterns])
         count = np.array([c for _, c in patterns], float)
-        bad, good = (votes == 0).astype(float), (votes == 2).astype(float)
         for _ in range(rounds):
-            logs = np.log(shares)[:, None] + np.log(chance) @ bad.T + np.log(1 - chance) @ good.T
-            weight = np.exp(logs - logs.max(0))
-            weight *= count / weight.sum(0)
+            weight = count * _classes(bad, good, shares, chance)
             b, g = weight @ bad, weight @ good
             new = (b + PRIOR * start) / (b + g + PRIOR)
             shares = (weight.sum(1) + 1) / (count.sum() + len(start))
@@ -168,33 +178,40 @@ def fit(patterns: list[tuple[str, int]], n_rules: int, rounds: int = 1000) -> di
     return {"share": float(shares[0]), "shares": shares.tolist(), "chance": chance.tolist()}
 
 
-def posterior(votes: list[Column], model: dict) -> Column:
-    """Probability that a document with these votes is good."""
-    good, others = F.lit(1.0), list(zip(model["shares"], model["chance"], strict=True))
-    own_share, own = others[0]
-    for share, chance in others[1:]:
-        odds = F.lit(float(np.log(share / own_share)))
-        for vote, g, b in zip(votes, own, chance, strict=True):
-            odds = odds + F.when(vote == -1, float(np.log(b / g))).when(vote == 1, float(np.log((1 - b) / (1 - g)))).otherwise(0.0)
-        good = good + F.exp(odds)
-    return F.lit(1.0) / good
+def posterior(patterns: list[str], model: dict) -> list[float]:
+    """Each vote pattern's probability that a document with it is good."""
+    return _classes(*_votes(patterns), np.array(model["shares"]), np.array(model["chance"]))[0].tolist() if patterns else []
 
 
-def _judged(s: Column, model: dict) -> Column:
-    """From a struct of statistics: the contract's fields, base_failed, each rule's vote, quality (the posterior) and kept."""
-    named = rules(s)
-    failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
-    good = posterior(list(named.values()), model)
-    parts = [s[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return F.struct(*parts, failed.alias("base_failed"), *[v.alias(f"vote_{k}") for k, v in named.items()], good.alias("quality"), (~failed & (good >= 0.5)).alias("kept"))
+def _pattern(s: Column) -> Column:
+    return F.concat(*[(v + 1).cast("string") for v in rules(s).values()])
 
 
-def _model(s: Column, seen: DataFrame) -> dict:
-    """The model of the votes on a frame's statistics."""
-    named = rules(s)
-    pattern = F.concat(*[(v + 1).cast("string") for v in named.values()])
-    counts = seen.groupBy(pattern.alias("p")).agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
-    return fit(sorted((r.p, r.n) for r in counts), len(named))
+def _qualities(s: Column, seen: DataFrame) -> DataFrame:
+    """(pattern, quality) of every vote pattern among a frame's statistics: at most 3 ** rules rows."""
+    counts = seen.groupBy(_pattern(s).alias("p")).agg(F.count("*").alias("n")).collect()
+    patterns = sorted((r.p, r.n) for r in counts)
+    names = [p for p, _ in patterns]
+    rows = list(zip(names, posterior(names, fit(patterns, len(KINDS))), strict=True))
+    return seen.sparkSession.createDataFrame(rows, "pattern string, quality double")
+
+
+def _judged(found: DataFrame, name: str, qualities: DataFrame) -> DataFrame:
+    """The struct of statistics becomes the contract's fields, base_failed, each rule's vote, quality (the posterior) and kept.
+
+    The posterior is looked up by the pattern in the broadcast table: written out as an expression of the votes it is too
+    large for generated code.
+    """
+    s = F.col(name)
+    pattern, quality = free_name(found, "quality_pattern"), free_name(found, "quality_posterior")
+    table = F.broadcast(qualities.toDF(pattern, quality))
+    placed = found.withColumn(pattern, _pattern(s)).join(table, pattern)
+    good = F.col(quality)
+    failed = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > REPEAT_PERCENT * s["n_words"])
+    parts = [s[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    votes = [v.alias(f"vote_{k}") for k, v in rules(s).items()]
+    verdict = F.struct(*parts, failed.alias("base_failed"), *votes, good.alias("quality"), (~failed & (good >= 0.5)).alias("kept"))
+    return placed.select(*[F.col(f"`{c}`") for c in found.columns if c != name], verdict.alias(name))
 
 
 def score(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
@@ -203,16 +220,16 @@ def score(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     Two passes over the texts: one counts vote patterns, one scores.  Texts are never shuffled or written.
     """
     seen, name = attach(df.select(text), FIELDS, statistics, text)
-    model = _model(F.col(name), seen)
+    qualities = _qualities(F.col(name), seen)
     every, name = attach(df, FIELDS, statistics, text, name="quality_found")
-    return every.withColumn(name, _judged(F.col(name), model)), name
+    return _judged(every, name, qualities), name
 
 
 def judge(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """Every row without its text, with the same struct column; one pass over the texts, whose statistics are written out."""
     found, name = attach(df, FIELDS, statistics, text, name="quality_found")
     found = cut(found.select(*[F.col(f"`{c}`") for c in df.columns if c != text], F.col(name)))
-    return found.withColumn(name, _judged(F.col(name), _model(F.col(name), found))), name
+    return _judged(found, name, _qualities(F.col(name), found)), name
 
 
 def quality_filter(df: DataFrame, text: str = "text") -> DataFrame:
