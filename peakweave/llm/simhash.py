@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substrings import ids_repeat, keyed
-from .textcore import Block, attach, components, cut, documents, trimmed
+from .textcore import Block, attach, components, cut, documents, join_wide, trimmed
 
 WORDS_A_SHINGLE = 3
 SEED = 42
@@ -154,21 +154,25 @@ def fingerprints(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     return attach(df, "fp bigint", _fingerprints, text, name="simhash")
 
 
-def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows with ``text``: the rows' other columns with ``fp``, and (fp, root) of every distinct fingerprint."""
+def _placed(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """From rows with ``text``: the rows' other columns with ``fp``, (fp, root, copies) of every distinct fingerprint, and how many rows there are."""
     found, name = fingerprints(rows)
     prints = cut(found.select(*[F.col(c) for c in rows.columns if c != "text"], F.col(name)["fp"].alias("fp")))
-    distinct = cut(prints.select("fp").distinct(), prints.count())
-    roots = components(link_edges(distinct), nodes=distinct.count()).withColumnRenamed("id", "fp")
-    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    n = prints.count()
+    distinct = cut(prints.groupBy("fp").agg(F.count("*").alias("copies")), n)
+    roots = components(link_edges(distinct.select("fp")), nodes=distinct.count()).withColumnRenamed("id", "fp")
+    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), n
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, fp, component_id) of every row; component_id is the smallest id of the row's component."""
-    prints, roots = _placed(df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")))
+    prints, roots, n = _placed(df.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text}`").alias("text")))
     # a fingerprint's copies are merged before they meet the others of the component
-    lowest = prints.groupBy("fp").agg(F.min("id").alias("low")).join(roots, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(roots.join(lowest, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    low = prints.groupBy("fp").agg(F.min("id").alias("low")).join(roots, "fp")
+    lowest = low.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("copies").alias("members"))
+    # of a class with a large part of all rows, and of a fingerprint with so many copies, the rows stay where they are
+    classes = join_wide(roots, lowest, "root", "members", n).select("fp", "component_id", "copies")
+    return join_wide(prints, classes, "fp", "copies", n).select("id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,7 +182,7 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     component's first; of rows with the same id and text one stays.
     """
     repeat = ids_repeat(df, id_column)
-    prints, roots = _placed(keyed(df, id_column, text, repeat))
+    prints, roots, _ = _placed(keyed(df, id_column, text, repeat))
     first = F.min(F.struct((F.col("d") == F.lit(-(1 << 63))).alias("none"), "d", "t")).alias("first")
     keep = prints.groupBy("fp").agg(first).join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select("first.d", "first.t")
     return keyed(df, id_column, text, repeat, whole=True).join(keep, ["d", "t"]).dropDuplicates(["d", "t"]).select("row.*")

@@ -267,32 +267,48 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with more than one in so many rows is joined without a shuffle of its rows.
+WIDE = 1000
+
+
+def join_wide(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """The rows with the columns of ``table``, one row a key, whose ``count`` says how many of the ``total`` rows have the key.
+
+    The keys of more than total / WIDE rows, fewer than WIDE, are sent to the rows; the others meet theirs by a shuffle.  ``count`` is left out.
+    """
+    often = F.col(count) * WIDE > total
+    hot = F.broadcast(table.where(often).drop(count))
+    rest = rows.join(F.broadcast(table.where(often).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(table.where(~often).drop(count), key))
+
+
 def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (id, root) with root the smallest id reachable.
 
-    Alternating large-star and small-star steps; both are grouped minima and joins, so that a hub's rows are
-    pre-aggregated.  Every step is checkpointed; the loop ends when a step changes nothing.
+    Alternating large-star and small-star steps; both are grouped minima, so that a hub's rows are
+    pre-aggregated, and joins with the minima, which a hub's rows take where they are (join_wide).  Every step is checkpointed; the loop ends when a step changes nothing.
     Ids must be orderable.  Nodes without edges are not returned.  ``nodes``, if known, tells how finely to write tables.  ``rounds``
     only ends a loop that would not end by itself: it raises and drops nothing.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = cut(pairs, nodes)
-    before = None
+    known, before = pairs.count(), None
     for _ in range(rounds):
         # large star: every neighbour above a node links to the smallest node around it
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        above = both.where("b > a")
+        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = join_wide(above, low, "a", "n", known).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: every neighbour below a node, and the node, link to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = join_wide(large, low, "a", "n", known)
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
-        pairs = cut(small.where("a <> b").distinct(), before[0] if before else nodes)
+        pairs = cut(small.where("a <> b").distinct(), known)
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         if now == before:
             break
-        before = now
+        before, known = now, now[0]
     else:
         raise RuntimeError("components did not settle")
     return pairs.select(F.col("a").alias("id"), F.col("b").alias("root"))

@@ -290,3 +290,27 @@ def test_empty_tables(spark, empty):
 def test_no_benchmark(spark, docs):
     found, name = fmindex.find(docs, spark.createDataFrame([], "item_id bigint, text string"))
     assert found.where(F.col(name)["n_hit"] > 0).count() == 0
+
+
+@pytest.mark.parametrize("wide", [1000, 5, 0])
+def test_hot_keys_are_joined_like_others(spark, wide, monkeypatch):
+    """A hub with a third of all links and a text with a third of all rows, with most, few or no keys sent to their rows."""
+    import random
+
+    from peakweave.llm import textcore
+
+    monkeypatch.setattr(textcore, "WIDE", wide)
+    rng = random.Random(wide)
+    edges = [(500, 1000 + i) for i in range(60)] + [(i, i + 1) for i in range(40)] + [tuple(rng.sample(range(2000, 2200), 2)) for _ in range(80)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:  # smallest ids spread until nothing changes
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = textcore.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert sorted((r.id, r.root) for r in found.collect()) == sorted(root.items())
+
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)]
+    rows = [(i, texts[0] if i % 3 == 0 else rng.choice(texts)) for i in range(90)] + [(None, texts[0]), (7, texts[1]), (90, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = sorted(((r.id, f"{r.fp & (2**64 - 1):016x}", r.component_id) for r in simhash.near_duplicates(df).collect()), key=repr)
+    assert got == sorted(brute.op8(rows), key=repr)
