@@ -283,7 +283,7 @@ def join_wide(rows: DataFrame, table: DataFrame, key: str, count: str, total: in
 
 
 def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows (id, root) with root the smallest id reachable.
+    """Connected components of ``edges(a, b)``: rows (id, root) with root the smallest id reachable, but for the roots themselves.
 
     Alternating large-star and small-star steps; both are grouped minima, so that a hub's rows are
     pre-aggregated, and joins with the minima, which a hub's rows take where they are (join_wide).  Every step is checkpointed; the loop ends when a step changes nothing.
@@ -299,7 +299,7 @@ def components(edges: DataFrame, rounds: int = 60, nodes: int | None = None) ->
         above = both.where("b > a")
         low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count_if(F.col("b") > F.col("a")).alias("n"))
         large = join_wide(above, low, "a", "n", known).select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = cut(large.where("a <> b").distinct(), known)  # read three times below
         # small star: every neighbour below a node, and the node, link to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
         small = join_wide(large, low, "a", "n", known)

@@ -307,7 +307,7 @@ def test_hot_keys_are_joined_like_others(spark, wide, monkeypatch):
         for a, b in edges:
             root[a] = root[b] = min(root[a], root[b])
     found = textcore.components(spark.createDataFrame(edges, "a bigint, b bigint"))
-    assert sorted((r.id, r.root) for r in found.collect()) == sorted(root.items())
+    assert sorted((r.id, r.root) for r in found.collect()) == sorted(x for x in root.items() if x[0] != x[1])
 
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(20)]
     rows = [(i, texts[0] if i % 3 == 0 else rng.choice(texts)) for i in range(90)] + [(None, texts[0]), (7, texts[1]), (90, None)]
