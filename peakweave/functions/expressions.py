@@ -22,7 +22,7 @@ def distance_penalty(alpha: float, d: Column, unit_distance: float = 1000, s: fl
 
 def sample_covariance(n: Column | int, sxy: Column, sx: Column, sy: Column) -> Column:
     """Covariance from sums over n observations, absent ones being zeros."""
-    n = F.lit(n) if isinstance(n, int) else n
+    n = (F.lit(n) if isinstance(n, int) else n).cast("double")  # as an int its square overflows from 46,341 observations on
     return (n * sxy - sx * sy) / (n * (n - 1))
 
 

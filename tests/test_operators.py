@@ -249,3 +249,17 @@ def test_ranks_and_correlations_of_sparse_counts(spark):
             assert r["value"] == pytest.approx(want[r.i, r.j], abs=1e-9)
     with pytest.raises(ValueError):
         moments.pair_coefficients(pairs, counts, 30, "other")
+
+
+@pytest.mark.parametrize("method", ["cov", "corrcoef", "spearman"])
+def test_moments_of_many_cells(spark, method):
+    """The number of cells, squared, is beyond an int."""
+    from peakweave.kernels import rank
+    from peakweave.operators import moments
+
+    n = 60_000
+    counts = spark.createDataFrame([(0, 0, 3.0), (1, 0, 5.0), (1, 1, 4.0), (59_999, 1, 2.0)], "cell bigint, idx bigint, value double")
+    X = np.zeros((n, 2))
+    X[[0, 1, 1, 59_999], [0, 0, 1, 1]] = [3, 5, 4, 2]
+    got = moments.pair_coefficients(spark.createDataFrame([(0, 1)], "i bigint, j bigint"), counts, n, method).first()["value"]
+    assert got == pytest.approx(rank.init_coefs(X, method)[0][0, 1], rel=1e-6)
