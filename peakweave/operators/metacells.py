@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,55 +34,104 @@ def lsi_normalize(counts: DataFrame, n_cells: int) -> DataFrame:
     return x.join(total, "cell").select("cell", "idx", F.log1p(F.col("value") / F.col("total") * 1e4).alias("value"))
 
 
+def _flat(batch: pa.RecordBatch, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, value) of the entries of a batch of sparse rows (at, value); places are those of ``at`` in the sorted ids."""
+    at = batch.column("at")
+    row = np.repeat(np.arange(len(at)), pc.list_value_length(at).to_numpy(zero_copy_only=False))
+    return row, np.searchsorted(ids, at.flatten().to_numpy()), batch.column("value").flatten().to_numpy()
+
+
+def _times(to: np.ndarray, at: np.ndarray, value: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+    """n rows: at ``to`` the sums of value * q[at]."""
+    return np.stack([np.bincount(to, value * c[at], n) for c in np.ascontiguousarray(q.T)], 1)
+
+
 def lsi(counts: DataFrame, n_cells: int, n_components: int = 20, highly_variable: DataFrame | None = None, seed: int = 0, rounds: int = 7, oversample: int = 10) -> DataFrame:
     """(cell, vec): left singular vectors of the normalised counts, standardised within each cell.
 
-    Randomised subspace iteration: the tall matrix stays distributed, and only (regions x components) sums meet in the driver.
-    Of each component the entry with the largest absolute value is made positive.
+    Randomised subspace iteration: the matrix stays distributed, in rows of its larger side (cells or regions), and only sums of
+    (smaller side x components) meet in the driver.  Of each component the entry with the largest absolute value is made positive.
     """
     own = counts if highly_variable is None else counts.join(highly_variable.select("idx"), "idx", "left_semi")
+    spark = counts.sparkSession
     x = checkpointed(lsi_normalize(own, n_cells))
-    columns = np.array([r.idx for r in x.select("idx").distinct().orderBy("idx").collect()], np.int64)
-    k = min(n_components + oversample, len(columns), n_cells)
-    sorted_row = F.array_sort(F.collect_list(F.struct("idx", "value")))
-    by_cell = checkpointed(x.groupBy("cell").agg(sorted_row.alias("row")).select("cell", F.col("row.idx").alias("at"), F.col("row.value").alias("value")))
-    basis = np.random.default_rng(seed).normal(size=(len(columns), k))
-    sums_schema = "r bigint, " + ", ".join(f"c{i} double" for i in range(k))
-
-    def rows_of(frame: pd.DataFrame, q: np.ndarray) -> tuple[list, np.ndarray]:
-        parts = [(np.searchsorted(columns, i), v) for i, v in zip(frame["at"], frame["value"], strict=True)]
-        return parts, np.array([v @ q[i] for i, v in parts]).reshape(-1, q.shape[1])
+    n_rows, n_columns = (x.select(c).distinct().count() for c in ("cell", "idx"))
+    near, far = ("cell", "idx") if n_rows < n_columns else ("idx", "cell")
+    ids = np.sort(x.select(F.col(near).cast("bigint")).distinct().toArrow().column(0).to_numpy())
+    k = min(n_components + oversample, n_rows, n_columns)
+    sorted_row = F.array_sort(F.collect_list(F.struct(near, "value")))
+    by_far = checkpointed(x.groupBy(far).agg(sorted_row.alias("row")).select(far, F.col(f"row.{near}").cast("array<bigint>").alias("at"), F.col("row.value").alias("value")))
+    by_far = by_far.coalesce(max(1, spark.sparkContext.defaultParallelism))  # a task's sums are as many rows as the smaller side has
+    basis = np.random.default_rng(seed).normal(size=(len(ids), k))
+    names = [f"c{i}" for i in range(k)]
+    sums_schema = "r bigint, " + ", ".join(f"{c} double" for c in names)
+
+    def summed(parts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], n: int) -> np.ndarray:
+        """The tasks' rows, summed by number, of which there are n."""
+        found = by_far.mapInArrow(parts, sums_schema).groupBy("r").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        out = np.zeros((n, k))
+        out[found.column("r").to_numpy()] = np.stack([found.column(c).to_numpy() for c in names], 1)
+        return out
+
+    def numbered(total: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(total.any(1))
+        return pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, i]) for i in range(k)]], ["r", *names])
 
     for _ in range(rounds):
-        q = np.linalg.qr(basis)[0]
-
-        def product(frames: Iterator[pd.DataFrame], q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(columns), q.shape[1]))
-            for frame in frames:
-                parts, y = rows_of(frame, q)
-                for (i, v), z in zip(parts, y, strict=True):
-                    total[i] += np.outer(v, z)
-            some = np.flatnonzero(total.any(1))
-            yield pd.DataFrame({"r": some, **{f"c{i}": total[some, i] for i in range(q.shape[1])}})
-
-        # a row a region and task, summed by region
-        sums = by_cell.mapInPandas(product, sums_schema).groupBy("r").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).toPandas()
-        basis = np.zeros((len(columns), k))
-        basis[sums["r"]] = sums.drop(columns="r").to_numpy()
+        shared = spark.sparkContext.broadcast((ids, np.linalg.qr(basis)[0]))
+
+        def product(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own, q = shared.value
+            total = np.zeros((len(own), k))
+            for batch in batches:
+                row, at, value = _flat(batch, own)
+                total += _times(at, row, value, _times(row, at, value, q, len(batch)), len(own))
+            yield numbered(total)
+
+        basis = summed(product, len(ids))
+        shared.unpersist()
     q = np.linalg.qr(basis)[0]
+    shared = spark.sparkContext.broadcast((ids, q))
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        total = np.zeros((k, k))
+        for batch in batches:
+            row, at, value = _flat(batch, own)
+            y = _times(row, at, value, q, len(batch))
+            total += y.T @ y
+        yield numbered(total)
+
+    values, vectors = np.linalg.eigh(summed(squares, k))
+    order = np.argsort(values)[::-1][: min(n_components, k)]
 
-    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"cell": frame["cell"], "y": list(rows_of(frame, q)[1])})
+    def standard(u: np.ndarray) -> list[np.ndarray]:
+        sd = u.std(1, ddof=1, keepdims=True) if u.shape[1] > 1 else np.ones((len(u), 1))
+        return list((u - u.mean(1, keepdims=True)) / np.where(sd == 0, 1, sd))
 
-    projected = checkpointed(by_cell.mapInPandas(project, "cell bigint, y array<double>"))
-    gram = projected.select(F.posexplode("y").alias("a", "u"), "y").select("a", "u", F.posexplode("y").alias("b", "v")).groupBy("a", "b").agg(F.sum(F.col("u") * F.col("v")).alias("g")).toPandas()
-    g = np.zeros((k, k))
-    g[gram["a"], gram["b"]] = gram["g"]
-    values, vectors = np.linalg.eigh(g)
-    order = np.argsort(values)[::-1][: min(n_components, k)]
+    if near == "cell":  # the vectors are those of the side that is here
+        u = q @ vectors[:, order]
+        u *= np.where(u[np.abs(u).argmax(0), np.arange(u.shape[1])] < 0, -1.0, 1.0)
+        solved = spark.sparkContext.broadcast((ids, u))
+
+        def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, u = solved.value
+            for frame in frames:
+                at = frame["id"].to_numpy()
+                yield pd.DataFrame({"cell": own[at], "vec": standard(u[at])})
+
+        return spark.range(len(ids)).mapInPandas(listed, "cell bigint, vec array<double>")
     turn = vectors[:, order] / np.sqrt(np.maximum(values[order], 1e-300))
 
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = shared.value
+        for batch in batches:
+            row, at, value = _flat(batch, own)
+            y = _times(row, at, value, q, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(list(y), pa.list_(pa.float64()))], ["cell", "y"])
+
+    projected = checkpointed(by_far.mapInArrow(project, "cell bigint, y array<double>"))
+
     def ends(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             u = np.stack(frame["y"]) @ turn
@@ -92,9 +143,7 @@ def lsi(counts: DataFrame, n_cells: int, n_components: int = 20, highly_variable
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            u = np.stack(frame["y"]) @ turn
-            sd = u.std(1, ddof=1, keepdims=True) if u.shape[1] > 1 else np.ones((len(u), 1))
-            yield pd.DataFrame({"cell": frame["cell"], "vec": list((u - u.mean(1, keepdims=True)) / np.where(sd == 0, 1, sd))})
+            yield pd.DataFrame({"cell": frame["cell"], "vec": standard(np.stack(frame["y"]) @ turn)})
 
     return projected.mapInPandas(finish, "cell bigint, vec array<double>")
 

@@ -128,6 +128,25 @@ def test_lsi_is_the_svd(atac):
     assert np.allclose(np.stack(got.vec), want, atol=1e-3)
 
 
+@pytest.mark.parametrize(("cells", "regions"), [(12, 40), (40, 12)])
+def test_lsi_brings_only_the_smaller_side(spark, monkeypatch, cells, regions):
+    """The SVD from either side; no basis or list of ids in the driver is longer than the smaller one."""
+    rng = np.random.default_rng(5)
+    X = rng.poisson(1.0, (cells, regions)) + 3.0 * np.outer(rng.random(cells) > 0.5, rng.random(regions) > 0.5)
+    X[:, 0] += 1
+    X[0] += 1
+    counts, _, n = tables.counts_from_pandas(spark, pd.DataFrame(X, columns=[f"chr1_{i}_{i + 5}" for i in range(1, 10 * regions, 10)]))
+    x = metacells.lsi_normalize(counts, n).toPandas().pivot_table(index="cell", columns="idx", values="value", fill_value=0.0)
+    u = np.linalg.svd(x.to_numpy(), full_matrices=False)[0][:, :3]
+    u = u * np.where(u[np.abs(u).argmax(0), range(3)] < 0, -1, 1)
+    qr, sizes = np.linalg.qr, []
+    monkeypatch.setattr(np.linalg, "qr", lambda a, *r: sizes.append(len(a)) or qr(a, *r))
+    got = metacells.lsi(counts, n, 3, rounds=3).toPandas().sort_values("cell")
+    assert got.cell.tolist() == x.index.tolist()
+    assert np.allclose(np.stack(got.vec), (u - u.mean(1, keepdims=True)) / u.std(1, ddof=1, keepdims=True), atol=1e-3)
+    assert set(sizes) == {min(cells, regions)}
+
+
 def test_select_metacells_order(spark):
     near = spark.createDataFrame([(c, n) for c, s in ((0, (0, 1, 2)), (1, (0, 1, 2)), (2, (1, 2, 3)), (3, (3, 4, 5))) for n in s], "cell bigint, neighbor bigint")
     got = metacells.select_metacells(near, 3, 0.5).toPandas().groupby("metacell").cell.apply(sorted).tolist()
