@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -72,16 +74,28 @@ def communities(edges: DataFrame, seed: int = 42) -> DataFrame:
     edges = checkpointed(edges)
     total = float(edges.agg(F.sum("w")).first()[0] or 0.0)
     labels = component_labels(edges)
-    placed = edges.join(labels.withColumnRenamed("node", "a"), "a")
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(sorted(set(part["a"]) | set(part["b"])), list(part[["a", "b", "w"]].itertuples(index=False, name=None)), seed, total)
-        first: dict[int, str] = {}
-        for v in sorted(found):
-            first.setdefault(found[v], v)
-        return pd.DataFrame({"node": list(found), "community": [first[c] for c in found.values()]})
-
-    return placed.groupBy("component").applyInPandas(solve, "node string, community string")
+    placed = edges.join(labels.withColumnRenamed("node", "a"), "a").select("component", "a", "b", "w")
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = chain.from_iterable(zip(*[frame[c] for c in ("component", "a", "b", "w")], strict=True) for frame in frames)
+        nodes: list[str] = []
+        names: list[str] = []
+        for _, own in groupby(rows, itemgetter(0)):
+            part = [r[1:] for r in own]
+            found = louvain(list({v for a, b, _ in part for v in (a, b)}), part, seed, total)
+            first: dict[int, str] = {}
+            for v in sorted(found):
+                first.setdefault(found[v], v)
+            nodes += found
+            names += [first[c] for c in found.values()]
+            if len(nodes) >= 10_000:
+                yield pd.DataFrame({"node": nodes, "community": names})
+                nodes, names = [], []
+        yield pd.DataFrame({"node": nodes, "community": names}, dtype=object)
+
+    # sorted, so that a task solves many small components from a few batches; solving is long and its rows are few bytes, so tasks are not merged
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(n, "component").sortWithinPartitions("component", "a", "b").mapInPandas(solve, "node string, community string")
 
 
 def modules(found: DataFrame, smallest: int = 3) -> DataFrame:
@@ -91,7 +105,7 @@ def modules(found: DataFrame, smallest: int = 3) -> DataFrame:
 
 
 def number_of_ccans(links: DataFrame, cutoff: float, seed: int = 42, **columns: str) -> int:
-    return modules(communities(ccan_edges(links, cutoff, **columns), seed)).select("community").distinct().count()
+    return communities(ccan_edges(links, cutoff, **columns), seed).groupBy("community").count().where(F.col("count") >= 3).count()
 
 
 def find_ccan_cutoff(links: DataFrame, tolerance_digits: int = 2, seed: int = 42, a: str = "Peak1", b: str = "Peak2", score: str = "score") -> float:
@@ -129,7 +143,7 @@ def find_ccans(links: DataFrame, peak1_col: str = "Peak1", peak2_col: str = "Pea
     cutoff = coaccess_cutoff_override
     if cutoff is None:
         cutoff = find_ccan_cutoff(links, tolerance_digits, seed, peak1_col, peak2_col, score_col)
-    found = checkpointed(modules(communities(ccan_edges(links, cutoff, peak1_col, peak2_col, score_col), seed)))
+    found = checkpointed(modules(checkpointed(communities(ccan_edges(links, cutoff, peak1_col, peak2_col, score_col), seed))))
     spark: SparkSession = links.sparkSession
     names = found.select("community").distinct().orderBy("community").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
     numbered = spark.createDataFrame(names, "community string, number bigint")

@@ -107,6 +107,32 @@ def test_cutoffs(spark):
         graph.find_ccans(df, coaccess_cutoff_override=2.0)
 
 
+def test_communities_of_many_components(spark):
+    """As of each component alone, over several batches, in few calls of Python and each solved once."""
+    from peakweave.kernels.louvain import louvain
+
+    rng = np.random.default_rng(2)
+    parts = [[(f"c{g:03}_{a}", f"c{g:03}_{b}", float(w)) for a, b, w in zip(*rng.integers(0, 9, (2, 14)), rng.integers(1, 9, 14), strict=True) if a < b] for g in range(60)]
+    df = spark.createDataFrame([e for part in parts for e in part], "a string, b string, w double").groupBy("a", "b").agg({"w": "max"}).toDF("a", "b", "w").cache()
+    rows = sorted(map(tuple, df.collect()))
+    total = sum(r[2] for r in rows)
+    label = {r.node: r.component for r in graph.component_labels(df).collect()}
+    want = {}
+    for c in set(label.values()):
+        own = [r for r in rows if label[r[0]] == c]
+        found = louvain(sorted({v for r in own for v in r[:2]}), own, 42, total)
+        want |= {v: min(u for u in found if found[u] == found[v]) for v in found}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = graph.communities(df)
+        assert {r.node: r.community for r in out.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # a call a component took most of the time
+    sizes = pd.Series(want.values()).value_counts()
+    assert graph.number_of_ccans(df.withColumnsRenamed({"a": "Peak1", "b": "Peak2", "w": "score"}), 0.0) == (sizes >= 3).sum()
+
+
 def test_metacells(spark, atac):
     one = metacells.compute_metacells(atac.counts, atac.regions, atac.n_cells, k=10, max_metacells=1)
     assert one.select("cell").distinct().count() == 1
