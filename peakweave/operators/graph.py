@@ -12,19 +12,22 @@ from pyspark.sql import functions as F
 
 from ..kernels.louvain import louvain
 from .lineage import checkpointed
-from .links import dedupe_edges
 
 
 def ccan_edges(links: DataFrame, cutoff: float, a: str = "Peak1", b: str = "Peak2", score: str = "score") -> DataFrame:
     """Undirected edges (a, b, w) above the cutoff, and a loop of weight 0 at each of their nodes."""
     above = links.where(F.col(score).isNotNull() & ~F.isnan(score) & (F.col(score) > cutoff))
-    edges = dedupe_edges(above, a, b, score)
-    nodes = above.select(F.col(a).alias("a")).unionByName(above.select(F.col(b).alias("a"))).distinct()
-    return edges.unionByName(nodes.select("a", F.col("a").alias("b"), F.lit(0.0).alias("w")))
+    order = F.col("ord" if "ord" in links.columns else score)
+    row = lambda x, y, loop: F.struct(x.alias("a"), y.alias("b"), F.lit(loop).alias("loop"))
+    rows = F.array(row(F.least(a, b), F.greatest(a, b), False), row(F.col(a), F.col(a), True), row(F.col(b), F.col(b), True))
+    # links, which may be long to find, are read once for their edges and both their nodes
+    flat = above.select(F.explode(rows).alias("at"), F.col(score).alias("w"), order.alias("order")).select("at.*", "w", "order")
+    last = F.when(F.col("loop"), 0.0).otherwise(F.max_by("w", "order"))
+    return flat.groupBy("a", "b", "loop").agg(last.alias("w")).drop("loop")
 
 
 def ccan_nodes(edges: DataFrame) -> DataFrame:
-    return edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "node")
+    return edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +58,8 @@ def component_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
     tasks is settled by rounds of min labels with pointer jumping.
     """
     stars = edges.select("a", "b").repartitionByRange("a").mapInPandas(_stars, "a string, b string")
-    both = checkpointed(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = checkpointed(stars.select(F.explode(ways).alias("at")).select("at.*").distinct())
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label")))
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))

@@ -91,13 +91,6 @@ def score_histogram(network: DataFrame, low: float, high: float, bins: int) -> D
     return network.groupBy(b.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def dedupe_edges(links: DataFrame, a: str = "Peak1", b: str = "Peak2", score: str = "score") -> DataFrame:
-    """Undirected edges, the last of several between two nodes in order of (order column, if any, else score)."""
-    key = [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    order = "ord" if "ord" in links.columns else score
-    return links.groupBy(*key).agg(F.max_by(score, order).alias("w"))
-
-
 def top_links(links: DataFrame, k: int) -> DataFrame:
     """The k largest scores by chromosome of the first region's name."""
     chromosome = F.split("Peak1", "_").getItem(0)

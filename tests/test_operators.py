@@ -308,3 +308,19 @@ def test_moments_of_many_cells(spark, method):
     X[[0, 1, 1, 59_999], [0, 0, 1, 1]] = [3, 5, 4, 2]
     got = moments.pair_coefficients(spark.createDataFrame([(0, 1)], "i bigint, j bigint"), counts, n, method).first()["value"]
     assert got == pytest.approx(rank.init_coefs(X, method)[0][0, 1], rel=1e-6)
+
+
+def test_edges_read_links_once(spark):
+    """Edges and both their nodes come from one pass over the links; of several links of two nodes the last one holds."""
+    from peakweave.operators import graph
+
+    rows = [("a", "b", 0.5, 1), ("b", "a", 0.4, 2), ("b", "c", 0.3, None), ("d", "d", 0.6, 1), ("c", "e", 0.1, 1), ("e", "f", None, 1), ("e", "f", float("nan"), 1)]
+    links = spark.createDataFrame(rows, "Peak1 string, Peak2 string, score double, ord int")
+    loops = [(x, x, 0.0) for x in "abcd"]
+    by_score = graph.ccan_edges(links.drop("ord"), 0.2)
+    assert sorted(map(tuple, by_score.collect())) == sorted([("a", "b", 0.5), ("b", "c", 0.3), ("d", "d", 0.6), *loops])
+    by_order = graph.ccan_edges(links.where("ord IS NOT NULL"), 0.2)
+    assert sorted(map(tuple, by_order.collect())) == sorted([("a", "b", 0.4), ("d", "d", 0.6), ("a", "a", 0.0), ("b", "b", 0.0), ("d", "d", 0.0)])
+    for df in (by_score, graph.ccan_nodes(by_score)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert sorted(r.node for r in graph.ccan_nodes(by_score).collect()) == list("abcd")
