@@ -236,10 +236,10 @@ def aggregate_metacells(counts: DataFrame, members: DataFrame, method: str = "me
     """(cell, idx, value) with metacells as cells: sum, or mean over all members, those without the region included."""
     if method not in ("mean", "sum"):
         raise ValueError(f"unknown method {method!r}: mean or sum")
-    total = members.join(counts, "cell").groupBy("metacell", "idx").agg(F.sum("value").alias("total"))
-    sizes = members.groupBy("metacell").agg(F.count("*").alias("k"))
-    value = F.col("total") / F.col("k") if method == "mean" else F.col("total")
-    return total.join(sizes, "metacell").select(F.col("metacell").alias("cell"), "idx", value.alias("value"))
+    sizes = members.groupBy("metacell").agg(F.count("*").alias("k"))  # joined to the members, as the totals are many more rows
+    total = members.join(sizes, "metacell").join(counts, "cell").groupBy("metacell", "idx")
+    value = F.sum("value") / F.max("k") if method == "mean" else F.sum("value")
+    return total.agg(value.alias("value")).withColumnRenamed("metacell", "cell")
 
 
 def overlaps(members: DataFrame) -> DataFrame:

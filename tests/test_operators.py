@@ -324,3 +324,16 @@ def test_edges_read_links_once(spark):
     for df in (by_score, graph.ccan_nodes(by_score)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     assert sorted(r.node for r in graph.ccan_nodes(by_score).collect()) == list("abcd")
+
+
+@pytest.mark.parametrize("method", ["mean", "sum"])
+def test_metacell_totals_are_shuffled_once(spark, method):
+    """Sizes are joined to the members: nothing is joined to the totals."""
+    from peakweave.operators import metacells
+
+    counts = spark.createDataFrame([(0, 0, 3.0), (1, 0, 5.0), (1, 1, 4.0), (2, 1, 2.0)], "cell bigint, idx bigint, value double")
+    members = spark.createDataFrame([(0, 0), (0, 1), (0, 7), (1, 2)], "metacell bigint, cell bigint")
+    out = metacells.aggregate_metacells(counts, members, method)
+    k = 3 if method == "mean" else 1
+    assert sorted(map(tuple, out.collect())) == [(0, 0, 8 / k), (0, 1, 4 / k), (1, 1, 2.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
