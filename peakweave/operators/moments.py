@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,26 +21,114 @@ def observed_cells(members: DataFrame, counts: DataFrame) -> DataFrame:
     return members.join(counts, "idx").groupBy(*KEY).agg(F.countDistinct("cell").alias("n_nonnull"))
 
 
-def region_sums(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("idx").agg(F.sum("value").alias("sx"), F.sum(F.col("value") * F.col("value")).alias("sxx"))
+#: Regions of a block, in their order: near regions are paired, so that most counts are needed in one block only.
+BLOCK = 256
+
+
+class _Block:
+    """A block's pairs and what their counts have added up to."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray) -> None:
+        order = np.argsort(i, kind="stable")
+        self.i, self.j = i[order], j[order]
+        self.own = np.unique(np.concatenate([i, j]))
+        self.first = np.searchsorted(self.i, self.own)
+        self.degree = np.searchsorted(self.i, self.own, "right") - self.first
+        self.partner = np.searchsorted(self.own, self.j)
+        self.sxy, self.sx, self.sxx = np.zeros(len(i)), np.zeros(len(self.own)), np.zeros(len(self.own))
+
+    def add_sums(self, idx: np.ndarray, value: np.ndarray) -> None:
+        at = np.searchsorted(self.own, idx)
+        self.sx += np.bincount(at, value, len(self.own))
+        self.sxx += np.bincount(at, value * value, len(self.own))
+
+    def add_products(self, cell: np.ndarray, idx: np.ndarray, value: np.ndarray, most: int = 1 << 20) -> None:
+        """Products of whole cells, whose rows are sorted by cell and region; about ``most`` are looked for at once."""
+        new = np.concatenate([[True], cell[1:] != cell[:-1]])
+        place = (np.cumsum(new) - 1) * len(self.own) + np.searchsorted(self.own, idx)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        place, value = place[first], np.add.reduceat(value, first)
+        at = place % len(self.own)
+        degree = self.degree[at]
+        before = np.cumsum(degree) - degree
+        for k in range(0, int(degree.sum()), most):
+            a, b = np.searchsorted(before, [k, k + most])
+            n = degree[a:b]
+            row = np.repeat(np.arange(a, b), n)
+            pair = self.first[at[row]] + np.arange(len(row)) - np.repeat(before[a:b] - before[a] if b > a else n, n)
+            wanted = place[row] - at[row] + self.partner[pair]
+            found = np.minimum(np.searchsorted(place, wanted), len(place) - 1)
+            hit = place[found] == wanted
+            self.sxy += np.bincount(pair[hit], value[row[hit]] * value[found[hit]], len(self.sxy))
+
+    def rows(self) -> pa.RecordBatch:
+        a, b = np.searchsorted(self.own, self.i), self.partner
+        columns = [self.i, self.j, self.sxy, self.sx[a], self.sxx[a], self.sx[b], self.sxx[b]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["i", "j", "sxy", "s_i", "q_i", "s_j", "q_j"])
+
+
+def _block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of each block's pairs, from its pairs (kind 0), counts without a cell (1) and counts (2) sorted by cell and region.
+
+    Held are a block's pairs and a batch with the last cell before it, not the block's counts.
+    """
+    at, pairs, block, held = None, [], None, None
+
+    def close(block: _Block | None, held: tuple | None) -> Iterator[pa.RecordBatch]:
+        block = block or (_Block(*map(np.concatenate, zip(*pairs, strict=True))) if pairs else None)
+        if block and held:
+            block.add_products(*held)
+        if block:
+            yield block.rows()
+
+    for batch in batches:
+        number, kind = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+        edges = np.flatnonzero((number[1:] != number[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(number)], strict=True):
+            if a == b:
+                continue
+            if number[a] != at:
+                yield from close(block, held)
+                at, pairs, block, held = number[a], [], None, None
+            part = batch.slice(a, b - a)
+            idx = part.column("idx").to_numpy()
+            if kind[a] == 0:
+                pairs.append((idx, part.column("j").to_numpy()))
+                continue
+            block = block or _Block(*map(np.concatenate, zip(*pairs, strict=True)))
+            value = part.column("value").to_numpy()
+            block.add_sums(idx, value)
+            if kind[a] == 2:
+                rows = (part.column("cell").to_numpy(zero_copy_only=False), idx, value)
+                rows = tuple(map(np.concatenate, zip(held, rows, strict=True))) if held else rows
+                new = np.flatnonzero(rows[0][1:] != rows[0][:-1])
+                last = int(new[-1]) + 1 if len(new) else 0  # the last cell may go on
+                if last:
+                    block.add_products(*[x[:last] for x in rows])
+                held = tuple(x[last:] for x in rows)
+    yield from close(block, held)
 
 
 def pair_sums(pairs: DataFrame, counts: DataFrame) -> DataFrame:
-    """Sum of products of each distinct pair (i, j); pairs without a common cell have 0."""
-    some = pairs.select("i", "j").distinct()
-    a = counts.select(F.col("idx").alias("i"), "cell", F.col("value").alias("x"))
-    b = counts.select(F.col("idx").alias("j"), "cell", F.col("value").alias("y"))
-    both = some.join(a, "i").join(b, ["j", "cell"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("sxy"))
-    return some.join(both, ["i", "j"], "left").withColumn("sxy", F.coalesce("sxy", F.lit(0.0)))
+    """(i, j, sxy, s_i, q_i, s_j, q_j) of each distinct pair: sums of products, of counts and of their squares; 0 where there are none.
+
+    Pairs are dealt to blocks by their first region; counts go to the blocks that need them and are multiplied there, cell by cell, so
+    that counts are shuffled by region and by block, and products not at all.
+    """
+    some = pairs.select("i", "j").distinct().withColumn("block", F.floor(F.col("i") / BLOCK))
+    need = some.select("block", F.explode(F.array("i", "j")).alias("idx")).distinct()
+    own = counts.where("value IS NOT NULL").select("idx", "cell", F.col("value").cast("double"))
+    values = need.join(own, "idx").select("block", F.when(F.col("cell").isNull(), 1).otherwise(2).alias("kind"), "cell", "idx", F.lit(None).cast("bigint").alias("j"), "value")
+    nothing = F.lit(None).cast(counts.schema["cell"].dataType)
+    links = some.select("block", F.lit(0).alias("kind"), nothing.alias("cell"), F.col("i").alias("idx"), "j", F.lit(0.0).alias("value"))
+    dealt = links.unionByName(values).repartition("block").sortWithinPartitions("block", "kind", "cell", "idx")
+    return dealt.mapInArrow(_block_sums, "i bigint, j bigint, sxy double, s_i double, q_i double, s_j double, q_j double")
 
 
 def pair_moments(pairs: DataFrame, counts: DataFrame, n_cells: int) -> DataFrame:
     """(i, j, cov, var_i, var_j) over all cells, absent counts being zeros."""
-    sums = region_sums(counts)
-    side = lambda s: sums.select(F.col("idx").alias(s), F.col("sx").alias(f"s_{s}"), F.col("sxx").alias(f"q_{s}"))
-    joined = pair_sums(pairs, counts).join(side("i"), "i", "left").join(side("j"), "j", "left").fillna(0.0, ["s_i", "q_i", "s_j", "q_j"])
     cov = lambda q, a, b: sample_covariance(n_cells, F.col(q), F.col(a), F.col(b))
-    return joined.select("i", "j", cov("sxy", "s_i", "s_j").alias("cov"), cov("q_i", "s_i", "s_i").alias("var_i"), cov("q_j", "s_j", "s_j").alias("var_j"))
+    return pair_sums(pairs, counts).select("i", "j", cov("sxy", "s_i", "s_j").alias("cov"), cov("q_i", "s_i", "s_i").alias("var_i"), cov("q_j", "s_j", "s_j").alias("var_j"))
 
 
 def pair_correlations(moments: DataFrame) -> DataFrame:
@@ -57,7 +148,7 @@ def average_ranks(counts: DataFrame, n_cells: int, winsorize: bool = False, trun
     """
     w = Window.partitionBy("idx")
     own = counts.where("value <> 0")
-    ties = F.count("*").over(Window.partitionBy("idx", "value"))
+    ties = F.count("*").over(w.orderBy("value").rangeBetween(Window.currentRow, Window.currentRow))  # of the one order that all need
     zeros = F.lit(n_cells) - F.count("*").over(w)
     below = F.count_if(F.col("value") < 0).over(w)
     low = F.rank().over(w.orderBy("value")) + F.when(F.col("value") > 0, zeros).otherwise(0)
