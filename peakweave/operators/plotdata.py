@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
 from .regions import name_parts, require_columns
 
 #: Colours of the strands and of the sign of a score.
@@ -31,6 +32,7 @@ def connections_in(links: DataFrame, chromosome: str, start: int, end: int, sep:
 def arcs(found: DataFrame, abs_threshold: float = 0.4, only_positive: bool = False) -> DataFrame:
     """Geometry of the links' arcs; scaled by the largest score in the window, those under the threshold left out."""
     score = F.col("score")
+    found = checkpointed(found)  # links may be long to find, and are few here
     top = found.agg(F.max(F.abs("score"))).first()[0] or 1.0
     shown = found.where((score if only_positive else F.abs(score)) >= abs_threshold).where(score != 0)
     mid1, mid2 = (F.col("start1") + F.col("end1")) / 2, (F.col("start2") + F.col("end2")) / 2

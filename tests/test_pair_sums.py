@@ -60,3 +60,14 @@ def test_few_products_at_once():
         block = moments._Block(i, j)
         block.add_products(cell, idx, value, most)
         assert block.sxy.tolist() == (dense.T @ dense)[block.i, block.j].tolist()
+
+
+def test_arcs_find_their_links_once(spark):
+    """The links are read for their largest score and for their arcs; what finds them runs for one of the two only."""
+    from peakweave.operators import plotdata
+
+    rows = spark.createDataFrame([("chr1_1_9", "chr1_11_19", 0.5, 1, 9, 11, 19)], "Peak1 string, Peak2 string, score double, start1 bigint, end1 bigint, start2 bigint, end2 bigint")
+    found = rows.mapInArrow(lambda batches: batches, rows.schema)
+    arcs = plotdata.arcs(found, 0.1)
+    assert "MapInArrow" not in _plan(arcs)
+    assert [(r.height, r.alpha) for r in arcs.collect()] == [(1.0, 1.0)]
