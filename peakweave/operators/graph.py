@@ -54,12 +54,17 @@ def _stars(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def component_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable.
 
-    Edges are dealt out by ranges of names, as near regions are linked, and each task's are replaced by stars; what is linked across
-    tasks is settled by rounds of min labels with pointer jumping.
+    Edges are dealt out by ranges of names, as near regions are linked, and each task's are replaced by stars.  Stars that share a node
+    link their smallest nodes; only those are settled by rounds of min labels with pointer jumping, the others keep their star's.
     """
     stars = edges.select("a", "b").repartitionByRange("a").mapInPandas(_stars, "a string, b string")
+    # a node has a root in a task at most, so its roots are no more than tasks
+    placed = checkpointed(stars.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("roots")).select(F.col("a").alias("node"), F.col("roots").getItem(0).alias("root"), "roots"))
+    links = placed.where(F.size("roots") > 1).select(F.col("root").alias("a"), F.explode("roots").alias("b")).where("a <> b")
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = checkpointed(stars.select(F.explode(ways).alias("at")).select("at.*").distinct())
+    both = checkpointed(links.select(F.explode(ways).alias("at")).select("at.*").distinct())
+    if not both.limit(1).count():
+        return placed.select("node", F.col("root").alias("component"))
     labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), F.least("a", "label").alias("label")))
     for _ in range(rounds):
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
@@ -69,7 +74,8 @@ def component_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
         changed = new.where("label <> old").limit(1).count()
         labels = new.drop("old")
         if not changed:
-            return labels.withColumnRenamed("label", "component")
+            settled = labels.select(F.col("node").alias("root"), "label")
+            return placed.join(settled, "root", "left").select("node", F.coalesce("label", "root").alias("component"))
     raise RuntimeError("components did not settle")
 
 
