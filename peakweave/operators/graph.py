@@ -59,8 +59,9 @@ def component_labels(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
     stars = edges.select("a", "b").repartitionByRange("a").mapInPandas(_stars, "a string, b string")
     # a node has a root in a task at most, so its roots are no more than tasks
-    placed = checkpointed(stars.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("roots")).select(F.col("a").alias("node"), F.col("roots").getItem(0).alias("root"), "roots"))
-    links = placed.where(F.size("roots") > 1).select(F.col("root").alias("a"), F.explode("roots").alias("b")).where("a <> b")
+    roots = stars.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("roots"))
+    placed = checkpointed(roots.select(F.col("a").alias("node"), F.col("roots").getItem(0).alias("root"), F.when(F.size("roots") > 1, F.col("roots")).alias("several")))
+    links = placed.where("several IS NOT NULL").select(F.col("root").alias("a"), F.explode("several").alias("b")).where("a <> b")
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
     both = checkpointed(links.select(F.explode(ways).alias("at")).select("at.*").distinct())
     if not both.limit(1).count():
